@@ -88,13 +88,17 @@ def encode(docs: DataFrame, vocabulary: str | bytes, mode: str = "bit", shards:
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
+        import os
+
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+
         coder = Tokenizer.from_buffer(data.value)
         coder.encode_special_tokens = True
         shard, number, held, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
-        for part in rows_of(batches, 256, 4 << 20):
+        for part in rows_of(batches, 64, 256 << 10):  # an encoding takes a hundred bytes and more a token
             names = part.column(0).to_pylist()
             texts = [x or "" for x in part.column(1).to_pylist()]
             for doc, coded in zip(names, coder.encode_batch_fast(texts, add_special_tokens=False)):
