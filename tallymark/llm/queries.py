@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_planes, mixing, mpeg_audio, near_dedup, packing, substring_dedup, toxicity, url_filter
+from . import bit_planes, html_crf, iblt, mixing, mpeg_audio, near_dedup, packing, substring_dedup, toxicity, url_filter
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -18,6 +18,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.edit_prints(table(spark, sf_dir, "documents"))
+
+
+def op4_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mpeg_audio, op2_url_filter, op5_toxicity, op6_compact_windows, op7_best_fit_packing, op8_bit_planes, op9_source_mix, op10_near_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op2_url_filter, op3_iblt, op4_html_crf, op5_toxicity, op6_compact_windows, op7_best_fit_packing, op8_bit_planes, op9_source_mix, op10_near_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
