@@ -31,7 +31,11 @@ def shuffle_planes(ids: np.ndarray, block: int = BLOCK, mode: str = "bit", level
     filled[: len(ids)] = ids
     packer = zstandard.ZstdCompressor(level=level)
     out = []
+    used = int(filled.max(initial=0)).bit_length()
     for k in range(32 if mode == "bit" else 4):
+        if k * (1 if mode == "bit" else 8) >= used:
+            out.append(b"")
+            continue
         if mode == "bit":
             plane = np.packbits(((filled >> np.uint32(k)) & np.uint32(1)).astype(np.uint8).reshape(-1, block), axis=1, bitorder="little")
         else:
@@ -77,32 +81,42 @@ def unpack(row: dict) -> tuple[list, list[np.ndarray]]:
     return docs, np.split(flat, np.cumsum(np.frombuffer(zlib.decompress(row["lengths"]), "<i8"))[:-1])
 
 
-def encode(docs: DataFrame, vocabulary: str | bytes, mode: str = "bit", shards: int | None = None) -> DataFrame:
+class Coder:
+    """A tokenizer that gives each whole text's ids and the end id."""
+
+    def __init__(self, vocabulary: bytes):
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_buffer(vocabulary)
+        self.coder.encode_special_tokens = True
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [np.array([*x.ids, END], "<u4") for x in self.coder.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+
+def encode(docs: DataFrame, vocabulary: str | bytes, mode: str = "byte", shards: int | None = None) -> DataFrame:
     """Chunk rows of ``docs(doc_id, text)``: ids of each whole text and the end id, ascending ``doc_id`` (null first), then text.
 
     ``vocabulary`` is a tokenizer file's path or its bytes; the bytes travel with the plan.
     Null and empty texts are the end id alone. Repeated ids are documents of their own, in the order of their texts.
     """
     spark = docs.sparkSession
-    data = spark.sparkContext.broadcast(open(vocabulary, "rb").read() if isinstance(vocabulary, str) else vocabulary)  # a file of some MB, whatever the corpus
+    # a file of some MB, whatever the corpus; a worker keeps its tokenizer beside it from task to task
+    data = spark.sparkContext.broadcast({"vocabulary": open(vocabulary, "rb").read() if isinstance(vocabulary, str) else vocabulary})
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         import os
 
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-
-        coder = Tokenizer.from_buffer(data.value)
-        coder.encode_special_tokens = True
+        if "coder" not in data.value:
+            data.value["coder"] = Coder(data.value["vocabulary"])
+        coder = data.value["coder"]
         shard, number, held, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
         for part in rows_of(batches, 64, 256 << 10):  # an encoding takes a hundred bytes and more a token
-            names = part.column(0).to_pylist()
-            texts = [x or "" for x in part.column(1).to_pylist()]
-            for doc, coded in zip(names, coder.encode_batch_fast(texts, add_special_tokens=False)):
-                own = np.array([*coded.ids, END], "<u4")
+            for doc, own in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
                 held.append(doc)
                 ids.append(own)
                 n += len(own)

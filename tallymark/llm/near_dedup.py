@@ -113,6 +113,61 @@ def near(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(both) - same)
 
 
+BLOCK = 256
+
+
+def confirmed_in_blocks(mixed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between components that meet in a bucket of ``mixed(key, node, n, comp)``.
+
+    Buckets that share documents form a region. In a region, every document outside its largest component meets every
+    other, in cells of at most about ``BLOCK`` by ``BLOCK``: texts are sent once a block, not once a pair, and a cell
+    compares its sets through one sorted list. Only links come out.
+    """
+    lead = mixed.groupBy("key").agg(F.min("node").alias("lead"))
+    near_by = mixed.join(lead, "key").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    region = components(near_by).select(F.col("node").alias("_node"), F.col("component").alias("region"))
+    nodes = mixed.select("node", "comp").distinct()
+    placed = written(nodes.join(region, nodes.node == region._node).select("node", "comp", "region"), "regions")
+    sizes = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.sum("c").alias("all_n"), F.max("c").alias("most_n"))
+    blocks = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
+    set_up = placed.join(sizes.select(F.col("region").alias("_r"), "most", blocks(F.col("all_n")).alias("cols"), blocks(F.col("all_n") - F.col("most_n")).alias("rows")), F.col("region") == F.col("_r"))
+    seat = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    # each document of the region as a column, and those outside the largest component as rows
+    as_column = set_up.select("region", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), seat(F.col("cols")).alias("c"), F.lit(1).alias("role"), "node", "comp")
+    as_row = set_up.filter("comp <> most").select("region", seat(F.col("rows")).alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), F.lit(0).alias("role"), "node", "comp")
+    asked = as_column.unionByName(as_row).withColumnRenamed("node", "doc")
+    cells = asked.join(texts, asked.doc == texts.node).select("region", "r", "c", "role", "doc", "comp", "text")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        known, at, sets, index = WordIds(), None, [], None
+        for part in rows_of(batches):
+            found = []
+            for region, r, c, role, doc, comp, text in zip(*(part.column(k).to_pylist() for k in range(7))):
+                own = np.unique(shingles(known.of(words_of(text)), width))
+                if (region, r, c) != at:
+                    at, sets, index = (region, r, c), [], None
+                if role == 0:
+                    sets.append((doc, comp, own))
+                    continue
+                if not sets or not len(own):
+                    continue
+                if index is None:
+                    flat = np.concatenate([x for _, _, x in sets])
+                    order = np.argsort(flat, kind="stable")
+                    index = flat[order], np.repeat(np.arange(len(sets)), [len(x) for _, _, x in sets])[order], np.array([len(x) for _, _, x in sets])
+                values, owner, size = index
+                lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, "right")
+                n = hi - lo
+                hits = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                same = np.bincount(owner[hits], minlength=len(sets))
+                good = np.flatnonzero(100 * same >= percent * (size + len(own) - same))
+                found += [(sets[k][0], doc) for k in good if sets[k][1] != comp and sets[k][0] != doc]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return cells.repartition("region", "r", "c").sortWithinPartitions("region", "r", "c", "role").mapInArrow(run, "a bigint, b bigint")
+
+
 def _compatible(x: str, y: str, percent: int):
     """Sets whose sizes alone don't rule the link out."""
     return (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
@@ -137,11 +192,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         if turn < 2:  # against one leader a bucket
             lead = mixed.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("lead")).select("key", F.col("lead.node").alias("a"), F.col("lead.n").alias("an"), F.col("lead.comp").alias("ac"))
             pairs = mixed.join(lead, "key").filter((F.col("comp") != F.col("ac")) & _compatible("n", "an", percent)).select("a", F.col("node").alias("b"))
-        else:  # every pair that could still join components
-            most = mixed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("most"))
-            few = mixed.join(most, "key").filter("comp <> most").select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), "most")
-            pairs = few.join(mixed, "key").filter((F.col("comp") != F.col("ac")) & ((F.col("comp") == F.col("most")) | (F.col("a") < F.col("node"))) & _compatible("n", "an", percent)).select("a", F.col("node").alias("b"))
-        new = written(confirmed(pairs.distinct(), texts, width, percent), "links")
+            new = written(confirmed(pairs.distinct(), texts, width, percent), "links")
+        else:  # whatever could still join components
+            new = written(confirmed_in_blocks(mixed, texts, width, percent), "links")
         links = new if links is None else links.unionByName(new)
         labels = written(components(links), "labels")
         if turn < 2:
