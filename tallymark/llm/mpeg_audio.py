@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +66,20 @@ def crc16_arc(data: bytes) -> int:
     return c
 
 
-@lru_cache(65536)
+#: What header words mean and what checksums came out, remembered while small; plain dictionaries travel with the functions.
+_HEADERS: dict[int, tuple | None] = {}
+_SUMS: dict[tuple, int] = {}
+
+
 def header(word: int) -> tuple | None:
+    if word not in _HEADERS:
+        if len(_HEADERS) > 65536:
+            _HEADERS.clear()
+        _HEADERS[word] = _header(word)
+    return _HEADERS[word]
+
+
+def _header(word: int) -> tuple | None:
     """(layer, sampling rate, kbit/s, length or 0 for free format, samples, side bytes, protected, mode, extension, likeness, padding) or None."""
     if word >> 21 != 0x7FF:
         return None
@@ -83,9 +94,13 @@ def header(word: int) -> tuple | None:
     return layer, hz, kbps, length if kbps else 0, samples, side, not word >> 16 & 1, mode, word >> 4 & 3, word & 0xFFFE0C00, pad
 
 
-@lru_cache(4096)
 def _crc_of(head: bytes, body: bytes, bits: int) -> int:
-    return crc16(body, bits, crc16(head))
+    key = head, body, bits
+    if key not in _SUMS:
+        if len(_SUMS) > 4096:
+            _SUMS.clear()
+        _SUMS[key] = crc16(body, bits, crc16(head))
+    return _SUMS[key]
 
 
 def checked(data: bytes, at: int, h: tuple) -> bool | None:
