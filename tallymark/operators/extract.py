@@ -38,8 +38,21 @@ def exact_label(c: Column) -> Column:
     return F.element_at(text.lookup(LABEL_OF), F.trim(F.regexp_replace(F.lower(c), text.NOT_WORD, "")))
 
 
+_KNOWN: dict[str, str | None] = {}
+
+
 def match_label(words: str, least: float = C.DEFAULT.label_ratio) -> str | None:
-    """The first field, in the labels' order, of which a label equals ``words`` or nearly so."""
+    """The first field, in the labels' order, of which a label equals ``words`` or nearly so; answers are remembered."""
+    if least != C.DEFAULT.label_ratio:
+        return _match_label(words, least)
+    if words not in _KNOWN:
+        if len(_KNOWN) > 100_000:
+            _KNOWN.clear()
+        _KNOWN[words] = _match_label(words, least)
+    return _KNOWN[words]
+
+
+def _match_label(words: str, least: float) -> str | None:
     clean = re.sub(r"[^\w\s]", "", words.lower()).strip()
     if not clean:
         return None

@@ -545,8 +545,7 @@ def label_proximity(spark, sf):
 ORACLE["label_proximity"] = f"""WITH {BUNDLE_SQL}, f AS (
   SELECT case_id, doc_id, ocr_conf, unnest([{{'f': 'name', 'v': name}}, {{'f': 'guardian_name', 'v': guardian_name}}, {{'f': 'dob', 'v': dob}}, {{'f': 'id_number', 'v': id_number}}, {{'f': 'address', 'v': address}}]) AS e FROM bundles WHERE idx = 1
   UNION ALL SELECT case_id, doc_id, ocr_conf, unnest([{{'f': 'name', 'v': name}}, {{'f': 'id_number', 'v': id_number}}, {{'f': 'address', 'v': address}}]) FROM bundles WHERE idx = 3)
-SELECT case_id::VARCHAR AS case_id, doc_id, e.f AS field, CASE WHEN e.f = 'name' AND doc_id = 'doc_3' AND contains(e.v, ' S/O ') THEN split_part(e.v, ' S/O ', 1) ELSE e.v END AS value_raw, round(ocr_conf, 3) AS ocr_conf, 'label_proximity' AS method FROM f
-UNION ALL SELECT case_id::VARCHAR, doc_id, 'guardian_name', split_part(name, ' S/O ', 2), round(ocr_conf, 3), 'label_proximity' FROM bundles WHERE idx = 3 AND contains(name, ' S/O ')"""
+SELECT case_id::VARCHAR AS case_id, doc_id, e.f AS field, e.v AS value_raw, round(ocr_conf, 3) AS ocr_conf, 'label_proximity' AS method FROM f"""
 
 
 @query
