@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 
@@ -47,7 +48,7 @@ def fold_marks(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, source, target), r"\p{Mn}", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd_exact(s: pd.Series) -> pd.Series:
     """The full form, for texts with ligatures or conjoining scripts; Arrow batches."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))

@@ -99,21 +99,40 @@ def action(verdict: Column, doc_a: Column, doc_b: Column) -> Column:
     )
 
 
-def verdicts(pair_rows: DataFrame, cfg: C.Config = C.DEFAULT) -> DataFrame:
-    """One row a compared pair and field: verdict, similarity, severity, confidence, rules, reasons, action, evidence.
+KINDS = ("name", "date", "address", "id")
 
-    Python scores names and streets on distinct differing pairs only; dates, ids and everything else is native.
+
+def verdicts(pair_rows: DataFrame, cfg: C.Config = C.DEFAULT, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """One row a compared pair and field: verdict, similarity, severity, confidence, rules, reasons, action.
+
+    ``kinds`` are the comparators the fields need. Dates and ids are compared in place; names and streets get their
+    scores from Python, on distinct differing pairs only, by a join.
     """
     rows = pair_rows.withColumn("kind", kind_of(F.col("field")))
     absent = rows.filter("missing")
     there = rows.filter("not missing")
-    dated = there.filter("kind = 'date'").withColumn("r", dates.compare_dates(F.col("norm_a"), F.col("norm_b")))
-    numbered = there.filter("kind = 'id'").withColumn("r", ids.compare_ids(F.col("norm_a"), F.col("norm_b")))
-    named = similarity.with_scores(there.filter("kind = 'name'"), "norm_a", "norm_b", similarity.name_scores_udf, "scores").withColumn("r", _named(cfg)).drop("scores")
-    one_rule = lambda df: df.withColumn("r", F.struct("r.verdict", "r.similarity", F.array("r.rule").alias("rules")))
-    split = there.filter("kind = 'address'").withColumn("comp_a", address_components_of("raw_a")).withColumn("comp_b", address_components_of("raw_b")).withColumn("street_a", F.col("comp_a.street_locality")).withColumn("street_b", F.col("comp_b.street_locality"))
-    addressed = similarity.with_scores(split, "street_a", "street_b", similarity.token_set_ratio_udf, "street_score").withColumn("r", _addressed(cfg)).drop("comp_a", "comp_b", "street_a", "street_b", "street_score")
-    judged = one_rule(dated).unionByName(one_rule(numbered)).unionByName(one_rule(named)).unionByName(addressed)
+    one = lambda r: F.struct(r["verdict"].alias("verdict"), r["similarity"].alias("similarity"), F.array(r["rule"]).alias("rules"))
+    result = None
+
+    def add(kind, value):
+        nonlocal result
+        result = F.when(F.col("kind") == kind, value) if result is None else result.when(F.col("kind") == kind, value)
+
+    if "date" in kinds:
+        add("date", one(dates.compare_dates(F.col("norm_a"), F.col("norm_b"))))
+    if "id" in kinds:
+        add("id", one(ids.compare_ids(F.col("norm_a"), F.col("norm_b"))))
+    if "name" in kinds:
+        for x in "ab":
+            there = there.withColumn(f"name_{x}", F.when(F.col("kind") == "name", F.col(f"norm_{x}")))
+        there = similarity.with_scores(there, "name_a", "name_b", similarity.name_scores_udf, "scores").drop("name_a", "name_b")
+        add("name", one(_named(cfg)))
+    if "address" in kinds:
+        for x in "ab":
+            there = there.withColumn(f"comp_{x}", F.when(F.col("kind") == "address", address_components_of(f"raw_{x}"))).withColumn(f"street_{x}", F.col(f"comp_{x}.street_locality"))
+        there = similarity.with_scores(there, "street_a", "street_b", similarity.token_set_ratio_udf, "street_score")
+        add("address", _addressed(cfg))
+    judged = there.withColumn("r", result)
     known = F.create_map(*[F.lit(x) for kv in cfg.severity.items() for x in kv])
     base = F.coalesce(F.element_at(known, F.col("field")), F.lit("MEDIUM"))
     pin_only = (F.col("kind") == "address") & (F.col("r.verdict") == "MISMATCH") & F.array_contains("r.rules", "RULE_ADDR_PINCODE_MISMATCH") & ~F.array_contains("r.rules", "RULE_ADDR_CITY_MISMATCH")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -173,18 +173,25 @@ def _by_pattern(page: _Page, have: set[str], doc_type: str) -> dict[str, tuple]:
 def extract_fields(tokens: DataFrame, gap: int = C.DEFAULT.line_gap) -> DataFrame:
     """One row a document and field found: by labels, else by patterns. ``tokens`` has case, document, type, position and box.
 
-    A document is a few pages, so it is one pandas group; everything after is native.
+    A document is a few pages, so its tokens are gathered into one row; Python takes rows by Arrow batches.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        page = _Page(list(zip(pdf.text, pdf.conf, pdf.x, pdf.y, pdf.w, pdf.h, pdf.line_id)), gap)
-        case, doc, kind = pdf.case_id.iloc[0], pdf.doc_id.iloc[0], pdf.doc_type.iloc[0]
-        found = _by_label(page)
-        found |= _by_pattern(page, set(found), kind)
-        return pd.DataFrame([(case, doc, kind, f, *v) for f, v in found.items()], columns=[c.split()[0] for c in FIELDS.split(", ")])
-
-    return tokens.groupBy("case_id", "doc_id").applyInPandas(one, FIELDS)
+    names = ("text", "conf", "x", "y", "w", "h", "line_id")
+    pages = tokens.groupBy("case_id", "doc_id").agg(F.first("doc_type").alias("doc_type"), F.array_sort(F.collect_list(F.struct("pos", *names))).alias("tokens"))
+    columns = [c.split() for c in FIELDS.split(", ")]
+    kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+    schema = pa.schema([(n, kinds[k]) for n, k in columns])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for case, doc, kind, found in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                page = _Page([tuple(t[n] for n in names) for t in found], gap)
+                fields = _by_label(page)
+                fields |= _by_pattern(page, set(fields), kind)
+                rows += [(case, doc, kind, f, *v) for f, v in fields.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return pages.mapInArrow(run, FIELDS)
 
 
 def normalised(fields: DataFrame) -> DataFrame:

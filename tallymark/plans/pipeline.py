@@ -26,9 +26,9 @@ class Screening:
         return merge.rank_findings(merge.findings(self.merged))
 
 
-def screen_fields(documents: DataFrame, fields: DataFrame, cfg: C.Config = C.DEFAULT) -> Screening:
+def screen_fields(documents: DataFrame, fields: DataFrame, cfg: C.Config = C.DEFAULT, kinds: tuple[str, ...] = compare.KINDS) -> Screening:
     """From normalised fields: pairs, verdicts, merge, risk. ``documents``: case_id, idx, doc_id, doc_type."""
-    found = compare.verdicts(compare.pair_fields(compare.document_pairs(documents), fields), cfg)
+    found = compare.verdicts(compare.pair_fields(compare.document_pairs(documents), fields), cfg, kinds)
     merged = merge.merge_fields(found)
     return Screening(documents, fields, found, merged, score.case_risk(merge.findings(merged), documents, cfg))
 
@@ -39,10 +39,17 @@ def complete_bundles(documents: DataFrame, least: int = 2, most: int = 6) -> Dat
     return documents.join(good, "case_id", "left_semi")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A checkpoint where the session has a folder for it, else a cache."""
+    sc = df.sparkSession.sparkContext
+    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
 def screen_tokens(tokens: DataFrame, cfg: C.Config = C.DEFAULT) -> Screening:
     """From token tables (case, document, position, text, confidence, box, line): classify, extract, normalise, screen."""
     whole = tokens.groupBy("case_id", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), " ").alias("text"))
     typed = classify.classify(whole).select("case_id", "doc_id", "doc_type")
-    found = extract.normalised(extract.extract_fields(tokens.join(typed, ["case_id", "doc_id"])))
+    # Python reads each document once: what it finds is kept where later stages, which use it several times, can read it
+    found = kept(extract.normalised(kept(extract.extract_fields(tokens.join(typed, ["case_id", "doc_id"])))))
     ordered = typed.withColumn("idx", F.coalesce(F.nullif(F.regexp_extract("doc_id", r"(\d+)", 1), F.lit("")).cast("int"), F.lit(0)))
     return screen_fields(ordered, found, cfg)

@@ -42,7 +42,7 @@ def native_screening(spark: SparkSession, sf: str) -> pipeline.Screening:
     b = bundles(spark, sf)
     raw = raw_fields(b, ("dob", "id_number"))
     norm = raw.withColumn("value_norm", F.when(F.col("field") == "dob", dates.date_value(F.col("value_raw"))).otherwise(ids.id_value(F.col("value_raw"))))
-    return pipeline.screen_fields(documents_of(b), norm)
+    return pipeline.screen_fields(documents_of(b), norm, kinds=("date", "id"))
 
 
 # --- normalisers ------------------------------------------------------------------------------------------------------
@@ -270,14 +270,14 @@ ORACLE["common_words"] = r"WITH t AS (SELECT conv_id, turn, list_distinct(list_f
 @query
 def name_compare_full(spark, sf):
     f = normal_fields(spark, sf, ("name",))
-    v = compare.verdicts(compare.pair_fields(compare.document_pairs(documents_of(bundles(spark, sf))), f))
+    v = compare.verdicts(compare.pair_fields(compare.document_pairs(documents_of(bundles(spark, sf))), f), kinds=("name",))
     return v.select("case_id", "doc_a", "doc_b", "norm_a", "norm_b", "verdict", "similarity", "severity", "confidence")
 
 
 @query
 def address_compare_full(spark, sf):
     f = normal_fields(spark, sf, ("address",))
-    v = compare.verdicts(compare.pair_fields(compare.document_pairs(documents_of(bundles(spark, sf))), f))
+    v = compare.verdicts(compare.pair_fields(compare.document_pairs(documents_of(bundles(spark, sf))), f), kinds=("address",))
     return v.select("case_id", "doc_a", "doc_b", "verdict", "similarity", "severity", "confidence")
 
 
