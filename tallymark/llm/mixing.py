@@ -63,17 +63,18 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """``docs`` repeated by Poisson counts and globally shuffled, with ``copy`` (1, 2, ...), ``rate`` and ``mix_order``.
 
-    Needs ``doc_id``, ``text`` and ``source``; all other columns stay. Null or empty texts count one code point. Rows
+    Needs ``doc_id``, ``text`` and ``source``; all other columns stay (but for ``rate``, ``copy`` and ``mix_order``, which are replaced). Null or empty texts count one code point. Rows
     that repeat a ``doc_id`` repeat alike (the draw is by id); a null id draws as an empty one. An empty table gives no rows.
     """
     table = rates(docs, weights, temperature)
-    table = table.select("src", "rate", F.floor(F.greatest(F.col("rate") - 500.0, F.lit(0.0))).alias("fixed")).select("src", "rate", "fixed", poisson_table(F.col("rate") - F.col("fixed")).alias("upto"))
+    table = table.select("src", "rate", F.floor(F.greatest(F.col("rate") - 500.0, F.lit(0.0))).alias("fixed")).select(F.col("src").alias("_src"), F.col("rate").alias("_rate"), F.col("fixed").alias("_fixed"), poisson_table(F.col("rate") - F.col("fixed")).alias("_upto"))
     u = uniform("doc_id", seed=seed)
     # one row of at most some 900 numbers a source: its count is checked, and beyond MOST_SOURCES the planner chooses the join
     few = table.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
-    with_rate = docs.join(F.broadcast(table) if few else table, docs["source"].eqNullSafe(table["src"]), "left")
-    count = (F.col("fixed") + F.size(F.filter("upto", lambda c: c <= u))).cast("int")
-    copies = with_rate.withColumn("_n", count).filter("_n > 0").select(*(docs[c] for c in docs.columns), "rate", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    names = [c for c in docs.columns if c not in ("rate", "copy", "mix_order")]
+    with_rate = docs.select(*names).join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("_src")), "left")
+    count = (F.col("_fixed") + F.size(F.filter("_upto", lambda c: c <= u))).cast("int")
+    copies = with_rate.withColumn("_n", count).filter("_n > 0").select(*names, F.col("_rate").alias("rate"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
     ordered = copies.withColumn("mix_order", uniform("doc_id", "copy", seed=seed + 1))
     return ordered.orderBy("mix_order", "doc_id", "copy")
 

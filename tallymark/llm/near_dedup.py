@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     member = written(banded.join(shared, "key"), "members")
-    texts = written(docs.join(member.select("node").distinct(), F.col("doc_id") == F.col("node"), "inner").select("node", "text"), "texts")
+    texts = written(docs.select("doc_id", "text").join(member.select("node").distinct(), F.col("doc_id") == F.col("node"), "inner").select("node", "text"), "texts")
     links, labels, mixed = None, None, member.withColumn("comp", F.col("node"))
     for turn in range(3):
         if turn < 2:  # against one leader a bucket
