@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], most_rows: int = 2000, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def rows_of(batches: Iterator[pa.RecordBatch], most_rows: int = 2000, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded size; a single row is never cut."""
     for batch in batches:
         n = batch.num_rows
@@ -73,7 +73,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordIds(dict):
     """Word (bytes) to a 64-bit hash, remembered while the memory is bounded."""
 
-    MOST = 400_000
+    MOST = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -55,7 +55,7 @@ class Features(dict):
         self.place = place
 
     def __missing__(self, word: str):
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         own = features_of(word)
         self[word] = own = own if self.place is None else tuple(self.place[x] for x in own if x in self.place)
