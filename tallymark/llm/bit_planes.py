@@ -82,16 +82,43 @@ def unpack(row: dict) -> tuple[list, list[np.ndarray]]:
 
 
 class Coder:
-    """A tokenizer that gives each whole text's ids and the end id."""
+    """Ids of whole texts and the end id. A text's ids are those of its runs between ASCII white space, end to end, and runs
+    that recur are remembered.
 
-    def __init__(self, vocabulary: bytes):
+    That holds for vocabularies which drop white space and end words there, such as ``word_bpe_49k.json``; ``whole=True``
+    encodes texts as they are, for any other.
+    """
+
+    MOST = 600_000
+
+    def __init__(self, vocabulary: bytes, whole: bool = False):
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_buffer(vocabulary)
         self.coder.encode_special_tokens = True
+        self.whole, self.known = whole, {}
+
+    def learn(self, runs: list[bytes]) -> None:
+        """Remember the ids (four bytes each) of runs that are new."""
+        for at in range(0, len(runs), 2000):
+            some = runs[at : at + 2000]
+            coded = self.coder.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4").tobytes()
+            ends = np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some))) * 4
+            at_byte = 0
+            for w, end in zip(some, ends.tolist()):
+                self.known[w] = ids[at_byte:end]
+                at_byte = end
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        return [np.array([*x.ids, END], "<u4") for x in self.coder.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        if self.whole:
+            return [np.array([*x.ids, END], "<u4") for x in self.coder.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        runs = [(t or "").encode().split() for t in texts]
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        self.learn(list({w for own in runs for w in own} - self.known.keys()))
+        look, end = self.known.__getitem__, END.to_bytes(4, "little")
+        return [np.frombuffer(b"".join((*map(look, own), end)), "<u4") for own in runs]
 
 
 def encode(docs: DataFrame, vocabulary: str | bytes, mode: str = "byte", shards: int | None = None) -> DataFrame:
@@ -101,7 +128,7 @@ def encode(docs: DataFrame, vocabulary: str | bytes, mode: str = "byte", shards:
     Null and empty texts are the end id alone. Repeated ids are documents of their own, in the order of their texts.
     """
     spark = docs.sparkSession
-    # a file of some MB, whatever the corpus; a worker keeps its tokenizer beside it from task to task
+    # a file of some MB, whatever the corpus; a worker keeps its tokenizer, and the runs it knows, beside it from task to task
     data = spark.sparkContext.broadcast({"vocabulary": open(vocabulary, "rb").read() if isinstance(vocabulary, str) else vocabulary})
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -115,7 +142,7 @@ def encode(docs: DataFrame, vocabulary: str | bytes, mode: str = "byte", shards:
             data.value["coder"] = Coder(data.value["vocabulary"])
         coder = data.value["coder"]
         shard, number, held, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
-        for part in rows_of(batches, 64, 256 << 10):  # an encoding takes a hundred bytes and more a token
+        for part in rows_of(batches, 512, 1 << 20):
             for doc, own in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
                 held.append(doc)
                 ids.append(own)
