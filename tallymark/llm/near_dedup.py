@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordIds, mix64, rows_of, shingles, words_of, written
+from .common import U64, mix64, rows_of, shingles, word_hashes, written
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -61,11 +61,10 @@ def sketches(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        known = WordIds()
         for part in rows_of(batches):
             n, digests, keys = [], [], []
             for text in part.column(1).to_pylist():
-                own = np.unique(shingles(known.of(words_of(text)), width))
+                own = np.unique(shingles(word_hashes(text), width))
                 n.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 keys.append(band_keys(sketch(own, bands * rows), bands) if len(own) else [])
@@ -86,11 +85,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        known, at, leaders = WordIds(), None, []
+        at, leaders = None, []
         for part in rows_of(batches):
             found = []
             for a, salt, role, doc, text in zip(*(part.column(k).to_pylist() for k in range(5))):
-                own = np.unique(shingles(known.of(words_of(text)), width))
+                own = np.unique(shingles(word_hashes(text), width))
                 if (a, salt) != at:
                     at, leaders = (a, salt), []
                 if role == 0:
@@ -140,11 +139,11 @@ def confirmed_in_blocks(mixed: DataFrame, texts: DataFrame, width: int, percent:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        known, at, sets, index = WordIds(), None, [], None
+        at, sets, index = None, [], None
         for part in rows_of(batches):
             found = []
             for region, r, c, role, doc, comp, text in zip(*(part.column(k).to_pylist() for k in range(7))):
-                own = np.unique(shingles(known.of(words_of(text)), width))
+                own = np.unique(shingles(word_hashes(text), width))
                 if (region, r, c) != at:
                     at, sets, index = (region, r, c), [], None
                 if role == 0:
