@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -76,8 +77,6 @@ class WordIds(dict):
     MOST = 100_000
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         if len(self) >= self.MOST:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
@@ -87,49 +86,15 @@ class WordIds(dict):
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
-# The bytes of white space.
-SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
-_BASE = 0x9E3779B97F4A7C15
-_BYTES = mix64(np.arange(1, 257, dtype=U64) * U64(_BASE))
-_BYTES[65:91] = _BYTES[97:123]
-_BYTES[list(SPACES)] = 0
-_POWERS = [np.ones(1, U64), np.ones(1, U64)]  # of an odd base and of its inverse modulo 2^64, as many as a piece has needed
-PIECE = 1 << 16
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _POWERS[k] = np.multiply.accumulate(np.concatenate(([U64(1)], np.full(n - 1, base, U64))))
-    return _POWERS
+def words_of(text: str | bytes | None) -> list[bytes]:
+    """UTF-8 words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased (bytes methods touch ASCII only)."""
+    return (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).lower().split()
 
 
 def word_hashes(text: str | bytes | None) -> np.ndarray:
-    """A 64-bit hash of each word of a whole text, in order: equal for words that ``words_of`` has equal.
-
-    A word's hash is a polynomial of its bytes, summed for all words of a piece at once. Pieces of about ``PIECE`` bytes
-    end at white space, so memory beyond the text is bounded but for a single longer word.
-    """
-    data = (text or "").encode("utf-8", "surrogatepass") if not isinstance(text, bytes) else text
-    raw, out, at = np.frombuffer(data, np.uint8), [], 0
-    while at < len(raw):
-        end = at + PIECE
-        while end < len(raw) and not (gaps := np.flatnonzero(_BYTES[raw[end - PIECE : end]] == 0)).size:
-            end += PIECE
-        end = len(raw) if end >= len(raw) else end - PIECE + int(gaps[-1]) + 1
-        values = _BYTES[raw[at:end]]
-        inside = values != 0
-        starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
-        if len(starts):
-            powers, inverse = _powers(end - at)
-            out.append(mix64(np.add.reduceat(values * powers[: end - at], starts) * inverse[starts]))
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, U64)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """UTF-8 words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased (bytes methods touch ASCII only)."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    """The 64-bit hash of each word in order, as in ``WordIds``: where words are too many to recur often, memory gains nothing."""
+    words = words_of(text)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
 
 
 def shingles(ids: np.ndarray, width: int) -> np.ndarray:
