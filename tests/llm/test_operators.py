@@ -195,6 +195,35 @@ def test_passages(spark):
     assert shared in cut[3] and shared not in cut[6] and len(cut) == 12 and cut[1] == rows[0][1]
 
 
+def likeness(x, y):
+    x, y = set(x.tolist()), set(y.tolist())
+    return len(x & y) / len(x | y)
+
+
+def stands_in(own, lead):
+    """The passages of ``own`` in ``lead``, whose similarity is checked against sets."""
+    own, lead = np.array(own, np.uint64), np.array(lead, np.uint64)
+    found = substring_dedup.Stretch(lead).passages(own, 46, 80)
+    for a, b, p, q, sim in found:
+        assert b - a + 1 >= 46 and sim >= 0.8 and sim == pytest.approx(likeness(own[a : b + 1], lead[p : q + 1]))
+    return found
+
+
+def test_passage_whose_tokens_recur_in_the_leader():
+    r = random.Random(3)
+    for k in range(200):
+        passage = list(range(46 + k % 40))
+        own = list(range(1000, 1100)) + passage + list(range(2000, 2030))
+        lead = list(range(3000, 3150)) + passage + list(range(4000, 4100))
+        for _ in range(1 + k % 8):  # single tokens of the passage, its ends above all, stand elsewhere too
+            lead[r.choice([*range(60, 150), *range(150 + len(passage), 240)])] = r.choice((passage[0], passage[-1], r.choice(passage)))
+        assert any(a <= 100 and b >= 99 + len(passage) for a, b, *_ in stands_in(own, lead))
+    lead = list(range(3000, 3300))  # the reviewer's case: the last token also stands inside the leader's passage
+    lead[228] = lead[245]
+    assert stands_in([*range(100), *lead[200:246]], lead)[0][:4] == (100, 145, 200, 245)
+    assert [x[:2] for x in stands_in([*range(100), *[7, 8] * 100], [*range(3000, 3060), *[7, 8] * 130])] == [(100, 299)]
+
+
 def test_compact_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(1)
 
