@@ -224,6 +224,29 @@ def test_passage_whose_tokens_recur_in_the_leader():
     assert [x[:2] for x in stands_in([*range(100), *[7, 8] * 100], [*range(3000, 3060), *[7, 8] * 130])] == [(100, 299)]
 
 
+def test_near_passages_with_wide_gaps():
+    tokens = lambda words: substring_dedup.shingles(word_hashes(" ".join(words)), 5)
+    r, seen = random.Random(4), 0
+    for k in range(150):
+        passage = prose(5000 + k, r.randint(60, 160)).split()
+        changed, at = list(passage), r.randint(20, len(passage) - 30)
+        if k % 3 == 0:
+            changed[at:at] = prose(6000 + k, r.randint(1, 8)).split()
+        elif k % 3 == 1:
+            changed[at], changed[at + 5] = "zz", "zy"
+        else:
+            del changed[at : at + r.randint(1, 6)]
+        own, lead = prose(7000 + k, 70).split() + changed + prose(8000 + k, 40).split(), prose(9000 + k, 60).split() + passage + prose(9500 + k, 40).split()
+        worth = likeness(tokens(changed), tokens(passage))
+        found = stands_in(tokens(own), tokens(lead))
+        if 0.8 <= worth < 0.95:
+            seen += 1
+            assert any(a <= 70 and b >= 70 + len(changed) - 5 for a, b, *_ in found), (k, worth, found)
+    assert seen > 60
+    halves, six = prose(10, 98).split(), prose(11, 6).split()
+    assert [(x[0], x[1]) for x in stands_in(tokens(prose(12, 70).split() + halves[:49] + six + halves[49:]), tokens(prose(13, 60).split() + halves))] == [(70, 169)]
+
+
 def test_compact_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(1)
 
