@@ -247,6 +247,22 @@ def test_near_passages_with_wide_gaps():
     assert [(x[0], x[1]) for x in stands_in(tokens(prose(12, 70).split() + halves[:49] + six + halves[49:]), tokens(prose(13, 60).split() + halves))] == [(70, 169)]
 
 
+def test_passage_beside_a_leader_that_only_shares_phrases(spark):
+    passage = prose(700, 60).split()
+    phrases = [" ".join(passage[k : k + 5]) for k in range(56)]  # document 1 holds each shingle, never two in a row
+    first = " ".join(f"{x} {prose(800 + k, 3)}" for k, x in enumerate(phrases))
+    rows = [(1, first, "a")] + [(k, f"{prose(k, 80)} {' '.join(passage)} {prose(50 + k, 40)}", "a") for k in (2, 3, 4)]
+    line = prose(701, 12)
+    rows += [(k, f"{prose(k, 60)} {line} {prose(300 + k, 60)}" + (f" {line} {prose(702, 48)}" if k in (30, 90) else ""), "a") for k in range(10, 110)]
+    found = substring_dedup.passages(docs_of(spark, rows)).collect()
+    texts = {d: t.split() for d, t, _ in rows}
+    assert {(r.doc_id, r.ref_doc_id) for r in found if r.doc_id < 10} >= {(3, 2)} and {r.doc_id for r in found} == {3, 4, 90}
+    for r in found:
+        assert texts[r.doc_id][r.start_word : r.end_word] == texts[r.ref_doc_id][r.ref_start_word : r.ref_end_word]
+        assert r.end_word - r.start_word >= 60
+    assert {(r.doc_id, r.ref_doc_id) for r in found if r.doc_id > 10} == {(90, 30)}
+
+
 def test_compact_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(1)
 
