@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,10 @@ RAW = frozenset("script style textarea title".split())
 #: Open elements of the first kind end where one of the second begins.
 ENDS_P = BLOCK - {"html", "body", "head", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 ENDS_SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: What leaves an open head open; anything else ends it.
+IN_HEAD = frozenset("html head title meta link base basefont bgsound style script noscript template".split())
+#: Outermost elements that a path tells of; deeper nesting changes no feature.
+DEEPEST = 400
 SCOPES = frozenset("article aside blockquote body details div dl fieldset figure footer form header html li main menu nav ol section table td th ul".split())
 
 #: Parts of classes, ids and roles that count as features.
@@ -59,6 +64,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int, bool]]:
     """(text, path, characters in links, labelled) of each leaf block; ``path`` has (tag, hints) of its ancestors, outermost first."""
     page, out = page or "", []
     stack: list[tuple[str, frozenset, bool]] = []
+    opened: Counter[str] = Counter()  # tags of the stack
     parts: list[str] = []
     linked, unseen, at, n = 0, 0, 0, len(page)
 
@@ -67,19 +73,29 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, tuple((t, h) for t, h, _ in stack if t in BLOCK or h), linked, any(m for _, _, m in stack)))
+                out.append((text, tuple((t, h) for t, h, _ in stack[:DEEPEST] if t in BLOCK or h), linked, any(m for _, _, m in stack[:DEEPEST])))
             parts, linked = [], 0
 
     def pop_to(k: int):
         nonlocal unseen
         while len(stack) > k:
-            unseen -= stack.pop()[0] in UNSEEN
+            tag = stack.pop()[0]
+            opened[tag] -= 1
+            unseen -= tag in UNSEEN
+
+    def end_head(tag: str):
+        """An open head ends at a body, and at what can't stand in it."""
+        if opened["head"] and (tag == "body" or stack[-1][0] == "head"):
+            close()
+            pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "head"))
 
     def add(text: str):
         nonlocal linked
+        if text.strip():
+            end_head("")
         if text and not unseen:
             parts.append(text)
-            if any(t == "a" for t, _, _ in stack):
+            if opened["a"]:
                 linked += len(text)
 
     while at < n:
@@ -93,11 +109,13 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int, bool]]:
         if not name:
             continue
         tag = name.lower()
+        if tag not in IN_HEAD and not slash:
+            end_head(tag)
         if tag == "br":
             add("\n")
             continue
         if slash:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1) if opened[tag] else -1
             if tag in BLOCK:
                 close()
             if k >= 0 and (tag in SCOPES or not any(stack[j][0] in SCOPES for j in range(k + 1, len(stack)))):
@@ -120,9 +138,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int, bool]]:
             at = end.end() if end else n
             continue
         stack.append((tag, _hints(attributes), "data-main" in attributes))
+        opened[tag] += 1
         unseen += tag in UNSEEN
-        if len(stack) > 400:  # deeper nesting changes no feature; keep the outermost
-            pop_to(400)
     close()
     return out
 

@@ -149,6 +149,17 @@ def test_crf_held_out_and_viterbi():
     assert right / n > 0.98
 
 
+def test_open_head_and_deep_nesting():
+    texts = lambda page: [t for t, *_ in html_crf.blocks(page)]
+    for page in ("<html><head><title>T</title><body><p>One two.</p></html>", "<head><meta charset=utf-8><title>T</title><p>One two.", "<head><style>p{}</style><div>One two.</div>", "<head>One two."):
+        assert texts(page) == ["One two."], page
+    assert texts("<head><noscript>x</noscript><title>T</title></head><p>One two.") == ["One two."]
+    deep = "<article>" + "<div>" * 450 + "<p>a</p><button>no<p>no</p></button>b" + "</div>" * 450 + "<p>c</p></article><p>d"
+    found = html_crf.blocks(deep)
+    assert [t for t, *_ in found] == ["a", "b", "c", "d"]
+    assert [t for t, _ in found[2][1]] == ["article", "p"] and [t for t, _ in found[3][1]] == ["p"]
+
+
 def test_main_text(spark):
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=x>Menu</a></li></ul></nav><article><h1>A &amp; B</h1><p>First\n  words, and more of them here.<br>x<p>Second one follows after it.</p></article><footer>&copy; foot</footer>"
     df = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, ""), (1, "u", page)], "page_id int, url string, html string")
