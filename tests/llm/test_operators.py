@@ -261,7 +261,7 @@ def test_near_passages_with_wide_gaps():
 def test_passage_beside_a_leader_that_only_shares_phrases(spark):
     passage = prose(700, 60).split()
     phrases = [" ".join(passage[k : k + 5]) for k in range(56)]  # document 1 holds each shingle, never two in a row
-    first = " ".join(f"{x} {prose(800 + k, 3)}" for k, x in enumerate(phrases))
+    first = " ".join(f"{x} {prose(800 + n, 1)} " * 12 for n, x in enumerate(phrases * 3))  # and they head windows there
     rows = [(1, first, "a")] + [(k, f"{prose(k, 80)} {' '.join(passage)} {prose(50 + k, 40)}", "a") for k in (2, 3, 4)]
     line = prose(701, 12)
     rows += [(k, f"{prose(k, 60)} {line} {prose(300 + k, 60)}" + (f" {line} {prose(702, 48)}" if k in (30, 90) else ""), "a") for k in range(10, 110)]
