@@ -274,6 +274,78 @@ def test_passage_beside_a_leader_that_only_shares_phrases(spark):
     assert {(r.doc_id, r.ref_doc_id) for r in found if r.doc_id > 10} == {(90, 30)}
 
 
+def covered(rows, found):
+    """Words of each document that the passages found hold."""
+    out = {d: set() for d, *_ in rows}
+    for r in found:
+        out[r.doc_id].update(range(r.start_word, r.end_word))
+    return out
+
+
+def test_passages_whole_in_two_documents_and_apart_in_a_third(spark):
+    rows = []
+    for k in range(20):
+        w = prose(20_000 + k, 60).split()
+        rows.append((10 * k, " ".join([*prose(k, 30).split(), *w[:46], *prose(100 + k, 30).split(), *w[15:], *prose(200 + k, 30).split()]), "a"))
+        rows += [(10 * k + n, " ".join([*prose(300 * n + k, 40).split(), *w, *prose(400 * n + k, 40).split()]), "a") for n in (1, 2)]
+    found = substring_dedup.passages(docs_of(spark, rows).repartition(5)).collect()
+    held = covered(rows, found)
+    assert all(held[10 * k + 2] >= set(range(40, 100)) for k in range(20)) and {r.doc_id % 10 for r in found} == {2}
+
+
+def test_every_verbatim_passage_is_found(spark):
+    """200 documents put together from phrases, lines and passages of all lengths, against brute force over runs of 50 words."""
+    r = random.Random(9)
+    parts = [prose(30_000 + k, r.choice((6, 12, 30, 45, 49, 50, 55, 80))) for k in range(60)]
+    rows = []
+    for k in range(200):
+        t = []
+        for _ in range(r.randint(1, 6)):
+            w = r.choice(parts).split()
+            if r.random() < 0.4:
+                w[r.randrange(len(w))] = f"zz{r.random()}"
+            t += prose(r.random(), r.randint(0, 30)).split() + w
+        rows.append((k, " ".join(t), "a"))
+    rows += [(200, rows[7][1], "a"), (201, " ".join([parts[0]] * 40), "a"), (202, " ".join([parts[0]] * 30), "a"), *EDGE[:2], (None, rows[0][1], "a")]
+    df = docs_of(spark, rows)
+    held = covered(rows, substring_dedup.passages(df.repartition(3)).collect())
+    first, seen = {}, 0
+    for d, t, _ in sorted((x for x in rows if x[0] is not None), key=lambda x: x[0]):
+        w = (t or "").split()
+        for at in range(len(w) - 49):
+            if first.setdefault(tuple(w[at : at + 50]), d) != d:
+                seen += 1
+                assert held[d] >= set(range(at, at + 50)), (d, at)
+    assert seen > 1000
+    assert substring_dedup.passages(docs_of(spark, [])).count() == 0
+
+
+def test_near_passages_recall(spark):
+    """Edited passages in 200 pairs of unlike documents: of those with a similarity of 0.8 or more, at least 0.95 are found."""
+    r, rows, worth = random.Random(12), [], {}
+    tokens = lambda w: substring_dedup.shingles(word_hashes(" ".join(w)), 5)
+    for k in range(200):
+        w = prose(40_000 + k, r.randint(55, 200)).split()
+        x = list(w)
+        for _ in range(1 + len(w) // 70):
+            x[r.randrange(len(x))] = f"zz{r.random()}"
+        worth[2 * k + 1] = likeness(tokens(w), tokens(x)), len(x)
+        rows += [(2 * k + n, " ".join([*prose(50_000 + 2 * k + n, 40).split(), *y, *prose(60_000 + 2 * k + n, 30).split()]), "a") for n, y in ((0, w), (1, x))]
+    held = covered(rows, substring_dedup.passages(docs_of(spark, rows)).collect())
+    near = [d for d, (sim, _) in worth.items() if sim >= 0.8]
+    got = [d for d in near if len(held[d] & set(range(40, 40 + worth[d][1]))) >= 0.9 * worth[d][1]]
+    assert len(near) > 100 and len(got) >= 0.95 * len(near), (len(got), len(near))
+
+
+def test_cut_repeats_with_clashing_columns(spark):
+    line = prose(5, 60)
+    df = docs_of(spark, [(1, line, "a"), (2, f"{line} {prose(6, 9)}", "a"), (3, line, "a"), (3, "own words", "b"), (None, line, "a"), (4, None, "a")])
+    df = df.withColumns({x: F.lit("x") for x in ("_id", "_spans", "_ID_", "doc", "ref", "s", "e", "a", "b", "of", "salt")})
+    got = substring_dedup.cut_repeats(df)
+    assert got.columns == df.columns and sorted((r.doc_id or 0, (r.text or "").strip()) for r in got.collect()) == sorted([(1, line), (2, prose(6, 9)), (0, line), (4, "")])
+    assert substring_dedup.cut_repeats(df.limit(0)).count() == 0
+
+
 def test_compact_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(1)
 
