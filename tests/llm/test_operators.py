@@ -254,6 +254,13 @@ def test_near_passages_with_wide_gaps():
             seen += 1
             assert any(a <= 70 and b >= 70 + len(changed) - 5 for a, b, *_ in found), (k, worth, found)
     assert seen > 60
+    for n in (3, 50, 400):
+        own, lead = np.array(r.choices(range(60), k=n), np.uint64), np.array(r.choices(range(30, 99), k=n + 5), np.uint64)
+        alike = substring_dedup.Alike(own, lead)
+        for _ in range(50):
+            (a, b), (p, q) = (sorted(r.choices(range(n), k=2)) for _ in range(2))
+            x, y = set(own[a : b + 1].tolist()), set(lead[p : q + 1].tolist())
+            assert alike(a, b, p, q) == (len(x & y), len(x | y))
     halves, six = prose(10, 98).split(), prose(11, 6).split()
     assert [(x[0], x[1]) for x in stands_in(tokens(prose(12, 70).split() + halves[:49] + six + halves[49:]), tokens(prose(13, 60).split() + halves))] == [(70, 169)]
 
@@ -358,9 +365,13 @@ def test_compact_windows_are_the_cartesian_tree():
         return out
 
     for n, m in ((4, 9), (46, 10**9), (300, 5), (300, 10**9)):
-        h = mix64(rng.integers(0, m, (3, n)).astype(np.uint64))
-        for k, got in enumerate(substring_dedup.compact_windows(h, 12)):
-            assert set(zip(*got)) == tree(h[k], 0, n - 1, 12, set())
+        h = mix64(rng.integers(0, m, (3, 2 * n + 20)).astype(np.uint64))
+        starts, ends = np.array([0, n, n + 3, n + 12]), np.array([n, n + 3, n + 12, 2 * n + 12])
+        got = list(zip(*(z.tolist() for z in substring_dedup.compact_windows(h, starts, ends, 12))))
+        assert len(got) == len(set(got))
+        for k in range(3):
+            for text, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+                assert {x[2:] for x in got if x[:2] == (k, text)} == tree(h[k], a, b - 1, 12, set())
 
 
 # --- 7 ---
