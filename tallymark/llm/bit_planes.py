@@ -3,12 +3,13 @@
 A chunk holds whole documents in ascending ``doc_id`` order. Its ids (unsigned 32 bit) are cut into fixed blocks,
 each block is transposed into bit planes (or byte planes), equal planes of all blocks are laid end to end, and every
 plane is compressed with zstandard on its own; planes of zeros only are left out. A chunk row is its own index
-entry: shard, number, first document, ids, bytes of each plane. Rows live in Parquet, so Spark's writers commit
+entry: shard, number, ids before it in the shard, first document, ids, bytes of each plane. Rows live in Parquet, so Spark's writers commit
 them whole on any store and a lost task's output is never seen.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -59,15 +60,15 @@ def join_planes(planes: list[bytes], n: int, block: int = BLOCK, mode: str = "bi
     return ids[:n]
 
 
-CHUNKS = "shard bigint, chunk bigint, n_ids bigint, n_docs bigint, first_doc bigint, doc_ids binary, lengths binary, mode string, block int, plane_bytes array<int>, planes binary"
-_CHUNKS = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("first_doc", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("mode", pa.string()), ("block", pa.int32()), ("plane_bytes", pa.list_(pa.int32())), ("planes", pa.binary())])
+CHUNKS = "shard bigint, chunk bigint, inside bigint, n_ids bigint, n_docs bigint, first_doc bigint, doc_ids binary, lengths binary, mode string, block int, plane_bytes array<int>, planes binary"
+_CHUNKS = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("inside", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("first_doc", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("mode", pa.string()), ("block", pa.int32()), ("plane_bytes", pa.list_(pa.int32())), ("planes", pa.binary())])
 
 
-def _chunk_row(shard: int, number: int, docs: list, ids: list[np.ndarray], mode: str) -> pa.RecordBatch:
+def _chunk_row(shard: int, number: int, inside: int, docs: list, ids: list[np.ndarray], mode: str) -> pa.RecordBatch:
     flat = np.concatenate(ids)
     planes = shuffle_planes(flat, BLOCK, mode)
     known = np.array([x for x in docs if x is not None], "<i8")
-    row = (shard, number, len(flat), len(docs), docs[0], zlib.compress(np.array([x is None for x in docs], np.uint8).tobytes() + known.tobytes()), zlib.compress(np.array([len(x) for x in ids], "<i8").tobytes()), mode, BLOCK, [len(p) for p in planes], b"".join(planes))
+    row = (shard, number, inside, len(flat), len(docs), docs[0], zlib.compress(np.array([x is None for x in docs], np.uint8).tobytes() + known.tobytes()), zlib.compress(np.array([len(x) for x in ids], "<i8").tobytes()), mode, BLOCK, [len(p) for p in planes], b"".join(planes))
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _CHUNKS)], schema=_CHUNKS)
 
 
@@ -82,33 +83,56 @@ def unpack(row: dict) -> tuple[list, list[np.ndarray]]:
 
 
 class Coder:
-    """Ids of whole texts and the end id. A text's ids are those of its runs between ASCII white space, end to end, and runs
-    that recur are remembered.
+    """Ids of whole texts and the end id: those of ``Tokenizer.encode(text, add_special_tokens=False)`` of the unmodified library.
 
-    That holds for vocabularies which drop white space and end words there, such as ``word_bpe_49k.json``; ``whole=True``
-    encodes texts as they are, for any other.
+    Where the vocabulary drops white space and no added token holds any (``word_bpe_49k.json``), a text's ids are those of its
+    runs between ASCII white space, end to end, and short runs that recur are remembered. ``whole=True`` encodes texts as they
+    are, for any other vocabulary.
     """
 
-    MOST = 600_000
+    #: Runs remembered, and the longest of them in bytes: together a bound in bytes. Longer runs are encoded where they stand.
+    MOST, LONGEST = 600_000, 48
 
     def __init__(self, vocabulary: bytes, whole: bool = False):
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_buffer(vocabulary)
-        self.coder.encode_special_tokens = True
-        self.whole, self.known = whole, {}
+        added = self.coder.get_added_tokens_decoder().values()
+        self.whole, self.known = whole or any(t.lstrip or t.rstrip or t.content.split() != [t.content] for t in added), {}
+        # where each id that ends a word is marked, the ids of words of known make can be told apart in one line of them
+        self.ends = np.zeros(self.coder.get_vocab_size(), bool)
+        for token, k in self.coder.get_vocab(with_added_tokens=False).items():
+            self.ends[k] = token.endswith("</w>")
 
     def learn(self, runs: list[bytes]) -> None:
         """Remember the ids (four bytes each) of runs that are new."""
-        for at in range(0, len(runs), 2000):
-            some = runs[at : at + 2000]
-            coded = self.coder.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some))) * 4
-            at_byte = 0
-            for w, end in zip(some, ends.tolist()):
-                self.known[w] = ids[at_byte:end]
-                at_byte = end
+        plain, parts, other = [], [], []
+        for w in runs:
+            text = w.decode()
+            core = text.rstrip(".,;:!?")
+            if core.isalpha() and core.lower().isalpha():  # one word, or one and its punctuation
+                plain.append(text)
+                parts.append(1 + (len(core) < len(text)))
+            else:
+                other.append(text)
+        for at in range(0, len(plain), 2000):
+            some, n = plain[at : at + 2000], np.array(parts[at : at + 2000])
+            ids = np.array(self.coder.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == n.sum():
+                self._keep(some, ids, ends[np.cumsum(n) - 1] + 1)
+            else:
+                other += some
+        for at in range(0, len(other), 2000):
+            some = other[at : at + 2000]
+            coded = self.coder.encode(some, is_pretokenized=True, add_special_tokens=False)
+            self._keep(some, np.array(coded.ids, "<u4"), np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some))))
+
+    def _keep(self, runs: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        data, at = ids.tobytes(), 0
+        for w, end in zip(runs, (ends * 4).tolist()):
+            self.known[w.encode()] = data[at:end]
+            at = end
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if self.whole:
@@ -116,8 +140,17 @@ class Coder:
         runs = [(t or "").encode().split() for t in texts]
         if len(self.known) > self.MOST:
             self.known.clear()
-        self.learn(list({w for own in runs for w in own} - self.known.keys()))
-        look, end = self.known.__getitem__, END.to_bytes(4, "little")
+        new = set(itertools.chain.from_iterable(runs)) - self.known.keys()
+        long = {w for w in new if len(w) > self.LONGEST}
+        self.learn(list(new - long))
+        end = END.to_bytes(4, "little")
+        if not long:
+            look = self.known.__getitem__
+            return [np.frombuffer(b"".join((*map(look, own), end)), "<u4") for own in runs]
+
+        def look(w: bytes) -> bytes:
+            return self.known[w] if len(w) <= self.LONGEST else np.array(self.coder.encode([w.decode()], is_pretokenized=True, add_special_tokens=False).ids, "<u4").tobytes()
+
         return [np.frombuffer(b"".join((*map(look, own), end)), "<u4") for own in runs]
 
 
@@ -125,7 +158,8 @@ def encode(docs: DataFrame, vocabulary: str | bytes, mode: str = "byte", shards:
     """Chunk rows of ``docs(doc_id, text)``: ids of each whole text and the end id, ascending ``doc_id`` (null first), then text.
 
     ``vocabulary`` is a tokenizer file's path or its bytes; the bytes travel with the plan.
-    Null and empty texts are the end id alone. Repeated ids are documents of their own, in the order of their texts.
+    Null and empty texts are the end id alone. Repeated ids are documents of their own, in the order of their texts. A text of
+    any length is one document of one chunk, which holds it whole; other columns are ignored.
     """
     spark = docs.sparkSession
     # a file of some MB, whatever the corpus; a worker keeps its tokenizer, and the runs it knows, beside it from task to task
@@ -141,29 +175,31 @@ def encode(docs: DataFrame, vocabulary: str | bytes, mode: str = "byte", shards:
         if "coder" not in data.value:
             data.value["coder"] = Coder(data.value["vocabulary"])
         coder = data.value["coder"]
-        shard, number, held, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
+        shard, number, held, ids, n, inside = TaskContext.get().partitionId(), 0, [], [], 0, 0
         for part in rows_of(batches, 512, 1 << 20):
             for doc, own in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
                 held.append(doc)
                 ids.append(own)
                 n += len(own)
                 if n >= CHUNK_IDS:
-                    yield _chunk_row(shard, number, held, ids, mode)
-                    number, held, ids, n = number + 1, [], [], 0
+                    yield _chunk_row(shard, number, inside, held, ids, mode)
+                    number, held, ids, n, inside = number + 1, [], [], 0, inside + n
         if held:
-            yield _chunk_row(shard, number, held, ids, mode)
+            yield _chunk_row(shard, number, inside, held, ids, mode)
 
     return docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, CHUNKS)
 
 
+#: Shards up to which their starts (16 bytes each) are broadcast.
+MOST_SHARDS = 200_000
+
+
 def starts(chunks: DataFrame) -> DataFrame:
-    """``shard, chunk, first``: ids before each chunk. Window sorts see one row a chunk within a shard, and one a shard in all."""
+    """``shard, before``: ids before each shard. One row a shard, and their number is the writer's number of partitions."""
     from pyspark.sql import Window
 
-    within = chunks.select("shard", "chunk", "n_ids").withColumn("inside", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
     totals = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = totals.select(F.col("shard"), F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return within.join(before, "shard").select("shard", "chunk", (F.coalesce("inside", F.lit(0)) + F.col("before")).alias("first"))
+    return totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
 
 DOCS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -178,10 +214,11 @@ def read_back(chunks: DataFrame) -> DataFrame:
             for row in part.to_pylist():
                 docs, ids = unpack(row)
                 n = np.array([len(x) for x in ids], np.int64)
-                first = row["first"] + np.concatenate(([0], np.cumsum(n)[:-1]))
+                first = row["before"] + row["inside"] + np.concatenate(([0], np.cumsum(n)[:-1]))
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first, pa.int64()), pa.array(n), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())], schema=_DOCS)
 
-    return chunks.join(starts(chunks), ["shard", "chunk"]).mapInArrow(run, DOCS)
+    first = written(starts(chunks), "starts")
+    return chunks.join(F.broadcast(first) if first.count() <= MOST_SHARDS else first, "shard").mapInArrow(run, DOCS)
 
 
 def token_file(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -424,19 +424,36 @@ def test_token_file(spark):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
-    rows = [(k, prose(k, 60), "a") for k in range(30, 0, -1)] + EDGE
-    got = sorted(bit_planes.token_file(spark, docs_of(spark, rows), path).collect(), key=lambda r: r.start)
+    coder = Tokenizer.from_file(path)  # as it comes
+    odd = ["a <|startoftext|> b", "x<|endoftext|>y <|ENDOFTEXT|>", "it's don't. I'LL've,", "a\u00a0b\u2003c\u2028d\u0085e\x1cf", "e\u0301t\u0301e \u0301x", "\u0130stanbul \u0130. \u03a3\u0391\u03a3 \u01c5, \ufb01n", "3.14, 1,000; ...!? ) , (a).", "x" * 200 + " " + "ab,c" * 40 + ".", "\U0001f600\U0001f600, </w> a</w>", "\u4e2d\u6587\uff0c\u6587", "word. word, word; word"]
+    rows = [(k, prose(k, 60), "a") for k in range(30, 0, -1)] + EDGE + [(100 + k, t, "a") for k, t in enumerate(odd)]
+    df = docs_of(spark, rows).withColumns({x: F.lit(1) for x in ("shard", "chunk", "inside", "before")})
+    got = sorted(bit_planes.token_file(spark, df, path).collect(), key=lambda r: r.start)
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     at = 0
     for r, (d, t, _) in zip(got, order, strict=True):
         ids = np.array([*coder.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, at, len(ids), zlib.crc32(ids.tobytes()))
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, at, len(ids), zlib.crc32(ids.tobytes())), t
         at += len(ids)
     assert bit_planes.token_file(spark, docs_of(spark, []), path).count() == 0
 
 
+def test_coder_without_white_space():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = bit_planes.Coder(open(path, "rb").read())
+    text = "".join(random.Random(2).choice("abcdefgh,.") for _ in range(3_000_000))
+    (ids,) = coder.encode([text])
+    assert ids.tolist() == [*coder.coder.encode(text, add_special_tokens=False).ids, 1] and not coder.known
+    texts = [" ".join(prose(k, 40)) + ", " + prose(k, 30).title() for k in range(40)]
+    assert [x.tolist() for x in coder.encode(texts)] == [[*coder.coder.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    coder.MOST = 10
+    coder.encode(texts)
+    coder.encode(["one"])
+    assert set(coder.known) == {b"one"}
+
+
 # --- 9 ---
 
 
