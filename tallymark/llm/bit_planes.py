@@ -10,6 +10,7 @@ them whole on any store and a lost task's output is never seen.
 from __future__ import annotations
 
 import itertools
+import json
 import zlib
 
 import numpy as np
@@ -82,6 +83,17 @@ def unpack(row: dict) -> tuple[list, list[np.ndarray]]:
     return docs, np.split(flat, np.cumsum(np.frombuffer(zlib.decompress(row["lengths"]), "<i8"))[:-1])
 
 
+# How the vocabulary normalises and cuts text where words can be encoded by themselves.
+NORMALISED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class Coder:
     """Ids of whole texts and the end id: those of ``Tokenizer.encode(text, add_special_tokens=False)`` of the unmodified library.
 
@@ -91,46 +103,58 @@ class Coder:
     """
 
     #: Runs remembered, and the longest of them in bytes: together a bound in bytes. Longer runs are encoded where they stand.
-    MOST, LONGEST = 600_000, 48
+    MOST, LONGEST = 1_000_000, 48
 
     def __init__(self, vocabulary: bytes, whole: bool = False):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.coder = Tokenizer.from_buffer(vocabulary)
         added = self.coder.get_added_tokens_decoder().values()
         self.whole, self.known = whole or any(t.lstrip or t.rstrip or t.content.split() != [t.content] for t in added), {}
-        # where each id that ends a word is marked, the ids of words of known make can be told apart in one line of them
-        self.ends = np.zeros(self.coder.get_vocab_size(), bool)
-        for token, k in self.coder.get_vocab(with_added_tokens=False).items():
-            self.ends[k] = token.endswith("</w>")
+        # the same model for words that are lower case already, in lines of them; each ends with an id that is marked
+        self.light, self.ends = None, None
+        make = json.loads(vocabulary)
+        if make.get("normalizer") == NORMALISED and make.get("pre_tokenizer") == WORDS and make["model"].get("end_of_word_suffix") == "</w>":
+            self.light = Tokenizer(self.coder.model)
+            self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(self.coder.get_vocab_size(), bool)
+            for token, k in self.coder.get_vocab(with_added_tokens=False).items():
+                self.ends[k] = token.endswith("</w>")
 
     def learn(self, runs: list[bytes]) -> None:
         """Remember the ids (four bytes each) of runs that are new."""
-        plain, parts, other = [], [], []
+        if not self.light:
+            return self._whole_runs([w.decode() for w in runs])
+        made, cores, other = [], set(), set()
         for w in runs:
             text = w.decode()
             core = text.rstrip(".,;:!?")
-            if core.isalpha() and core.lower().isalpha():  # one word, or one and its punctuation
-                plain.append(text)
-                parts.append(1 + (len(core) < len(text)))
-            else:
-                other.append(text)
-        for at in range(0, len(plain), 2000):
-            some, n = plain[at : at + 2000], np.array(parts[at : at + 2000])
-            ids = np.array(self.coder.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids])
-            if len(ends) == n.sum():
-                self._keep(some, ids, ends[np.cumsum(n) - 1] + 1)
+            # one word and its punctuation; letters that are one character in either case and stay under NFC
+            if core.isalpha() and (core.isascii() or max(core) < "\u0180" and "\u0130" not in core):
+                made.append((w, core := core.lower().encode(), tail := w[len(core) :]))
+                cores.add(core)
+                other.add(tail)
             else:
-                other += some
-        for at in range(0, len(other), 2000):
-            some = other[at : at + 2000]
+                other.add(w)
+        cores = [w.decode() for w in cores if w not in self.known]
+        for at in range(0, len(cores), 2000):
+            some = cores[at : at + 2000]
+            ids = np.array(self.light.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            self._keep(some, ids, np.flatnonzero(self.ends[ids]) + 1)
+        self._whole_runs([w.decode() for w in other if w and w not in self.known])
+        self.known[b""] = b""
+        for w, core, tail in made:
+            self.known[w] = self.known[core] + self.known[tail]
+
+    def _whole_runs(self, runs: list[str]) -> None:
+        for at in range(0, len(runs), 2000):
+            some = runs[at : at + 2000]
             coded = self.coder.encode(some, is_pretokenized=True, add_special_tokens=False)
             self._keep(some, np.array(coded.ids, "<u4"), np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some))))
 
     def _keep(self, runs: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         data, at = ids.tobytes(), 0
-        for w, end in zip(runs, (ends * 4).tolist()):
+        for w, end in zip(runs, (ends * 4).tolist(), strict=True):
             self.known[w.encode()] = data[at:end]
             at = end
 
@@ -140,9 +164,10 @@ class Coder:
         runs = [(t or "").encode().split() for t in texts]
         if len(self.known) > self.MOST:
             self.known.clear()
-        new = set(itertools.chain.from_iterable(runs)) - self.known.keys()
+        # (the difference of a set and a dictionary's keys would walk all of the dictionary)
+        new = [w for w in set(itertools.chain.from_iterable(runs)) if w not in self.known]
         long = {w for w in new if len(w) > self.LONGEST}
-        self.learn(list(new - long))
+        self.learn([w for w in new if w not in long] if long else new)
         end = END.to_bytes(4, "little")
         if not long:
             look = self.known.__getitem__
