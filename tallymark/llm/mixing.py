@@ -1,8 +1,10 @@
 """Mixing sources to target weights by Poisson replication, in DataFrame operations only.
 
 Each source has a mean repetition rate: its target share over its share of the corpus. A document's count is the
-inverse of the Poisson distribution with that mean at a uniform number drawn from a hash of seed and ``doc_id``; it
-is repeated so often, and the copies are put in an order that a second hash gives. Nothing depends on partitions.
+inverse of the Poisson distribution with that mean at a uniform number drawn from a hash of seed and ``doc_id``; a mean
+above ``LARGEST`` is split into equal ones of at most that, and their independent draws are added, which is the same
+distribution. A document is repeated so often, and the copies are put in an order that another hash gives. Nothing depends
+on partitions.
 """
 
 from __future__ import annotations
@@ -12,12 +14,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 SEED = 17
 #: Default target: shares in proportion to a source's size to this power (below 1: small sources gain).
 TEMPERATURE = 0.5
 BITS = 52
+#: The largest mean of one draw: ``exp`` stays in range, and a table holds some 800 numbers.
+LARGEST = 500.0
 #: Up to so many sources (16 MB of probabilities) their table is broadcast.
 MOST_SOURCES = 2000
 
@@ -29,10 +33,7 @@ def uniform(*parts: Column | str, seed: int = SEED) -> Column:
 
 
 def poisson_table(rate: Column) -> Column:
-    """Cumulative probabilities of 0, 1, 2, ... up to where a uniform of 52 bits can't reach.
-
-    Means up to 700 (``exp`` stays in range); the rates of ``mix`` beyond are split into a fixed part and such a mean.
-    """
+    """Cumulative probabilities of 0, 1, 2, ... up to where a uniform of 52 bits can't reach, for means up to ``LARGEST``."""
     far = F.ceil(rate + F.lit(12.0) * F.sqrt(rate) + F.lit(40.0)).cast("int")
     step = lambda s, k: F.struct((s["p"] * rate / k).alias("p"), F.array_append(s["c"], F.element_at(s["c"], -1) + s["p"] * rate / k).alias("c"))
     zero = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
@@ -63,31 +64,36 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """``docs`` repeated by Poisson counts and globally shuffled, with ``copy`` (1, 2, ...), ``rate`` and ``mix_order``.
 
-    Needs ``doc_id``, ``text`` and ``source``; all other columns stay (but for ``rate``, ``copy`` and ``mix_order``, which are replaced). Null or empty texts count one code point. Rows
-    that repeat a ``doc_id`` repeat alike (the draw is by id); a null id draws as an empty one. An empty table gives no rows.
+    Needs ``doc_id``, ``text`` and ``source``; all other columns stay, and where one has the name of a new one, the new one's is
+    lengthened (``_rate``). Null or empty texts count one code point, long ones all of theirs. Rows that repeat a ``doc_id``
+    repeat alike (the draw is by id); a null id draws as an empty one. An empty table gives no rows.
     """
-    table = rates(docs, weights, temperature)
-    table = table.select("src", "rate", F.floor(F.greatest(F.col("rate") - 500.0, F.lit(0.0))).alias("fixed")).select(F.col("src").alias("_src"), F.col("rate").alias("_rate"), F.col("fixed").alias("_fixed"), poisson_table(F.col("rate") - F.col("fixed")).alias("_upto"))
-    u = uniform("doc_id", seed=seed)
-    # one row of at most some 900 numbers a source: its count is checked, and beyond MOST_SOURCES the planner chooses the join
+    names, taken = docs.columns, {c.lower() for c in docs.columns}
+    rate, copy, order = (x if x not in taken else unused(docs, x) for x in ("rate", "copy", "mix_order"))
+    src, mean, draws, upto, times = (unused(docs, f"mix_{x}") for x in ("src", "mean", "draws", "upto", "times"))
+    parts = F.greatest(F.ceil(F.col("rate") / F.lit(LARGEST)), F.lit(1)).cast("int")
+    table = rates(docs, weights, temperature).select("src", "rate", parts.alias("parts")).select(F.col("src").alias(src), F.col("rate").alias(mean), F.col("parts").alias(draws), poisson_table(F.col("rate") / F.col("parts")).alias(upto))
+    # one row of at most some 800 numbers a source: its count is checked, and beyond MOST_SOURCES the planner chooses the join
     few = table.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
-    names = [c for c in docs.columns if c not in ("rate", "copy", "mix_order")]
-    with_rate = docs.select(*names).join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("_src")), "left")
-    count = (F.col("_fixed") + F.size(F.filter("_upto", lambda c: c <= u))).cast("int")
-    copies = with_rate.withColumn("_n", count).filter("_n > 0").select(*names, F.col("_rate").alias("rate"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    ordered = copies.withColumn("mix_order", uniform("doc_id", "copy", seed=seed + 1))
-    return ordered.orderBy("mix_order", "doc_id", "copy")
-
-
-def poisson_count(u: float, rate: float) -> int:
-    """The same count in plain Python, for tests."""
-    fixed = math.floor(max(rate - 500.0, 0.0))
-    rate -= fixed
-    p = c = math.exp(-rate)
-    n = 0
-    for k in range(1, math.ceil(rate + 12.0 * math.sqrt(rate) + 40.0) + 2):
-        if u < c:
-            return fixed + n
-        n, p = n + 1, p * rate / k
-        c += p
-    return fixed + n
+    with_rate = docs.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col(src)), "left")
+    drawn = lambda u: F.size(F.filter(upto, lambda c: c <= u))
+    more = F.aggregate(F.sequence(F.lit(1), F.col(draws) - 1), F.lit(0), lambda n, k: n + drawn(uniform("doc_id", k, seed=seed)))
+    count = drawn(uniform("doc_id", seed=seed)) + F.when(F.col(draws) > 1, more).otherwise(0)
+    copies = with_rate.withColumn(times, count).filter(F.col(times) > 0).select(*names, F.col(mean).alias(rate), F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy))
+    return copies.withColumn(order, uniform("doc_id", copy, seed=seed + 1)).orderBy(order, "doc_id", copy)
+
+
+def poisson_count(us: list[float], rate: float) -> int:
+    """The same count in plain Python, for tests; ``us`` has the number of each draw."""
+    draws = max(1, math.ceil(rate / LARGEST))
+    total, rate = 0, rate / draws
+    for u in us[:draws]:
+        p = c = math.exp(-rate)
+        n = 0
+        for k in range(1, math.ceil(rate + 12.0 * math.sqrt(rate) + 40.0) + 2):
+            if u < c:
+                break
+            n, p = n + 1, p * rate / k
+            c += p
+        total += n
+    return total

@@ -91,15 +91,17 @@ WITH RECURSIVE d AS (
 ), t AS (
   SELECT sum(n)::DOUBLE AS all_n, sum(want::DECIMAL(38, 6))::DOUBLE AS all_want FROM s
 ), r AS (
-  SELECT source, want / all_want * all_n / n::DOUBLE AS rate FROM s, t
-), c(source, rate, k, p, upto) AS (
-  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM r
+  SELECT source, rate, greatest(ceil(rate / 500.0), 1)::INTEGER AS draws FROM (SELECT source, want / all_want * all_n / n::DOUBLE AS rate FROM s, t)
+), c(source, mean, k, p, upto) AS (
+  SELECT source, rate / draws, 0, exp(-(rate / draws)), exp(-(rate / draws)) FROM r
   UNION ALL
-  SELECT source, rate, k + 1, p * rate / (k + 1), upto + p * rate / (k + 1) FROM c WHERE k < ceil(rate + 12 * sqrt(rate) + 40)
+  SELECT source, mean, k + 1, p * mean / (k + 1), upto + p * mean / (k + 1) FROM c WHERE k < ceil(mean + 12 * sqrt(mean) + 40)
 ), l AS (
-  SELECT source, any_value(rate) AS rate, list(upto ORDER BY k) AS upto FROM c GROUP BY source
+  SELECT source, list(upto ORDER BY k) AS upto FROM c GROUP BY source
 ), m AS (
-  SELECT d.*, l.rate, len(list_filter(l.upto, lambda x: x <= (d.draw::DOUBLE + 0.5) / 4503599627370496.0)) AS times FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source
+  SELECT d.*, r.rate, list_sum(list_transform(generate_series(0, draws - 1), lambda j: len(list_filter(l.upto, lambda x: x <= ((CASE WHEN j = 0 THEN draw
+      ELSE ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || j::VARCHAR), 1, 13))::BIGINT END)::DOUBLE + 0.5) / 4503599627370496.0)))) AS times
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN l ON d.source IS NOT DISTINCT FROM l.source
 ), e AS (
   SELECT doc_id, text, lang, source, n_chars, rate, unnest(generate_series(1, times))::INTEGER AS copy FROM m
 )
