@@ -1,6 +1,7 @@
 """Best-fit packing of documents into training contexts under conflicts.
 
-Documents are dealt into shards of bounded size by a hash of their row, so every shard is a random sample of the corpus.
+Documents are dealt into shards of some ``SHARD_DOCS`` by a hash of their id, source, length, cluster and number among equal
+rows, so every shard is a random sample of the corpus, and bins don't depend on how rows lie in files.
 Within a shard, longest first, a document goes to the open bin with the least room that holds it and has no conflict: bins
 are kept in order of residual room and carry a bitmap of duplicate clusters and one of source slots; the search starts at
 the least room that suffices and goes on to the successor until a compatible bin is found, else a new bin opens.
@@ -62,7 +63,7 @@ PACKED = "doc_id bigint, source string, fragment int, start_token bigint, n_toke
 
 def _shard(capacity: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("uid", kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["uid", "n", "cluster"], kind="stable").reset_index(drop=True)
         full = rows.n // capacity
         # whole bins of a long document first, then what is left of it
         owner = np.repeat(np.arange(len(rows)), full + (rows.n % capacity > 0))
@@ -91,12 +92,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, n_tokens: Column | None = No
 
     ``docs`` has ``doc_id, text, source``. A document counts its words and one end token (``n_tokens`` overrides), so an empty
     or null text takes one token; longer than ``capacity`` it is cut into whole bins and a rest, and no token is dropped.
-    ``cluster`` names the duplicate cluster (default: equal texts; null conflicts with nothing). A null source is a source.
-    Repeated rows are documents of their own, of one cluster. An empty table gives no rows; other columns are ignored.
+    ``cluster`` names the duplicate cluster (default: equal texts, so near copies may share a bin; null conflicts with nothing).
+    A null source is a source. Repeated rows are documents of their own, of one cluster. An empty table gives no rows; other
+    columns are ignored. The same rows give the same bins however they lie in partitions.
     """
     n = n_tokens if n_tokens is not None else word_count(F.col("text")) + 1
     group = cluster if cluster is not None else F.md5(F.coalesce("text", F.lit("")))
-    facts = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n.cast("bigint").alias("n"), group.cast("string").alias("cluster")).withColumn("uid", F.monotonically_increasing_id()), "lengths")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n.cast("bigint").alias("n"), group.cast("string").alias("cluster"))
+    # equal rows are counted, then numbered: a row's number needs no order among them
+    equal = own.groupBy("doc_id", "source", "n", "cluster").agg(F.count(F.lit(1)).alias("times"))
+    facts = written(equal.select("doc_id", "source", "n", "cluster", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth")).withColumn("uid", F.xxhash64("doc_id", "source", "n", "cluster", "nth")).drop("nth"), "lengths")
     shards = max(1, -(-facts.count() // SHARD_DOCS))
     dealt = facts.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(_shard(capacity), PACKED)
