@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import rows_of
 
-#: Rows the model is fitted on at most (labelled, not held out, least by a hash of their id), features and swaps a row.
-MOST_ROWS, MOST_FEATURES, MOST_SWAPS = 8192, 8192, 16
+#: Rows the model is fitted on at most: labelled, not held out, least by a hash of their id. All features of those that tell
+#: the labels apart, and all swaps in them, are used.
+MOST_ROWS = 8192
 SPACE = 1 << 22
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -134,8 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, strength: float = 1.0) -> tuple[li
     n, n1 = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(MOST_ROWS).agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     c1, c0 = F.col("c1") + 0.5, F.col("c") - F.col("c1") + 0.5
     odds = F.log((c1 / F.lit(n1 + 1.0)) / (c0 / F.lit(n - n1 + 1.0)))
-    kept = counted.filter("c >= 3").withColumn("z", F.round(F.abs(odds) / F.sqrt(1 / c1 + 1 / c0), 9)).filter("z >= 2.5").orderBy(F.col("z").desc(), "feature").limit(MOST_FEATURES)
-    numbers = [r[0] for r in kept.select("feature").collect()]  # at most MOST_FEATURES numbers
+    kept = counted.filter("c >= 3").withColumn("z", F.round(F.abs(odds) / F.sqrt(1 / c1 + 1 / c0), 9)).filter("z >= 2.5").orderBy("feature")
+    numbers = [r[0] for r in kept.select("feature").collect()]  # at most the features of MOST_ROWS texts
     place = {f: k for k, f in enumerate(numbers)}
     schema = pa.schema([("y", pa.float64()), ("own", pa.list_(pa.int64())), ("plus", pa.list_(pa.list_(pa.int64()))), ("minus", pa.list_(pa.list_(pa.int64())))])
 
@@ -148,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, strength: float = 1.0) -> tuple[li
                 up, down = [], []
                 for a, b in swaps_in(text):
                     fa, fb = held.of(a), held.of(b)
-                    if fa != fb and len(up) < MOST_SWAPS:
+                    if fa != fb:
                         up.append(sorted(fb - fa))
                         down.append(sorted(fa - fb))
                 plus.append(up)
@@ -165,7 +166,7 @@ def score(docs: DataFrame, model: tuple[list[int], np.ndarray, float]) -> DataFr
     """``doc_id, held_out, score, predicted`` for every row; only the text is an input of the score."""
     numbers, weights, bias = model
     place = {f: k for k, f in enumerate(numbers)}
-    sent = docs.sparkSession.sparkContext.broadcast((place, weights, bias))  # at most MOST_FEATURES numbers
+    sent = docs.sparkSession.sparkContext.broadcast((place, weights, bias))  # at most the features of MOST_ROWS texts
 
     def run(batches):
         place, weights, bias = sent.value
@@ -182,14 +183,18 @@ def scored(docs: DataFrame, labels: DataFrame, strength: float = 1.0) -> DataFra
     """Fit on ``labels(doc_id, toxic)`` and score every text of ``docs``.
 
     Null and empty texts get the bias's score. Without labels, or with one label only, every row gets the (clipped) prior.
-    Several labels of an id: the highest counts. Rows that repeat are scored alike. An empty table gives no rows; other
-    columns are ignored; a null id is not held out and never trains.
+    Several labels of an id: the highest counts. Rows that repeat are scored alike, texts of any length by all their words. An
+    empty table gives no rows; other columns are ignored; a null id is not held out and never trains.
     """
     return score(docs, train(docs, labels, strength))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model does not reject."""
+    """The rows of ``docs``, all columns whatever their names, that the model does not reject.
+
+    Null and empty texts have the bias's score and texts of any length that of all their words; rows with a null id and rows
+    that repeat are judged by their text alone. Without labels of both kinds nothing is rejected. An empty table stays empty.
+    """
     numbers, weights, bias = train(docs, labels)
     place = {f: k for k, f in enumerate(numbers)}
     sent = docs.sparkSession.sparkContext.broadcast((place, weights, bias))
