@@ -6,8 +6,10 @@ fills. Equal bins of two sets have the chance of their Jaccard similarity, with
 give buckets; buckets give candidates; candidates are confirmed on the full sets.
 
 Equal sets are one class from the start. Classes in a bucket are compared with the bucket's leader, then, as long as a
-bucket spans several components, with another leader, and at last every pair of its classes from different components
-outside its largest component is compared: links that could still join two components are all tested, none is skipped.
+bucket spans several components, with another leader. What could still join two components is found by prefix filtering,
+which is exact: in any one order of all elements, two sets that are alike enough share one of the first few of either. The
+order puts elements that many sets have last, so text that a template repeats makes no candidates, and sets that share a
+first element and lie in different components are compared, all of them.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, rows_of, shingles, word_hashes, written
+from .common import U64, mix64, rows_of, shingles, unused, word_hashes, written
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -113,12 +115,55 @@ def near(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 BLOCK = 256
+#: Counters of element frequencies: a fixed size, whatever the corpus.
+COUNTERS = 1 << 18
+
+
+def frequencies(texts: DataFrame, width: int) -> np.ndarray:
+    """In how many texts the elements of each counter stand."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for part in rows_of(batches):
+            for text in part.column(0).to_pylist():
+                total += np.bincount((np.unique(shingles(word_hashes(text), width)) & U64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    got = texts.select("text").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    out = np.zeros(COUNTERS, np.int64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
+
+
+def prefixes(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``key, node, comp``: the first elements of each text of ``nodes(node, comp)``, those in few texts first. Of two texts whose
+    sets are alike enough one's ``100 * intersection >= percent * size`` holds too, so they share one of them."""
+    own = written(texts.join(nodes.select("node", "comp").distinct(), "node").select("node", "comp", "text"), "mixed-texts")
+    counted = texts.sparkSession.sparkContext.broadcast(frequencies(own, width))
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("comp", pa.int64())])
+
+    def run(batches):
+        many = counted.value
+        for part in rows_of(batches):
+            keys, sizes = [], []
+            for text in part.column(2).to_pylist():
+                x = np.unique(shingles(word_hashes(text), width))
+                first = len(x) - -(-percent * len(x) // 100) + 1
+                keys.append(x[np.lexsort((x, many[(x & U64(COUNTERS - 1)).astype(np.int64)]))[:first]])
+                sizes.append(len(keys[-1]))
+            again = lambda c: pa.array(np.repeat(c.to_numpy(), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), again(part.column(0)), again(part.column(1))], schema=schema)
+
+    rows = written(own.mapInArrow(run, "key bigint, node bigint, comp bigint"), "prefixes")
+    several = written(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "prefix-keys")
+    return written(rows.join(several, "key"), "prefixes")
 
 
 def confirmed_in_blocks(mixed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between components that meet in a bucket of ``mixed(key, node, n, comp)``.
+    """Links ``(a, b)`` between components that meet under a key of ``mixed(key, node, comp)``.
 
-    Buckets that share documents form a region. In a region, every document outside its largest component meets every
+    Keys that share documents form a region. In a region, every document outside its largest component meets every
     other, in cells of at most about ``BLOCK`` by ``BLOCK``: texts are sent once a block, not once a pair, and a cell
     compares its sets through one sorted list. Only links come out.
     """
@@ -176,9 +221,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text, ...)``.
 
     Null and empty texts have an empty set, link with nothing and are kept. Texts of fewer than ``width`` words are one
-    shingle. Rows that repeat a ``doc_id`` are judged each by its own text. Rows with a null id link with nothing, have a
-    null component and are kept. An empty table gives no rows; other columns are ignored. A linked pair at exactly the
-    threshold shares no bucket with a chance of ``(1 - 0.8 ** rows) ** bands`` (3 in a million by default).
+    shingle; longer ones are read whole. Rows that repeat a ``doc_id`` are one document, linked by any of its texts. Rows with a
+    null id link with nothing, have a null component and are kept. An empty table gives no rows; other columns are ignored. A
+    linked pair at exactly the threshold shares no bucket with a chance of ``(1 - 0.8 ** rows) ** bands`` (3 in a million by default).
     """
     own = written(sketches(docs, width, bands, rows), "sketches")
     classes = written(own.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
@@ -189,16 +234,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     links, labels, mixed = None, None, member.withColumn("comp", F.col("node"))
     for turn in range(3):
         if turn < 2:  # against one leader a bucket
-            lead = mixed.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("lead")).select("key", F.col("lead.node").alias("a"), F.col("lead.n").alias("an"), F.col("lead.comp").alias("ac"))
+            lead = written(mixed.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("lead")).select("key", F.col("lead.node").alias("a"), F.col("lead.n").alias("an"), F.col("lead.comp").alias("ac")), "leads")
             pairs = mixed.join(lead, "key").filter((F.col("comp") != F.col("ac")) & _compatible("n", "an", percent)).select("a", F.col("node").alias("b"))
             new = written(confirmed(pairs.distinct(), texts, width, percent), "links")
         else:  # whatever could still join components
-            new = written(confirmed_in_blocks(mixed, texts, width, percent), "links")
+            new = written(confirmed_in_blocks(prefixes(mixed, texts, width, percent), texts, width, percent), "links")
         links = new if links is None else links.unionByName(new)
         labels = written(components(links), "labels")
         if turn < 2:
-            now = member.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-            several = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+            now = written(member.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp")), "labelled")
+            several = written(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "several")
             mixed = written(now.join(several, "key"), "mixed")
             if mixed.isEmpty():
                 break
@@ -208,10 +253,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one of the least ``doc_id``. Repeated rows stay once."""
+    """``docs``, all columns whatever their names, with one document of each group of near duplicates: that of the least ``doc_id``.
+
+    Null and empty texts link with nothing and stay, as do rows with a null id. Rows that repeat a ``doc_id`` stay or go together,
+    one of each text. Texts of any length are read whole; an empty table stays empty.
+    """
     from pyspark.sql import Window
 
-    kept = near_duplicates(docs, width, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "inner")
-    one = stay.withColumn("_nth", F.row_number().over(Window.partitionBy("_kept").orderBy("text"))).filter("_nth = 1").select(*docs.columns)
+    id_, nth, text = unused(docs, "kept"), unused(docs, "nth"), unused(docs, "md5")
+    kept = near_duplicates(docs.select("doc_id", "text"), width, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias(id_)).distinct()
+    stay = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col(id_), "inner").withColumn(text, F.md5("text"))
+    one = stay.withColumn(nth, F.row_number().over(Window.partitionBy(id_, text).orderBy(text))).filter(F.col(nth) == 1).drop(id_, nth, text)
     return one.unionByName(docs.filter("doc_id is null"))

@@ -188,6 +188,18 @@ def test_toxicity(spark):
     paired = toxicity.train(docs_of(spark, rows), label, strength=20.0)
     gap = lambda m: sum(w for f, w in zip(m[0], m[1]) if f in toxicity.features_of("muslim"))
     assert abs(gap(paired)) < 0.5 * abs(gap(plain_model))
+    usual = toxicity.train(docs_of(spark, rows), label)  # the default strength, on held-out neutral mentions
+    assert abs(gap(usual)) < abs(gap(plain_model))
+    score = lambda m, t: m[2] + sum(w for f, w in zip(m[0], m[1]) if f in {x for word in t.split() for x in toxicity.features_of(word)})
+    swapped = lambda m: abs(score(m, "many muslim people") - score(m, "many christian people"))
+    assert swapped(usual) < swapped(plain_model)
+    text = " ".join(f"muslim {w}." for w in prose(8, 200).split())
+    assert len(list(toxicity.swaps_in(text))) == 200 * 7
+    one = spark.createDataFrame([(k, 1, 1) for k in range(400)], label.schema)
+    assert {x.predicted for x in toxicity.scored(docs_of(spark, rows[:20]), one).collect()} == {1} and toxicity.clean(docs_of(spark, rows[:9]), label.limit(0)).count() == 9
+    tricky = docs_of(spark, rows + [(600, "idiot scum " * 30_000, "a"), (601, None, "a"), (None, "idiot scum " * 9, "a")]).withColumns({x: F.lit("x") for x in ("_id", "y", "score", "held_out", "toxic")})
+    left = toxicity.clean(tricky, label)
+    assert left.columns == tricky.columns and {r.doc_id for r in left.collect()} == {d for d, t, _ in rows if "idiot" not in t} | {601}
     assert toxicity.scored(docs_of(spark, []), label.limit(0)).count() == 0
 
 
@@ -261,6 +273,8 @@ def test_near_passages_with_wide_gaps():
             (a, b), (p, q) = (sorted(r.choices(range(n), k=2)) for _ in range(2))
             x, y = set(own[a : b + 1].tolist()), set(lead[p : q + 1].tolist())
             assert alike(a, b, p, q) == (len(x & y), len(x | y))
+            for side, lo, hi, z, all_ in ((0, a, b, x, lead), (1, p, q, y, own)):
+                assert [int(v[0, 0]) for v in alike.bounds(side, np.array([lo]), np.array([hi]))] == [len(z & set(all_.tolist())), len(z - set(all_.tolist()))]
     halves, six = prose(10, 98).split(), prose(11, 6).split()
     assert [(x[0], x[1]) for x in stands_in(tokens(prose(12, 70).split() + halves[:49] + six + halves[49:]), tokens(prose(13, 60).split() + halves))] == [(70, 169)]
 
@@ -392,6 +406,9 @@ def test_packing(spark):
         texts = [text_of[r.doc_id] or "" for r in own if r.doc_id != 900]
         assert len(texts) == len(set(texts))
     assert packing.pack(docs_of(spark, [])).count() == 0
+    clash = docs_of(spark, rows).withColumns({x: F.lit("x") for x in ("n", "cluster", "times", "nth", "uid", "shard")})
+    layouts = [sorted(map(str, packing.pack(clash.repartition(k), 1000).collect())) for k in (1, 7)]
+    assert layouts[0] == layouts[1] == sorted(map(str, got))
 
 
 def test_best_fit_is_tightest():
@@ -445,13 +462,15 @@ def test_coder_without_white_space():
     coder = bit_planes.Coder(open(path, "rb").read())
     text = "".join(random.Random(2).choice("abcdefgh,.") for _ in range(3_000_000))
     (ids,) = coder.encode([text])
-    assert ids.tolist() == [*coder.coder.encode(text, add_special_tokens=False).ids, 1] and not coder.known
+    assert ids.tolist() == [*coder.coder.encode(text, add_special_tokens=False).ids, 1] and set(coder.known) <= {b""}
     texts = [" ".join(prose(k, 40)) + ", " + prose(k, 30).title() for k in range(40)]
     assert [x.tolist() for x in coder.encode(texts)] == [[*coder.coder.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()] + ["\u0130", "\u00aa", "\u1e9e", "\ufb01", "\u03a3"]
+    texts = ["".join(random.Random(k).choices(letters, k=9)) + ".,;:!?"[k % 6 : k % 6 + k % 3] for k in range(2000)]
+    assert coder.light and [x.tolist() for x in coder.encode(texts)] == [[*coder.coder.encode(t, add_special_tokens=False).ids, 1] for t in texts]
     coder.MOST = 10
-    coder.encode(texts)
-    coder.encode(["one"])
-    assert set(coder.known) == {b"one"}
+    coder.encode(["One"])
+    assert set(coder.known) == {b"One", b"one", b""}
 
 
 # --- 9 ---
@@ -469,8 +488,31 @@ def test_mix(spark):
     for r in got:
         counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
     for r in df.select("doc_id", "source", mixing.uniform("doc_id").alias("u")).collect():
-        assert counts.get(r.doc_id, 0) == mixing.poisson_count(r.u, rates[r.source])
-    assert mixing.mix(docs_of(spark, [])).count() == 0 and mixing.mix(docs_of(spark, EDGE)).count() >= 0
+        assert counts.get(r.doc_id, 0) == mixing.poisson_count([r.u], rates[r.source])
+    assert mixing.mix(docs_of(spark, [])).count() == 0
+
+
+def test_mix_at_large_rates(spark):
+    """A source so small that each of its rows is repeated some 2,000 times: mean and variance are those of a Poisson draw."""
+    rows = [(k, "x" * 1_000_000, "big") for k in range(2)] + [(10 + k, "y", "small") for k in range(500)]
+    df = docs_of(spark, rows)
+    got = {r.doc_id: (r.n, r.rate) for r in mixing.mix(df, {"big": 1, "small": 1}).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("rate").alias("rate")).collect()}
+    rate = got[10][1]
+    n = np.array([got.get(10 + k, (0,))[0] for k in range(500)], float)
+    assert 1900 < rate < 2100 and abs(n.mean() - rate) < 4 * (rate / 500) ** 0.5 and 0.8 < n.var() / rate < 1.25
+    u = [mixing.uniform("doc_id"), *(mixing.uniform("doc_id", F.lit(k)) for k in range(1, 8))]
+    for r in df.filter("doc_id in (10, 11, 12)").select("doc_id", F.array(*u).alias("u")).collect():
+        assert got[r.doc_id][0] == mixing.poisson_count(r.u, rate)
+
+
+def test_mix_edges(spark):
+    clash = ("rate", "copy", "mix_order", "RATES", "_rate", "_mix_src", "_mix_mean", "_mix_draws", "_mix_upto", "_mix_times", "src", "n", "want")
+    df = docs_of(spark, EDGE).withColumns({x: F.lit("x") for x in clash})
+    got = mixing.mix(df, {"a": 1, "b": 1}).collect()
+    rates = {r.source: r["__rate"] for r in got}
+    by_id = {r.doc_id: [r.u] for r in df.select("doc_id", mixing.uniform("doc_id").alias("u")).collect()}
+    want = sum(mixing.poisson_count(by_id[d], rates.get(s, 0.0)) for d, _, s in EDGE if s)
+    assert len(got) == want and {r.rate for r in got} == {"x"} and None not in rates
 
 
 # --- 10 ---
@@ -505,6 +547,39 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == brute([(d, t) for d, t, _ in rows], 2)
 
 
+def boilerplate(n):
+    """Documents that share 200 words, beside 55 of their own: likeness below 0.8, and buckets by the thousand in common."""
+    line = prose(70_000, 200)
+    return [(k, f"{line} {prose(80_000 + k, 55)}", "a") for k in range(n)]
+
+
+def test_boilerplate_against_brute_force(spark):
+    rows = boilerplate(400)
+    rows += [(1000 + k, edited(rows[3 * k][1], k, 1 + k % 8), "a") for k in range(100)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs_of(spark, rows), 2, 80).collect()}
+    assert got == brute([(d, t) for d, t, _ in rows], 2) and sum(not x[2] for x in got.values()) > 50
+
+
+def test_prefixes_meet_where_sets_are_alike(spark):
+    rows = [(k, edited(prose(90_000 + k % 20, 80), k, k % 7)) for k in range(160)]
+    texts = spark.createDataFrame(rows, "node bigint, text string")
+    meet = {}
+    for r in near_dedup.prefixes(texts.select("node", F.col("node").alias("comp")), texts, 2, 80).collect():
+        meet.setdefault(r.key, set()).add(r.node)
+    sets = {d: set(near_dedup.shingles(word_hashes(t), 2).tolist()) for d, t in rows}
+    alike = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(alike) > 100 and all(any(a in x and b in x for x in meet.values()) for a, b in alike)
+
+
+def test_keep_one_with_clashing_columns(spark):
+    text = prose(1, 60)
+    df = docs_of(spark, [(1, text, "a"), (2, edited(text, 1, 1), "a"), (3, prose(2, 60), "a"), (3, prose(3, 60), "b"), (3, prose(3, 60), "b"), (None, text, "a"), (4, None, "a"), (5, "", "a")])
+    df = df.withColumns({x: F.lit("x") for x in ("_kept", "_KEPT_", "_nth", "_md5", "kept", "component_id", "comp", "digest", "bands", "n")})
+    got = near_dedup.keep_one(df)
+    assert got.columns == df.columns and sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 3, 3, 4, 5]
+    assert near_dedup.keep_one(df.limit(0)).count() == 0
+
+
 def test_near_duplicates_edges(spark):
     got = near_dedup.near_duplicates(docs_of(spark, EDGE), 2, 80).collect()
     assert len(got) == len(EDGE) and [r.kept for r in got if r.doc_id is None] == [True] and {r.component_id for r in got if r.doc_id in (3, 6)} == {3}
