@@ -509,7 +509,7 @@ def test_mix_edges(spark):
     clash = ("rate", "copy", "mix_order", "RATES", "_rate", "_mix_src", "_mix_mean", "_mix_draws", "_mix_upto", "_mix_times", "src", "n", "want")
     df = docs_of(spark, EDGE).withColumns({x: F.lit("x") for x in clash})
     got = mixing.mix(df, {"a": 1, "b": 1}).collect()
-    rates = {r.source: r["__rate"] for r in got}
+    rates = {r.source: r["_rate_"] for r in got}
     by_id = {r.doc_id: [r.u] for r in df.select("doc_id", mixing.uniform("doc_id").alias("u")).collect()}
     want = sum(mixing.poisson_count(by_id[d], rates.get(s, 0.0)) for d, _, s in EDGE if s)
     assert len(got) == want and {r.rate for r in got} == {"x"} and None not in rates
