@@ -9,12 +9,12 @@ them whole on any store and a lost task's output is never seen.
 
 from __future__ import annotations
 
-import itertools
 import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,7 +103,7 @@ class Coder:
     """
 
     #: Runs remembered, and the longest of them in bytes: together a bound in bytes. Longer runs are encoded where they stand.
-    MOST, LONGEST = 1_000_000, 48
+    MOST, LONGEST = 600_000, 48
 
     def __init__(self, vocabulary: bytes, whole: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -117,6 +117,8 @@ class Coder:
         if make.get("normalizer") == NORMALISED and make.get("pre_tokenizer") == WORDS and make["model"].get("end_of_word_suffix") == "</w>":
             self.light = Tokenizer(self.coder.model)
             self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ascii = Tokenizer(self.coder.model)  # the bytes of its letters stand for themselves
+            self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.ends = np.zeros(self.coder.get_vocab_size(), bool)
             for token, k in self.coder.get_vocab(with_added_tokens=False).items():
                 self.ends[k] = token.endswith("</w>")
@@ -124,59 +126,73 @@ class Coder:
     def learn(self, runs: list[bytes]) -> None:
         """Remember the ids (four bytes each) of runs that are new."""
         if not self.light:
-            return self._whole_runs([w.decode() for w in runs])
-        made, cores, other = [], set(), set()
+            return self._whole_runs(runs)
+        known, made, letters, others, rest = self.known, [], set(), set(), set()
+        known[b""] = b""
         for w in runs:
-            text = w.decode()
-            core = text.rstrip(".,;:!?")
-            # one word and its punctuation; letters that are one character in either case and stay under NFC
-            if core.isalpha() and (core.isascii() or max(core) < "\u0180" and "\u0130" not in core):
-                made.append((w, core := core.lower().encode(), tail := w[len(core) :]))
-                cores.add(core)
-                other.add(tail)
+            core = w.rstrip(b".,;:!?")
+            if core.isalpha():  # ASCII letters
+                low = core.lower()
+                if low not in known:
+                    letters.add(low)
             else:
-                other.add(w)
-        cores = [w.decode() for w in cores if w not in self.known]
-        for at in range(0, len(cores), 2000):
-            some = cores[at : at + 2000]
-            ids = np.array(self.light.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            self._keep(some, ids, np.flatnonzero(self.ends[ids]) + 1)
-        self._whole_runs([w.decode() for w in other if w and w not in self.known])
-        self.known[b""] = b""
+                text = core.decode()
+                # letters that are one character in either case and stay under NFC
+                if not text.isalpha() or max(text) >= "\u0180" or "\u0130" in text:
+                    rest.add(w)
+                    continue
+                low = text.lower().encode()
+                if low not in known:
+                    others.add(low)
+            if low != w:  # one word and its punctuation
+                tail = w[len(core) :]
+                made.append((w, low, tail))
+                if tail not in known:
+                    rest.add(tail)
+        for coder, cores in ((self.ascii, list(letters)), (self.light, list(others))):
+            for at in range(0, len(cores), 2000):
+                some = cores[at : at + 2000]
+                ids = np.array(coder.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+                self._keep(some, ids, np.flatnonzero(self.ends[ids]) + 1)
+        self._whole_runs(list(rest))
         for w, core, tail in made:
-            self.known[w] = self.known[core] + self.known[tail]
+            known[w] = known[core] + known[tail] if tail else known[core]
 
-    def _whole_runs(self, runs: list[str]) -> None:
+    def _whole_runs(self, runs: list[bytes]) -> None:
         for at in range(0, len(runs), 2000):
             some = runs[at : at + 2000]
-            coded = self.coder.encode(some, is_pretokenized=True, add_special_tokens=False)
+            coded = self.coder.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
             self._keep(some, np.array(coded.ids, "<u4"), np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some))))
 
-    def _keep(self, runs: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+    def _keep(self, runs: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
         data, at = ids.tobytes(), 0
         for w, end in zip(runs, (ends * 4).tolist(), strict=True):
-            self.known[w.encode()] = data[at:end]
+            self.known[w] = data[at:end]
             at = end
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text and the end id. Arrow cuts texts and numbers their distinct runs; only those meet the memory."""
         if self.whole:
-            return [np.array([*x.ids, END], "<u4") for x in self.coder.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        runs = [(t or "").encode().split() for t in texts]
+            return [np.array([*x.ids, END], "<u4") for x in self.coder.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = cut.flatten().dictionary_encode()
+        runs = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.known) > self.MOST:
             self.known.clear()
-        # (the difference of a set and a dictionary's keys would walk all of the dictionary)
-        new = [w for w in set(itertools.chain.from_iterable(runs)) if w not in self.known]
-        long = {w for w in new if len(w) > self.LONGEST}
-        self.learn([w for w in new if w not in long] if long else new)
-        end = END.to_bytes(4, "little")
-        if not long:
-            look = self.known.__getitem__
-            return [np.frombuffer(b"".join((*map(look, own), end)), "<u4") for own in runs]
-
-        def look(w: bytes) -> bytes:
-            return self.known[w] if len(w) <= self.LONGEST else np.array(self.coder.encode([w.decode()], is_pretokenized=True, add_special_tokens=False).ids, "<u4").tobytes()
-
-        return [np.frombuffer(b"".join((*map(look, own), end)), "<u4") for own in runs]
+        self.learn([w for w in runs if w not in self.known and len(w) <= self.LONGEST])
+        known = [self.known[w] if len(w) <= self.LONGEST else self._alone(w) for w in runs]
+        known.append(END.to_bytes(4, "little"))
+        ids, size = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin = np.cumsum(size) - size
+        ends = cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()
+        order = np.insert(coded.indices.to_numpy(), ends, len(runs))  # the end id after each text's last run
+        n = size[order]
+        upto = np.cumsum(n)
+        flat = ids[np.repeat(begin[order] - upto + n, n) + np.arange(upto[-1])]
+        return np.split(flat, upto[ends + np.arange(len(ends))][:-1])
+
+    def _alone(self, run: bytes) -> bytes:
+        return np.array(self.coder.encode([run.decode()], is_pretokenized=True, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def encode(docs: DataFrame, vocabulary: str | bytes, mode: str = "byte", shards: int | None = None) -> DataFrame:
@@ -201,8 +217,8 @@ def encode(docs: DataFrame, vocabulary: str | bytes, mode: str = "byte", shards:
             data.value["coder"] = Coder(data.value["vocabulary"])
         coder = data.value["coder"]
         shard, number, held, ids, n, inside = TaskContext.get().partitionId(), 0, [], [], 0, 0
-        for part in rows_of(batches, 512, 1 << 20):
-            for doc, own in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
+        for part in rows_of(batches, 2000, 4 << 20):
+            for doc, own in zip(part.column(0).to_pylist(), coder.encode(part.column(1))):
                 held.append(doc)
                 ids.append(own)
                 n += len(own)

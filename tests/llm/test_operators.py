@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -461,15 +462,17 @@ def test_coder_without_white_space():
     path = public_tokenizers.path("word_bpe_49k.json")
     coder = bit_planes.Coder(open(path, "rb").read())
     text = "".join(random.Random(2).choice("abcdefgh,.") for _ in range(3_000_000))
-    (ids,) = coder.encode([text])
+    (ids,) = coder.encode(pa.array([text]))
     assert ids.tolist() == [*coder.coder.encode(text, add_special_tokens=False).ids, 1] and set(coder.known) <= {b""}
     texts = [" ".join(prose(k, 40)) + ", " + prose(k, 30).title() for k in range(40)]
-    assert [x.tolist() for x in coder.encode(texts)] == [[*coder.coder.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [x.tolist() for x in coder.encode(pa.array(texts))] == [[*coder.coder.encode(t, add_special_tokens=False).ids, 1] for t in texts]
     letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()] + ["\u0130", "\u00aa", "\u1e9e", "\ufb01", "\u03a3"]
     texts = ["".join(random.Random(k).choices(letters, k=9)) + ".,;:!?"[k % 6 : k % 6 + k % 3] for k in range(2000)]
-    assert coder.light and [x.tolist() for x in coder.encode(texts)] == [[*coder.coder.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert coder.light and [x.tolist() for x in coder.encode(pa.array(texts))] == [[*coder.coder.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    sliced = pa.array([None, "", " \n", *texts[:5], None]).slice(1)
+    assert [x.tolist() for x in coder.encode(sliced)] == [[*coder.coder.encode(t or "", add_special_tokens=False).ids, 1] for t in sliced.to_pylist()]
     coder.MOST = 10
-    coder.encode(["One"])
+    coder.encode(pa.array(["One"]))
     assert set(coder.known) == {b"One", b"one", b""}
 
 
