@@ -137,41 +137,54 @@ def frequencies(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """``key, node, comp``: the first elements of each text of ``nodes(node, comp)``, those in few texts first. Of two texts whose
-    sets are alike enough one's ``100 * intersection >= percent * size`` holds too, so they share one of them."""
-    own = written(texts.join(nodes.select("node", "comp").distinct(), "node").select("node", "comp", "text"), "mixed-texts")
+    """``region, members, node, n, comp``: the documents of several components that have an element in common among their first.
+
+    The first of a text's elements are those in few texts, as many as make ``100 * intersection >= percent * size`` impossible
+    without one of them; so of two texts that are alike enough each has one of them in common. Elements that the same
+    documents share are one region.
+    """
+    own = written(texts.join(nodes.select("node", "n", "comp").distinct(), "node").select("node", "n", "comp", "text"), "mixed-texts")
     counted = texts.sparkSession.sparkContext.broadcast(frequencies(own, width))
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("comp", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("comp", pa.int64())])
 
     def run(batches):
         many = counted.value
         for part in rows_of(batches):
             keys, sizes = [], []
-            for text in part.column(2).to_pylist():
+            for text in part.column(3).to_pylist():
                 x = np.unique(shingles(word_hashes(text), width))
                 first = len(x) - -(-percent * len(x) // 100) + 1
                 keys.append(x[np.lexsort((x, many[(x & U64(COUNTERS - 1)).astype(np.int64)]))[:first]])
                 sizes.append(len(keys[-1]))
             again = lambda c: pa.array(np.repeat(c.to_numpy(), sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), again(part.column(0)), again(part.column(1))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(again(part.column(k)) for k in range(3))], schema=schema)
+
+    rows = written(own.mapInArrow(run, "key bigint, node bigint, n bigint, comp bigint"), "prefixes")
+    group = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    regions = written(group.groupBy("members", "sign").agg(F.min("key").alias("key")).select("key", "members"), "regions")
+    return written(rows.join(regions, "key").select(F.col("key").alias("region"), "members", "node", "n", "comp"), "placed")
+
+
+#: Documents of a region up to which its pairs are listed; larger ones are compared in cells.
+FEW = 64
+
 
-    rows = written(own.mapInArrow(run, "key bigint, node bigint, comp bigint"), "prefixes")
-    several = written(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "prefix-keys")
-    return written(rows.join(several, "key"), "prefixes")
+def confirmed_in_regions(placed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between documents of different components of a region of ``placed``."""
+    few, many = placed.filter(F.col("members") <= FEW), placed.filter(F.col("members") > FEW)
+    a, b = few.alias("a"), few.alias("b")
+    pairs = a.join(b, (F.col("a.region") == F.col("b.region")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & _compatible("a.n", "b.n", percent))
+    listed = written(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
+    return confirmed(listed, texts, width, percent).unionByName(confirmed_in_blocks(many, texts, width, percent))
 
 
-def confirmed_in_blocks(mixed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between components that meet under a key of ``mixed(key, node, comp)``.
+def confirmed_in_blocks(placed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between components that meet in a region of ``placed(region, node, comp)``.
 
-    Keys that share documents form a region. In a region, every document outside its largest component meets every
-    other, in cells of at most about ``BLOCK`` by ``BLOCK``: texts are sent once a block, not once a pair, and a cell
-    compares its sets through one sorted list. Only links come out.
+    In a region, every document outside its largest component meets every other, in cells of at most about ``BLOCK`` by
+    ``BLOCK``: texts are sent once a block, not once a pair, and a cell compares its sets through one sorted list. Only links
+    come out.
     """
-    lead = mixed.groupBy("key").agg(F.min("node").alias("lead"))
-    near_by = mixed.join(lead, "key").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    region = components(near_by).select(F.col("node").alias("_node"), F.col("component").alias("region"))
-    nodes = mixed.select("node", "comp").distinct()
-    placed = written(nodes.join(region, nodes.node == region._node).select("node", "comp", "region"), "regions")
     sizes = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.sum("c").alias("all_n"), F.max("c").alias("most_n"))
     blocks = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
     set_up = placed.join(sizes.select(F.col("region").alias("_r"), "most", blocks(F.col("all_n")).alias("cols"), blocks(F.col("all_n") - F.col("most_n")).alias("rows")), F.col("region") == F.col("_r"))
@@ -238,7 +251,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
             pairs = mixed.join(lead, "key").filter((F.col("comp") != F.col("ac")) & _compatible("n", "an", percent)).select("a", F.col("node").alias("b"))
             new = written(confirmed(pairs.distinct(), texts, width, percent), "links")
         else:  # whatever could still join components
-            new = written(confirmed_in_blocks(prefixes(mixed, texts, width, percent), texts, width, percent), "links")
+            new = written(confirmed_in_regions(prefixes(mixed, texts, width, percent), texts, width, percent), "links")
         links = new if links is None else links.unionByName(new)
         labels = written(components(links), "labels")
         if turn < 2:

@@ -567,11 +567,17 @@ def test_prefixes_meet_where_sets_are_alike(spark):
     rows = [(k, edited(prose(90_000 + k % 20, 80), k, k % 7)) for k in range(160)]
     texts = spark.createDataFrame(rows, "node bigint, text string")
     meet = {}
-    for r in near_dedup.prefixes(texts.select("node", F.col("node").alias("comp")), texts, 2, 80).collect():
-        meet.setdefault(r.key, set()).add(r.node)
+    for r in near_dedup.prefixes(texts.select("node", F.lit(9).cast("bigint").alias("n"), F.col("node").alias("comp")), texts, 2, 80).collect():
+        meet.setdefault(r.region, set()).add(r.node)
     sets = {d: set(near_dedup.shingles(word_hashes(t), 2).tolist()) for d, t in rows}
     alike = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert len(alike) > 100 and all(any(a in x and b in x for x in meet.values()) for a, b in alike)
+    placed = near_dedup.prefixes(texts.select("node", F.lit(9).cast("bigint").alias("n"), F.col("node").alias("comp")), texts, 2, 80)
+    for few in (0, 64):  # in cells only, and as pairs
+        near_dedup.FEW, before = few, near_dedup.FEW
+        found = {tuple(sorted(r)) for r in near_dedup.confirmed_in_regions(placed, texts, 2, 80).collect()}
+        near_dedup.FEW = before
+        assert found >= set(alike) if few else {x for p in found for x in p} == {x for p in alike for x in p}
 
 
 def test_keep_one_with_clashing_columns(spark):
