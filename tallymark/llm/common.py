@@ -33,6 +33,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers (24 bytes) up to which a table is broadcast; larger ones are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of a few numbers a row, marked for a broadcast if its rows are few enough."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it in any case: Spark's names ignore it."""
     taken = {c.lower() for c in df.columns}

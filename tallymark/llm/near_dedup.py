@@ -5,9 +5,8 @@ bin with value i + hash; after t such rounds element minima are forced into bins
 fills. Equal bins of two sets have the chance of their Jaccard similarity, with concentration about it. Bands of bins
 give buckets; buckets give candidates; candidates are confirmed on the full sets.
 
-Equal sets are one class from the start. Classes in a bucket are compared with the bucket's leader, then, as long as a
-bucket spans several components, with another leader. What could still join two components is found by prefix filtering,
-which is exact: in any one order of all elements, two sets that are alike enough share one of the first few of either. The
+Equal sets are one class from the start. Classes in a bucket are compared with the bucket's leader. Where a bucket still spans
+several components, what could join two of them is found by prefix filtering, which is exact: in any one order of all elements, two sets that are alike enough share one of the first few of either. The
 order puts elements that many sets have last, so text that a template repeats makes no candidates, and sets that share a
 first element and lie in different components are compared, all of them.
 """
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, rows_of, shingles, unused, word_hashes, written
+from .common import U64, mix64, rows_of, shingles, small, unused, word_hashes, written
 from .components import components
 
 BANDS, ROWS = 24, 4
@@ -243,23 +242,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     member = written(banded.join(shared, "key"), "members")
-    texts = written(docs.select("doc_id", "text").join(member.select("node").distinct(), F.col("doc_id") == F.col("node"), "inner").select("node", "text"), "texts")
-    links, labels, mixed = None, None, member.withColumn("comp", F.col("node"))
-    for turn in range(3):
-        if turn < 2:  # against one leader a bucket
-            lead = written(mixed.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("lead")).select("key", F.col("lead.node").alias("a"), F.col("lead.n").alias("an"), F.col("lead.comp").alias("ac")), "leads")
-            pairs = mixed.join(lead, "key").filter((F.col("comp") != F.col("ac")) & _compatible("n", "an", percent)).select("a", F.col("node").alias("b"))
-            new = written(confirmed(pairs.distinct(), texts, width, percent), "links")
-        else:  # whatever could still join components
-            new = written(confirmed_in_regions(prefixes(mixed, texts, width, percent), texts, width, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        labels = written(components(links), "labels")
-        if turn < 2:
-            now = written(member.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp")), "labelled")
-            several = written(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "several")
-            mixed = written(now.join(several, "key"), "mixed")
-            if mixed.isEmpty():
-                break
+    nodes = small(written(member.select("node").distinct(), "nodes"))
+    texts = written(docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("node"), "inner").select("node", "text"), "texts")
+    # against one leader a bucket
+    lead = member.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.col("node")).alias("lead")).select("key", F.col("lead.node").alias("a"), F.col("lead.n").alias("an"))
+    pairs = member.join(lead, "key").filter((F.col("node") != F.col("a")) & _compatible("n", "an", percent)).select("a", F.col("node").alias("b"))
+    links = written(confirmed(pairs.distinct(), texts, width, percent), "links")
+    labels = written(components(links), "labels")
+    now = member.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    several = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    mixed = written(now.join(several, "key"), "mixed")
+    if not mixed.isEmpty():  # whatever could still join components
+        more = written(confirmed_in_regions(prefixes(mixed, texts, width, percent), texts, width, percent), "links")
+        labels = written(components(links.unionByName(more)), "labels")
     belongs = classes.join(labels, "node", "left").select(F.col("digest").alias("cls"), F.coalesce("component", "node").alias("comp"))
     out = own.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     return out.join(belongs, out.digest == belongs.cls, "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("comp", "doc_id")).alias("kept"))
