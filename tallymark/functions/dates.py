@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from .text import _rule, fold_marks, let
 
+# The four spellings that are read, in this order, and what may stand between their parts.
 NAMED = r"\b(\d{1,2})[-/\s.,]+([a-z]{3,9})[-/\s.,]+(\d{2,4})\b"
 NAMED_FIRST = r"\b([a-z]{3,9})[-/\s.,]+(\d{1,2})[-/\s.,]+(\d{2,4})\b"
 ISO = r"\b(\d{4})[-/. ](\d{1,2})[-/. ](\d{1,2})\b"
@@ -16,9 +17,13 @@ DAY_FIRST = r"\b(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{2,4})\b"
 
 
 def date_cleaned(raw: Column) -> Column:
-    low = F.lower(fold_marks(F.trim(raw)))
-    bare = F.regexp_replace(low, r"\b(dob|date of birth|birth date|d\.o\.b|date|dt)\b[:\s]*", "")
-    return F.regexp_replace(bare, r"^\W+|\W+$", "")
+    def clean(low: Column, flag: str) -> Column:
+        bare = F.regexp_replace(low, flag + r"\b(dob|date of birth|birth date|d\.o\.b|date|dt)\b[:\s]*", "")
+        return F.regexp_replace(bare, flag + r"^\W+|\W+$", "")
+
+    # most dates are ASCII: marks are folded, and letters beyond it known, only where there are any
+    plain = clean(F.lower(F.trim(raw)), "")
+    return F.when(raw.rlike(r"[^\x00-\x7F]"), clean(F.lower(fold_marks(F.trim(raw))), "(?U)")).otherwise(plain)
 
 
 def date_parts(raw: Column) -> Column:
@@ -45,7 +50,8 @@ def date_parts(raw: Column) -> Column:
         return F.struct(F.when(good, F.format_string("%04d-%02d-%02d", v["y"], v["m"], v["d"])).otherwise(t).alias("value"), F.array_sort(F.array_distinct(trace)).alias("rules"))
 
     def kinds(t: Column) -> Column:
-        found = F.struct(*[F.regexp_extract(t, p, 0).alias(n) for n, p in (("named", NAMED), ("first", NAMED_FIRST), ("iso", ISO), ("dmy", DAY_FIRST))])
+        letters = t.rlike("[a-z]")
+        found = F.struct(*[F.when(letters, F.regexp_extract(t, p, 0)).otherwise("").alias(n) for n, p in (("named", NAMED), ("first", NAMED_FIRST))], *[F.regexp_extract(t, p, 0).alias(n) for n, p in (("iso", ISO), ("dmy", DAY_FIRST))])
         pick = lambda m: F.when(m["named"] != "", F.struct(F.lit("named").alias("kind"), F.split(m["named"], SEPARATORS).alias("p"))).when(m["first"] != "", F.struct(F.lit("first").alias("kind"), F.split(m["first"], SEPARATORS).alias("p"))).when(m["iso"] != "", F.struct(F.lit("iso").alias("kind"), F.split(m["iso"], SEPARATORS).alias("p"))).when(m["dmy"] != "", F.struct(F.lit("dmy").alias("kind"), F.split(m["dmy"], SEPARATORS).alias("p"))).otherwise(F.struct(F.lit("none").alias("kind"), F.array().cast("array<string>").alias("p")))
         return let(let(found, pick), lambda k: judge(t, k))
 
@@ -53,6 +59,13 @@ def date_parts(raw: Column) -> Column:
     return F.when(empty, F.struct(F.lit("").alias("value"), F.array(F.lit("RULE_DATE_EMPTY")).alias("rules"))).otherwise(let(date_cleaned(raw), kinds))
 
 
+def with_date_parts(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with ``date_parts`` of a column as ``name``, worked out once for each distinct spelling: there are some ten thousand
+    of them however many rows there are. The distinct ones are found by a partial aggregation and joined back."""
+    known = df.select(F.col(column).alias("_raw")).distinct().select("_raw", date_parts(F.col("_raw")).alias(name))
+    return df.join(known, F.col(column).eqNullSafe(F.col("_raw")), "left").drop("_raw")
+
+
 def date_value(raw: Column) -> Column:
     return date_parts(raw)["value"]
 

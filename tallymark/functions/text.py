@@ -26,7 +26,7 @@ def _marked() -> str:
 def split_marks(c: Column) -> Column:
     """NFKD with a space in the place of every combining mark."""
     source, target = _fold_table()
-    return F.regexp_replace(F.translate(F.regexp_replace(c, f"([{_marked()}])", "$1 "), source, target), r"\p{Mn}", " ")
+    return _beyond_ascii(c, F.regexp_replace(F.translate(F.regexp_replace(c, f"([{_marked()}])", "$1 "), source, target), r"\p{Mn}", " "))
 
 
 @lru_cache(1)
@@ -45,7 +45,12 @@ def _fold_table() -> tuple[str, str]:
 def fold_marks(c: Column) -> Column:
     """NFKD without combining marks, for every letter that becomes a single character (Latin, Greek, Cyrillic, signs)."""
     source, target = _fold_table()
-    return F.regexp_replace(F.translate(c, source, target), r"\p{Mn}", "")
+    return _beyond_ascii(c, F.regexp_replace(F.translate(c, source, target), r"\p{Mn}", ""))
+
+
+def _beyond_ascii(c: Column, folded: Column) -> Column:
+    """``folded`` where ``c`` has other than ASCII characters; most values have none, and their folding costs nothing."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
 @F.pandas_udf(T.StringType())

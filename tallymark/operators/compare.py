@@ -31,6 +31,27 @@ def pair_fields(pairs: DataFrame, fields: DataFrame) -> DataFrame:
     return both.filter(gate & (F.col("field_b").isNotNull() | ids.expected_on(F.col("field_a"), F.col("type_b")))).withColumnRenamed("field_a", "field").withColumn("missing", F.col("field_b").isNull()).drop("field_b")
 
 
+def case_pair_fields(documents: DataFrame, fields: DataFrame) -> DataFrame:
+    """The rows of ``pair_fields(document_pairs(documents), fields)`` with one shuffle: a case's documents and fields are gathered
+    into one row and unfolded there. For cases of a bounded number of documents, as ``pipeline.complete_bundles`` lets pass;
+    what follows may group by case without another shuffle."""
+    d = documents.select("case_id", F.struct("idx", "doc_id", "doc_type").alias("d"))
+    f = fields.select("case_id", F.struct("doc_id", "field", "value_raw", "value_norm", "ocr_conf").alias("f"))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = d.select("case_id", "d", none(f, "f")).unionByName(f.select("case_id", none(d, "d"), "f"))
+    case = both.groupBy("case_id").agg(F.array_sort(F.collect_list("d")).alias("ds"), F.collect_list("f").alias("fs"))
+    pairs = F.flatten(F.transform("ds", lambda a: F.transform(F.filter("ds", lambda b: b["idx"] > a["idx"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    unfolded = case.select("case_id", "fs", F.explode(pairs).alias("p"))
+    first = unfolded.select("case_id", "fs", "p", F.explode(F.filter("fs", lambda x: x["doc_id"] == F.col("p.a.doc_id"))).alias("fa"))
+    rows = first.select("case_id", "p", "fa", F.explode_outer(F.filter("fs", lambda x: (x["doc_id"] == F.col("p.b.doc_id")) & (x["field"] == F.col("fa.field")))).alias("fb"))
+    flat = rows.select(
+        "case_id", F.col("p.a.doc_id").alias("doc_a"), F.col("p.b.doc_id").alias("doc_b"), F.col("p.a.doc_type").alias("type_a"), F.col("p.b.doc_type").alias("type_b"), (F.col("p.a.idx") * 1000 + F.col("p.b.idx")).alias("pair_ord"),
+        F.col("fa.field").alias("field"), *(F.col(f"f{x}.{c}").alias(f"{n}_{x}") for x in "ab" for c, n in (("value_raw", "raw"), ("value_norm", "norm"), ("ocr_conf", "conf"))), F.col("fb").isNull().alias("missing"),
+    )
+    gate = ids.should_compare(F.col("field"), F.col("type_a"), F.col("type_b"), F.coalesce("norm_a", F.lit("")), F.coalesce("norm_b", F.lit("")))
+    return flat.filter(gate & (~F.col("missing") | ids.expected_on(F.col("field"), F.col("type_b"))))
+
+
 def initial_match(a: Column, b: Column) -> Column:
     """As many words, and each equal or one the other's initial."""
     pairs = F.arrays_zip(F.split(a, " ").alias("x"), F.split(b, " ").alias("y"))
@@ -38,6 +59,14 @@ def initial_match(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (F.size(F.split(a, " ")) == F.size(F.split(b, " "))) & F.forall(pairs, lambda p: F.coalesce(fits(p), F.lit(False)))
 
 
+def initial_rules(a: Column, b: Column) -> Column:
+    """A rule id for each word that is the other side's initial, where both names have as many words."""
+    pairs = F.arrays_zip(F.split(a, " ").alias("x"), F.split(b, " ").alias("y"))
+    fits = lambda p: (p["x"] != p["y"]) & (((F.length(p["x"]) == 1) & p["y"].startswith(p["x"])) | ((F.length(p["y"]) == 1) & p["x"].startswith(p["y"])))
+    named = F.transform(F.filter(pairs, lambda p: F.coalesce(fits(p), F.lit(False))), lambda p: F.concat(F.lit("RULE_NAME_INITIAL_EXPAND_"), F.upper(p["x"]), F.lit("_"), F.upper(p["y"])))
+    return F.when((a != b) & (F.size(F.split(a, " ")) == F.size(F.split(b, " "))), named).otherwise(F.array().cast("array<string>"))
+
+
 def _named(cfg: C.Config) -> Column:
     """Verdict of two names, from columns norm_a, norm_b and the scores (null where the names are equal)."""
     a, b = F.col("norm_a"), F.col("norm_b")
@@ -90,6 +119,7 @@ def pair_confidence(verdict: Column, sim: Column, conf_a: Column, conf_b: Column
     return F.round(conf_a * conf_b * F.greatest(F.lit(0.5), signal), 3)
 
 
+# The sentences that go with each verdict.
 def action(verdict: Column, doc_a: Column, doc_b: Column) -> Column:
     return (
         F.when(verdict == "MATCH", "No action required (consistent)")
@@ -126,7 +156,8 @@ def verdicts(pair_rows: DataFrame, cfg: C.Config = C.DEFAULT, kinds: tuple[str,
         for x in "ab":
             there = there.withColumn(f"name_{x}", F.when(F.col("kind") == "name", F.col(f"norm_{x}")))
         there = similarity.with_scores(there, "name_a", "name_b", similarity.name_scores_udf, "scores").drop("name_a", "name_b")
-        add("name", one(_named(cfg)))
+        named = _named(cfg)
+        add("name", F.struct(named["verdict"].alias("verdict"), named["similarity"].alias("similarity"), F.concat(initial_rules(F.col("norm_a"), F.col("norm_b")), F.array(named["rule"])).alias("rules")))
     if "address" in kinds:
         for x in "ab":
             there = there.withColumn(f"comp_{x}", F.when(F.col("kind") == "address", address_components_of(f"raw_{x}"))).withColumn(f"street_{x}", F.col(f"comp_{x}.street_locality"))

@@ -26,6 +26,23 @@ def edit_flags(common: DataFrame, most: float = 0.15) -> DataFrame:
     return common.withColumn("cer", cer(F.lower("raw_a"), F.lower("raw_b"))).filter(F.col("cer") > most)
 
 
+def flags(common: DataFrame, most: float = 0.15) -> DataFrame:
+    """``method, case_id, field`` of both baselines in one pass."""
+    method = F.array_compact(F.array(F.when(F.trim("raw_a") != F.trim("raw_b"), "naive"), F.when(cer(F.lower("raw_a"), F.lower("raw_b")) > most, "edit")))
+    return common.select(F.explode(method).alias("method"), "case_id", "field")
+
+
+def full_flags(findings: DataFrame) -> DataFrame:
+    """What the whole method flags: findings that are real mismatches."""
+    return findings.filter("verdict = 'MISMATCH'").select(F.lit("full").alias("method"), "case_id", "field")
+
+
+def split_degraded(cases: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Cases without and with degraded scans: ``n_degraded`` below ``least``, or not."""
+    bad = F.coalesce(F.col("n_degraded"), F.lit(0)) >= least
+    return cases.filter(~bad), cases.filter(bad)
+
+
 def extraction(truth: DataFrame, fields: DataFrame) -> DataFrame:
     """Truth beside what was extracted, by document id or else file name: ``cer`` and ``exact`` (at most .05)."""
     f = fields.select("case_id", F.col("doc_id").alias("of"), F.col("field").alias("ff"), F.col("value_raw").alias("found"))

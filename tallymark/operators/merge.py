@@ -26,12 +26,44 @@ def merge_fields(v: DataFrame) -> DataFrame:
         in_order("rule_ids").alias("rule_ids"), in_order("reasons").alias("reasons"),
         F.min_by("suggested_action", F.struct("rank", "pair_ord")).alias("action"), F.count(F.lit(1)).alias("n_pairs"),
         F.array_sort(F.array_union(F.collect_set("doc_a"), F.collect_set("doc_b"))).alias("docs"),
-        F.collect_set(F.struct(F.col("doc_a").alias("doc"), F.col("raw_a").alias("value"))).alias("_ra"), F.collect_set(F.struct(F.col("doc_b").alias("doc"), F.col("raw_b").alias("value"))).alias("_rb"),
+        *(F.collect_set(F.struct(F.col(f"doc_{x}").alias("doc"), F.col(f"{n}_{x}").alias("value"))).alias(f"_{n}_{x}") for n in ("raw", "norm") for x in "ab"),
     )
-    # a document that lacks the field in one pair and has it in none shows as absent; a value wins over absence
-    sides = F.array_sort(F.array_union("_ra", "_rb"))
-    valued = F.transform(F.col("docs"), lambda d: F.struct(d.alias("k"), F.element_at(F.transform(F.filter(sides, lambda s: s["doc"] == d), lambda s: s["value"]), -1).alias("v")))
-    return merged.withColumn("values_raw", F.map_from_entries(valued)).withColumn("finding_id", F.concat_ws("_", "field", F.array_join("docs", "_"))).withColumn("suggested_action", F.when(F.col("verdict") == "MATCH", "Verify manually against original document").otherwise(F.col("action"))).drop("_ra", "_rb", "action")
+
+    def by_document(n: str) -> Column:
+        # a document that lacks the field in one pair and has it in none shows as absent; a value wins over absence
+        sides = F.array_sort(F.array_union(f"_{n}_a", f"_{n}_b"))
+        return F.map_from_entries(F.transform(F.col("docs"), lambda d: F.struct(d.alias("k"), F.element_at(F.transform(F.filter(sides, lambda s: s["doc"] == d), lambda s: s["value"]), -1).alias("v"))))
+
+    return merged.withColumn("values_raw", by_document("raw")).withColumn("values_norm", by_document("norm")).withColumn("finding_id", F.concat_ws("_", "field", F.array_join("docs", "_"))).withColumn("suggested_action", F.when(F.col("verdict") == "MATCH", "Verify manually against original document").otherwise(F.col("action"))).drop("_raw_a", "_raw_b", "_norm_a", "_norm_b", "action")
+
+
+ABSENT = "[NOT PRESENT]"
+
+
+def with_evidence(merged: DataFrame, documents: DataFrame, fields: DataFrame) -> DataFrame:
+    """``evidence`` and ``bboxes`` beside merged findings: for each document of a finding, in their order, where its value was read.
+
+    ``documents``: case_id, doc_id, doc_type and, if known, filename. ``fields`` may have x, y, w, h (the value's box),
+    source_text_span, line_x .. line_h, source_line_conf and page; what is not there is null. A document without the field has
+    an entry that says so, with confidence 1. One entry a document: the first found, where one with a span comes before
+    one without.
+    """
+    have = set(fields.columns)
+    text = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
+    box = lambda *c: F.array(*(F.col(x).cast("int") for x in c)) if set(c) <= have else F.lit(None).cast("array<int>")
+    entry = F.struct(
+        F.col("doc_id").alias("doc_id"), F.col("value_raw").alias("value_raw"), F.col("value_norm").alias("value_norm"), text("source_text_span", "string").alias("source_text_span"), box("line_x", "line_y", "line_w", "line_h").alias("source_line_bbox"),
+        text("source_line_conf", "double").alias("source_line_conf"), F.col("ocr_conf").cast("double").alias("ocr_conf"), F.coalesce(text("page", "int"), F.lit(1)).alias("page"), box("x", "y", "w", "h").alias("bbox"),
+    )
+    names = documents.select("case_id", F.col("doc_id").alias("_doc"), F.col("filename" if "filename" in documents.columns else "doc_id").alias("doc_name"), "doc_type")
+    one = fields.withColumn("_e", entry).groupBy("case_id", "field", F.col("doc_id").alias("_doc")).agg(F.min_by("_e", F.struct(F.col("_e.source_text_span").isNull(), "_e")).alias("_e"))
+    wanted = merged.select("case_id", "field", F.posexplode("docs").alias("_at", "_doc"))
+    read = wanted.join(one, ["case_id", "field", "_doc"], "left").join(names, ["case_id", "_doc"], "left")
+    blank = F.struct(F.col("_doc").alias("doc_id"), F.lit(ABSENT).alias("value_raw"), F.lit(ABSENT).alias("value_norm"), *(F.lit(None).cast(k).alias(n) for n, k in (("source_text_span", "string"), ("source_line_bbox", "array<int>"), ("source_line_conf", "double"))), F.lit(1.0).alias("ocr_conf"), F.lit(1).alias("page"), F.lit(None).cast("array<int>").alias("bbox"))
+    full = read.withColumn("_e", F.coalesce("_e", blank)).select("case_id", "field", F.struct("_at", F.struct("doc_name", "doc_type", "_e.*").alias("e")).alias("x"))
+    gathered = full.groupBy("case_id", "field").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("evidence"))
+    boxes = F.map_from_entries(F.transform("evidence", lambda e: F.struct(e["doc_id"].alias("k"), e["bbox"].alias("v"))))
+    return merged.join(gathered, ["case_id", "field"], "left").withColumn("bboxes", boxes)
 
 
 def findings(merged: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ class Screening:
 
 def screen_fields(documents: DataFrame, fields: DataFrame, cfg: C.Config = C.DEFAULT, kinds: tuple[str, ...] = compare.KINDS) -> Screening:
     """From normalised fields: pairs, verdicts, merge, risk. ``documents``: case_id, idx, doc_id, doc_type."""
-    found = compare.verdicts(compare.pair_fields(compare.document_pairs(documents), fields), cfg, kinds)
+    found = compare.verdicts(compare.case_pair_fields(documents, fields), cfg, kinds)
     merged = merge.merge_fields(found)
     return Screening(documents, fields, found, merged, score.case_risk(merge.findings(merged), documents, cfg))
 

@@ -40,8 +40,8 @@ def normal_fields(spark: SparkSession, sf: str, names) -> DataFrame:
 def native_screening(spark: SparkSession, sf: str) -> pipeline.Screening:
     """Birth dates and identifiers only, so every step is native."""
     b = bundles(spark, sf)
-    raw = raw_fields(b, ("dob", "id_number"))
-    norm = raw.withColumn("value_norm", F.when(F.col("field") == "dob", dates.date_value(F.col("value_raw"))).otherwise(ids.id_value(F.col("value_raw"))))
+    raw = dates.with_date_parts(raw_fields(b, ("dob", "id_number")).withColumn("_dob", F.when(F.col("field") == "dob", F.col("value_raw"))), "_dob", "_p")
+    norm = raw.withColumn("value_norm", F.when(F.col("field") == "dob", F.col("_p.value")).otherwise(ids.id_value(F.col("value_raw"))))
     return pipeline.screen_fields(documents_of(b), norm, kinds=("date", "id"))
 
 
@@ -50,8 +50,7 @@ def native_screening(spark: SparkSession, sf: str) -> pipeline.Screening:
 
 @query
 def dob_normalize(spark, sf):
-    p = dates.date_parts(F.col("dob"))
-    return bundles(spark, sf).withColumn("p", p).select("case_id", "doc_id", "dob", F.col("p.value").alias("iso"), F.array_join("p.rules", ",").alias("rules"))
+    return dates.with_date_parts(bundles(spark, sf), "dob", "p").select("case_id", "doc_id", "dob", F.col("p.value").alias("iso"), F.array_join("p.rules", ",").alias("rules"))
 
 
 DATE_SQL = r"""
@@ -581,8 +580,9 @@ def _common(spark, sf):
     return evaluate.common_fields(compare.document_pairs(documents_of(b)), raw_fields(b, ("name", "address")))
 
 
-_COMMON = f"""WITH {BUNDLE_SQL}, f AS (SELECT case_id, idx, doc_id, 'name' AS field, name AS v FROM bundles UNION ALL SELECT case_id, idx, doc_id, 'address', address FROM bundles WHERE address IS NOT NULL),
-common AS (SELECT a.case_id, a.doc_id AS doc_a, b.doc_id AS doc_b, a.field, a.v AS raw_a, b.v AS raw_b, least(1.0::DOUBLE, levenshtein(lower(a.v), lower(b.v))::DOUBLE / length(a.v)) AS cer FROM f a JOIN f b ON a.case_id = b.case_id AND a.field = b.field AND a.idx < b.idx)"""
+_COMMON = f"""WITH {BUNDLE_SQL}, f AS MATERIALIZED (SELECT case_id, idx, doc_id, 'name' AS field, name AS v FROM bundles UNION ALL SELECT case_id, idx, doc_id, 'address', address FROM bundles WHERE address IS NOT NULL),
+common AS MATERIALIZED (SELECT a.case_id, a.doc_id AS doc_a, b.doc_id AS doc_b, a.field, a.v AS raw_a, b.v AS raw_b FROM f a JOIN f b ON a.case_id = b.case_id AND a.field = b.field WHERE a.idx < b.idx),
+edits AS (SELECT *, least(1.0::DOUBLE, levenshtein(lower(raw_a), lower(raw_b))::DOUBLE / length(raw_a)) AS cer FROM common WHERE lower(raw_a) <> lower(raw_b))"""
 
 
 @query
@@ -598,7 +598,7 @@ def edit_baseline(spark, sf):
     return evaluate.edit_flags(_common(spark, sf)).withColumn("cer", F.round("cer", 6))
 
 
-ORACLE["edit_baseline"] = f"{_COMMON} SELECT case_id, doc_a, doc_b, field, raw_a, raw_b, round(cer, 6) AS cer FROM common WHERE cer > 0.15"
+ORACLE["edit_baseline"] = f"{_COMMON} SELECT case_id, doc_a, doc_b, field, raw_a, raw_b, round(cer, 6) AS cer FROM edits WHERE cer > 0.15"
 
 
 def _injected(spark, sf):
@@ -611,19 +611,53 @@ def _injected(spark, sf):
 @query
 def eval_prf(spark, sf):
     """Naive and edit-distance baselines against the injected changes."""
-    c = _common(spark, sf)
-    flagged = evaluate.naive_flags(c).select(F.lit("naive").alias("method"), "case_id", "field").unionByName(evaluate.edit_flags(c).select(F.lit("edit").alias("method"), "case_id", "field"))
-    return evaluate.derived(evaluate.counts(_injected(spark, sf), flagged, ("naive", "edit")))
+    return evaluate.derived(evaluate.counts(_injected(spark, sf), evaluate.flags(_common(spark, sf)), ("naive", "edit")))
 
 
 ORACLE["eval_prf"] = f"""{_COMMON}, inj AS (SELECT case_id, 'address' AS field, 'error' AS kind FROM bundles WHERE idx = 1 AND case_id % 17 = 0 UNION ALL SELECT case_id, 'name', 'benign' FROM bundles WHERE idx = 1 AND case_id % 5 < 3),
-fl AS (SELECT DISTINCT 'naive' AS method, case_id, field FROM common WHERE trim(raw_a) <> trim(raw_b) UNION SELECT 'edit', case_id, field FROM common WHERE cer > 0.15),
+fl AS (SELECT DISTINCT 'naive' AS method, case_id, field FROM common WHERE trim(raw_a) <> trim(raw_b) UNION SELECT 'edit', case_id, field FROM edits WHERE cer > 0.15),
 k AS (SELECT m.method, count(*) FILTER (kind = 'error' AND fl.case_id IS NOT NULL) AS tp, count(*) FILTER (kind = 'error' AND fl.case_id IS NULL) AS fn, count(*) FILTER (kind = 'benign' AND fl.case_id IS NOT NULL) AS fp, count(*) FILTER (kind = 'benign') AS benign
   FROM inj, (VALUES ('naive'), ('edit')) m(method) LEFT JOIN fl ON fl.method = m.method AND fl.case_id = inj.case_id AND fl.field = inj.field GROUP BY m.method),
 q AS (SELECT *, tp::DOUBLE / greatest(1, tp + fp) AS p, tp::DOUBLE / greatest(1, tp + fn) AS r FROM k)
 SELECT method, tp, fp, fn, benign, round(p, 3) AS precision, round(r, 3) AS recall, round(p * 2 * r / greatest(0.001::DOUBLE, p + r), 3) AS f1, round(fp::DOUBLE / greatest(1, benign), 3) AS fpr FROM q"""
 
 
+def _injected_names_dates(spark, sf):
+    """What the bundles' rules change: errors in birth dates, benign spellings of names (initials, word order)."""
+    k = F.col("case_id")
+    of = lambda cond, field, kind: F.when(cond, F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind")))
+    changes = F.array_compact(F.array(of((k % 7 == 0) | (k % 13 == 0), "dob", "error"), of(k % 5 < 2, "name", "benign")))
+    return bundles(spark, sf).filter("idx = 1").select("case_id", F.explode(changes).alias("e")).select("case_id", "e.field", "e.kind")
+
+
+@query
+def eval_prf_full(spark, sf):
+    """The whole method beside the baselines, on names and birth dates of every document."""
+    b = bundles(spark, sf)
+    common = evaluate.common_fields(compare.document_pairs(documents_of(b)), raw_fields(b, ("name", "dob")))
+    full = pipeline.screen_fields(documents_of(b), normal_fields(spark, sf, ("name", "dob")), kinds=("name", "date")).findings
+    return evaluate.derived(evaluate.counts(_injected_names_dates(spark, sf), evaluate.flags(common).unionByName(evaluate.full_flags(full))))
+
+
+@query
+def finding_evidence(spark, sf):
+    """Where each finding's values were read, an entry a document; boxes and lines are those of the bundles' own layout."""
+    b = bundles(spark, sf)
+    s = native_screening(spark, sf)
+    f = s.fields.withColumns({"x": F.col("idx") * 10, "y": F.lit(20), "w": F.length("value_raw"), "h": F.lit(18), "source_text_span": F.when(F.col("idx") < 3, F.concat(F.col("field"), F.lit(": "), F.col("value_raw")))})
+    found = merge.with_evidence(merge.findings(s.merged), documents_of(b), f)
+    e = found.select("case_id", "field", F.posexplode("evidence").alias("n", "e"), "values_norm", "bboxes")
+    return e.select("case_id", "field", "n", "e.doc_id", "e.doc_type", "e.value_raw", F.coalesce("e.source_text_span", F.lit("")).alias("span"), F.element_at("values_norm", F.col("e.doc_id")).alias("value_norm"), F.element_at(F.element_at("bboxes", F.col("e.doc_id")), 1).alias("x"))
+
+
+ORACLE["finding_evidence"] = rf"""WITH {VERDICT_SQL}, d AS (
+  SELECT m.case_id, m.field, unnest(list_sort(list_distinct(list_concat(list(p.doc_a), list(p.doc_b))))) AS doc_id FROM merged m JOIN pair_verdicts p ON p.case_id = m.case_id AND p.field = m.field WHERE m.verdict <> 'MATCH' GROUP BY m.case_id, m.field
+)
+SELECT d.case_id, d.field, (row_number() OVER (PARTITION BY d.case_id, d.field ORDER BY d.doc_id) - 1)::INT AS n, d.doc_id, b.doc_type, CASE WHEN d.field = 'dob' THEN b.dob ELSE b.id_number END AS value_raw,
+  CASE WHEN b.idx < 3 THEN d.field || ': ' || CASE WHEN d.field = 'dob' THEN b.dob ELSE b.id_number END ELSE '' END AS span, CASE WHEN d.field = 'dob' THEN n.v ELSE regexp_replace(b.id_number, '[\s\-_/.]+', '', 'g') END AS value_norm, b.idx * 10 AS x
+FROM d JOIN bundles b ON b.case_id = d.case_id AND b.doc_id = d.doc_id JOIN dob_norm n ON n.case_id = d.case_id AND n.doc_id = d.doc_id"""
+
+
 @query
 def eval_extraction(spark, sf):
     """Extracted names and addresses against the bundles' own."""
