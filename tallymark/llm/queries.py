@@ -99,11 +99,11 @@ WITH RECURSIVE d AS (
 ), l AS (
   SELECT source, list(upto ORDER BY k) AS upto FROM c GROUP BY source
 ), m AS (
-  SELECT d.*, r.rate, list_sum(list_transform(generate_series(0, draws - 1), lambda j: len(list_filter(l.upto, lambda x: x <= ((CASE WHEN j = 0 THEN draw
+  SELECT d.*, r.rate, list_sum(list_transform(generate_series(0, (r.draws - 1)::BIGINT), lambda j: len(list_filter(l.upto, lambda x: x <= ((CASE WHEN j = 0 THEN draw
       ELSE ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || j::VARCHAR), 1, 13))::BIGINT END)::DOUBLE + 0.5) / 4503599627370496.0)))) AS times
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN l ON d.source IS NOT DISTINCT FROM l.source
 ), e AS (
-  SELECT doc_id, text, lang, source, n_chars, rate, unnest(generate_series(1, times))::INTEGER AS copy FROM m
+  SELECT doc_id, text, lang, source, n_chars, rate, unnest(generate_series(1, times::BIGINT))::INTEGER AS copy FROM m
 )
 SELECT *, (('0x' || substr(md5('18|' || coalesce(doc_id::VARCHAR, '') || '|' || copy::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS mix_order FROM e
 """
