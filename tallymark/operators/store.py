@@ -29,21 +29,33 @@ def with_status(found: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 class CaseStore:
-    """Parquet tables under one path. Appends commit whole; a rewrite goes to a new version and then moves the pointer."""
+    """Parquet tables under one path, each in numbered versions. Appends commit whole; a rewrite is a new version, which counts
+    once its writer has committed all of it, so a crash leaves the one before in place. No appends while ``compact`` runs."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _versions(self, name: str) -> list[int]:
+        """Committed versions, oldest first; 0 takes appends from the start."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        here = [x.getPath() for x in fs.listStatus(at)] if fs.exists(at) else []
+        made = [int(x.getName()[1:]) for x in here if x.getName()[1:].isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+        return sorted({0, *made})
+
+    def _at(self, name: str) -> str:
+        return f"{self.path}/{name}/v{self._versions(name)[-1]}"
+
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(schema).parquet(self._at(name))
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], schema)
 
     def _append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.path}/{name}")
+        rows.write.mode("append").parquet(self._at(name))
 
     def log(self, case_id: str, action: str, details: str = "", actor: str = "system") -> None:
         one = self.spark.createDataFrame([(case_id, action, details, actor)], "case_id string, action string, details string, actor string")
@@ -64,7 +76,7 @@ class CaseStore:
         return rows.join(gone, (F.col("case_id") == F.col("_c")) & (F.col(at) <= F.col("_at")), "left_anti")
 
     def cases(self) -> DataFrame:
-        return latest(self._live(self._read("cases", CASES), "timestamp"), ["case_id"], ["timestamp"]).orderBy(F.col("timestamp").desc())
+        return latest(self._live(self._read("cases", CASES), "timestamp"), ["case_id"], ["timestamp", "report_json"]).orderBy(F.col("timestamp").desc())
 
     def case(self, case_id: str) -> DataFrame:
         return self.cases().filter(F.col("case_id") == case_id)
@@ -74,7 +86,7 @@ class CaseStore:
         self.log(case_id, f"DECISION_{status}", finding_id, reviewer_id)
 
     def decisions(self, case_id: str | None = None) -> DataFrame:
-        now = latest(self._live(self._read("decisions", DECISIONS), "updated_at"), ["case_id", "finding_id"], ["updated_at"])
+        now = latest(self._live(self._read("decisions", DECISIONS), "updated_at"), ["case_id", "finding_id"], ["updated_at", "status", "notes"])
         return now if case_id is None else now.filter(F.col("case_id") == case_id)
 
     def audit(self, case_id: str | None = None) -> DataFrame:
@@ -85,10 +97,13 @@ class CaseStore:
         self.log(case_id, "CASE_DELETED")
 
     def compact(self) -> None:
-        """Rewrite cases and decisions without superseded and deleted rows."""
+        """Rewrite cases and decisions without superseded and deleted rows, as a new version; versions before the last two go."""
         for name, rows in (("cases", self.cases()), ("decisions", self.decisions())):
-            rows.write.mode("overwrite").parquet(f"{self.path}/{name}.new")
-            self.spark.read.parquet(f"{self.path}/{name}.new").write.mode("overwrite").parquet(f"{self.path}/{name}")
+            versions = self._versions(name)
+            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/v{versions[-1] + 1}")
+            for old in versions[:-1]:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/v{old}")
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def json_reports(risks: DataFrame, merged: DataFrame) -> DataFrame:
@@ -99,6 +114,7 @@ def json_reports(risks: DataFrame, merged: DataFrame) -> DataFrame:
     return risks.join(items, "case_id", "left").select("case_id", "triage", "risk_score", F.to_json(report).alias("report_json"))
 
 
+# Fixed value.
 DISCLAIMER = (
     "This report is an automated pre-screening aid. It flags possible inconsistencies for human review and does not determine authenticity, eligibility, or approval. "
     "Final judgment rests with the human reviewer. Only synthetic sample data is used in this demonstration."

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,9 +17,9 @@ def read_events(spark: SparkSession, path: str, schema, per_trigger: int = 8) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def tumbling_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", value: str = "value", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts and sums per window and kind; works on a stream (with a watermark) and on a table."""
-    base = events.withWatermark(ts, late) if events.isStreaming else events
+def tumbling_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", value: str = "value", width: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
+    """Counts and sums per window and kind; works on a stream and on a table. ``late`` None: the stream has its watermark already."""
+    base = events.withWatermark(ts, late) if events.isStreaming and late else events
     return base.groupBy(F.window(ts, width).alias("w"), F.col(kind).alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(18,4)")).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", F.col("total").cast("double").alias("total"))
 
 
@@ -28,39 +29,47 @@ def once_each(events: DataFrame, key: str = "event_id", ts: str = "ts", late: st
 
 
 def upsert_latest(decisions: DataFrame, path: str, checkpoint: str):
-    """Keep the last decision of each case and finding: a version of the table a batch, named by its number, so a replayed
-    batch writes the same version again."""
+    """Keep the last decision of each case and finding. A batch adds one small table of its own, named by its stream and number,
+    so a replayed batch writes the same table again and a stream with a new checkpoint adds to what is there; ``current`` reads
+    them as one."""
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        now = batch
-        if number:
-            now = spark.read.parquet(f"{path}/v{number - 1}").unionByName(batch)
-        latest(now, ["case_id", "finding_id"], ["updated_at", "status"]).write.mode("overwrite").parquet(f"{path}/v{number}")
+        latest(batch, DECISION, LAST).write.mode("overwrite").parquet(f"{path}/{stream}-{number:012d}")
 
     return decisions.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+DECISION, LAST = ["case_id", "finding_id"], ["updated_at", "status"]
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The last decision of each case and finding in what ``upsert_latest`` has written."""
+    return latest(spark.read.parquet(f"{path}/*"), DECISION, LAST)
+
+
 def complete_cases(documents: DataFrame, expected: int = 3, wait_ms: int = 3_600_000) -> DataFrame:
     """``case_id, n_docs, complete`` when a case's documents have all come, or when it has waited too long.
 
-    ``documents(case_id string, doc_id string, ts timestamp)`` is a stream with a watermark on ``ts``.
+    ``documents(case_id string, doc_id string, ts timestamp)`` is a stream with a watermark on ``ts``. A finished case is
+    remembered for as long as it might have waited, so documents that come late for it don't report it again.
     """
+    done = "\0"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         seen = set(state.get[0].split("\n")) if state.exists else set()
         out = lambda done: pd.DataFrame({"case_id": [key[0]], "n_docs": [len(seen)], "complete": [done]})
         if state.hasTimedOut:
             state.remove()
-            yield out(False)
-            return
-        for pdf in batches:
-            seen |= set(pdf.doc_id)
-        if len(seen) >= expected:
-            if state.exists:
-                state.remove()
-            yield out(True)
+            if done not in seen:
+                yield out(False)
             return
+        if done not in seen:
+            for pdf in batches:
+                seen |= set(pdf.doc_id)
+            if len(seen) >= expected:
+                yield out(True)
+                seen = {done}
         state.update(("\n".join(sorted(seen)),))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + wait_ms)
 

@@ -78,3 +78,13 @@ def test_similarity():
     assert round(similarity.jaro_winkler("martha", "marhta"), 4) == 0.9611
     assert similarity.metaphone("thumb") == "0M" and similarity.metaphone("knight")[0] == "N"
     assert similarity.lcs("", "x") == 0
+
+
+def test_dates_by_spelling(spark):
+    from tallymark.functions import dates
+
+    rows = [("2004-03-12",), ("12/03/2004",), ("12-Mar-2004",), ("March 12, 2004",), ("DOB: 12.03.04",), (None,), ("",), ("\u00e9t\u00e9 12 mars 2004 \u00e9",), ("12/03/2004",)]
+    df = spark.createDataFrame(rows, "raw string")
+    got = dates.with_date_parts(df, "raw", "p").select("raw", "p.value").collect()
+    want = {"2004-03-12": "2004-03-12", "12/03/2004": "2004-03-12", "12-Mar-2004": "2004-03-12", "March 12, 2004": "2004-03-12", "DOB: 12.03.04": "2004-03-12", None: "", "": "", "\u00e9t\u00e9 12 mars 2004 \u00e9": "ete 12 mars 2004 e"}
+    assert len(got) == len(rows) and {r.raw: r.value for r in got} == want

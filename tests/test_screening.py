@@ -65,8 +65,42 @@ def test_store(spark, tmp_path):
     s.decide("c1", "dob", "DISMISSED")
     assert s.case("c1").first()["triage"] == "AMBER" and s.decisions("c1").first()["status"] == "DISMISSED"
     assert s.audit("c1").count() == 3
+    for k in range(3):
+        s.compact()
+        assert s.case("c1").count() == 1 and s.decisions("c1").first()["status"] == "DISMISSED"
+    spark.range(1).write.parquet(str(tmp_path / "store" / "cases" / "v9"))
+    (tmp_path / "store" / "cases" / "v9" / "_SUCCESS").unlink()  # a rewrite that broke off doesn't count
+    s.save_case("c2", "GREEN", 0.0, "{}")
+    assert s.cases().count() == 2
     s.delete_case("c1")
-    assert s.cases().count() == 0 and s.audit("c1").count() == 4
+    assert s.cases().count() == 1 and s.audit("c1").count() == 4
+
+
+def test_evidence(spark):
+    docs = docs_of(spark, [("c", 1, "doc_1", "id_card"), ("c", 2, "doc_2", "address_proof"), ("c", 3, "doc_3", "id_card")])
+    rows = [("c", "doc_1", "address", "No 1, MG Road", "number 1 mg road", 0.9), ("c", "doc_3", "address", "No 2, MG Road", "number 2 mg road", 0.8)]
+    f = fields_of(spark, rows).withColumns({"x": F.lit(1), "y": F.lit(2), "w": F.lit(3), "h": F.lit(4), "source_text_span": F.when(F.col("doc_id") == "doc_1", "Address No 1, MG Road")})
+    twice = f.unionByName(f.filter("doc_id = 'doc_1'").withColumn("source_text_span", F.lit(None).cast("string")))  # the entry with a span wins
+    s = pipeline.screen_fields(docs, f)
+    r = merge.with_evidence(merge.findings(s.merged), docs, twice).filter("field = 'address'").first()
+    assert [(e.doc_id, e.doc_type, e.value_raw, e.value_norm, e.ocr_conf, e.source_text_span, e.page) for e in r.evidence] == [
+        ("doc_1", "id_card", "No 1, MG Road", "number 1 mg road", 0.9, "Address No 1, MG Road", 1), ("doc_2", "address_proof", "[NOT PRESENT]", "[NOT PRESENT]", 1.0, None, 1),
+        ("doc_3", "id_card", "No 2, MG Road", "number 2 mg road", 0.8, None, 1),
+    ]
+    assert r.bboxes == {"doc_1": [1, 2, 3, 4], "doc_2": None, "doc_3": [1, 2, 3, 4]} and r.values_norm == {"doc_1": "number 1 mg road", "doc_2": "[NOT PRESENT]", "doc_3": "number 2 mg road"}
+
+
+def test_case_pairs_are_the_joined_pairs(spark):
+    docs = docs_of(spark, [("c", k, f"doc_{k}", t) for k, t in ((1, "id_card"), (2, "marksheet"), (3, "address_proof"))] + [("d", 1, "doc_1", "id_card"), ("d", 2, "doc_2", "marksheet"), ("e", 1, "doc_1", "id_card")])
+    rows = [(c, f"doc_{k}", n, f"{n}{k}", f"{n}{k}", 0.5 + k / 10) for c in "cde" for k in (1, 2, 3) for n in ("name", "dob", "address", "guardian_name") if (c, k) != ("d", 3) and (k + len(n)) % 3]
+    joined, gathered = compare.pair_fields(compare.document_pairs(docs), fields_of(spark, rows)), compare.case_pair_fields(docs, fields_of(spark, rows))
+    assert sorted(map(str, joined.select(*gathered.columns).collect())) == sorted(map(str, gathered.collect())) and joined.count() > 8
+
+
+def test_initial_rules(spark):
+    docs = docs_of(spark, [("c", 1, "doc_1", "id_card"), ("c", 2, "doc_2", "marksheet")])
+    r = pipeline.screen_fields(docs, fields_of(spark, [("c", "doc_1", "name", "A. Rao", "a rao", 0.9), ("c", "doc_2", "name", "Asha Rao", "asha rao", 0.9)])).merged.first()
+    assert r.rule_ids == ["RULE_NAME_INITIAL_EXPAND_A_ASHA", "RULE_NAME_HIGH_SIMILARITY_MATCH"] and r.verdict == "MATCH"
 
 
 def test_quality(spark):
