@@ -60,8 +60,9 @@ def tables(keys: np.ndarray, owner: np.ndarray, sizes: np.ndarray, sign: int = 1
     return count, xor, check
 
 
-def peel(table: tuple, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(added, removed, done) for each owner: digests recovered on either side, and whether nothing is left."""
+def peel(table: tuple, sizes: np.ndarray, found: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(added, removed, done) for each owner: digests recovered on either side, and whether nothing is left. ``found`` gets
+    the digests themselves: (owner, digest, sign) of each round."""
     count, xor, check = table
     first = np.concatenate(([0], np.cumsum(sizes)))
     owner_of = np.repeat(np.arange(len(sizes)), sizes)
@@ -74,6 +75,8 @@ def peel(table: tuple, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         # a digest may be alone in several of its places: take it once
         pure = pure[np.unique(np.stack((owner_of[pure].astype(U64), xor[pure])), axis=1, return_index=True)[1]]
         keys, own, sign = xor[pure], owner_of[pure], count[pure]
+        if found is not None:
+            found.append((own, keys, sign))
         np.add.at(plus, own, sign > 0)
         np.add.at(minus, own, sign < 0)
         sums, touched = mix64(keys ^ _CHECK), []
@@ -106,6 +109,54 @@ def differences(a: list[np.ndarray], b: list[np.ndarray], places: int = PLACES)
     return more, less
 
 
+def paragraphs(text: str | None) -> list[str]:
+    """The lines of a text that aren't blank, without white space at their ends."""
+    return [x for x in (line.strip() for line in (text or "").splitlines()) if x]
+
+
+def paragraph_digests(text: str | None) -> np.ndarray:
+    """64-bit digests of the paragraphs, in order; white space between words doesn't count."""
+    return np.array([int.from_bytes(hashlib.blake2b(" ".join(x.split()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in paragraphs(text)], U64)
+
+
+def recovered(a: np.ndarray, b: np.ndarray, places: int = PLACES) -> tuple[np.ndarray, np.ndarray, int]:
+    """The digests that only ``a`` and that only ``b`` has, sorted, from the difference of their tables alone, and the places of
+    the table that gave them: one that can't be peeled is tried again with twice as many."""
+    a, b = np.unique(a), np.unique(b)
+    while True:
+        size, found = np.array([places]), []
+        both = tables(a, np.zeros(len(a), np.int64), size)
+        both = tables(b, np.zeros(len(b), np.int64), size, -1, both)
+        if peel(both, size, found)[2][0]:
+            keys, sign = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, t) for k, t in ((1, U64), (2, np.int64)))
+            return np.sort(keys[sign > 0]), np.sort(keys[sign < 0]), places
+        places *= 2
+
+
+CHANGES = "added array<string>, removed array<string>, places int"
+
+
+def changed_paragraphs(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
+    """``pairs`` with ``added`` and ``removed``: the paragraphs, in order, whose digests are recovered from the difference of the two
+    versions' tables, and ``places``, the table that sufficed. Null texts are empty; a paragraph that only recurs more often in
+    one version is no difference. Texts of any length are read whole; an empty table gives no rows."""
+    names = pairs.columns
+
+    def run(batches):
+        for part in rows_of(batches):
+            out = []
+            for x, y in zip(part.column(len(names)).to_pylist(), part.column(len(names) + 1).to_pylist()):
+                was, now = paragraph_digests(x), paragraph_digests(y)
+                more, less, places = recovered(now, was)
+                kept = lambda text, digests, keys: list(dict.fromkeys(p for p, d in zip(paragraphs(text), digests) if d in keys))
+                out.append((kept(y, now, set(more.tolist())), kept(x, was, set(less.tolist())), places))
+            cols = [pa.array([r[k] for r in out], t) for k, t in ((0, pa.list_(pa.string())), (1, pa.list_(pa.string())), (2, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), *cols], names=[*names, "added", "removed", "places"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
+    return pairs.select("*", F.col(old).alias("_old"), F.col(new).alias("_new")).mapInArrow(run, f"{fields}, {CHANGES}")
+
+
 def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Dice similarity of each pair of sets, from their recovered difference; two empty sets are alike."""
     more, less = differences(a, b)
