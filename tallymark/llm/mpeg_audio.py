@@ -1,9 +1,8 @@
 """Media columns: MPEG audio.
 
-``parse`` walks any MPEG-1/2/2.5 layer I-III stream: it skips ID3v2/ID3v1/APE tags, finds frame headers
+``parse`` walks any MPEG-1/2/2.5 layer I-III stream: it reads ID3v2, ID3v1 and APE tags, finds frame headers
 again after damage, reads Xing/Info/VBRI tables and the encoder delay, verifies the CRC-16 of protected
-frames (layers I and III; layer II needs allocation tables and is counted as unchecked), and returns exact
-durations in samples and the byte offset of every frame. ``wrap`` stores arbitrary bytes losslessly as the
+frames of all layers, and returns exact durations in samples and the byte offset of every frame. ``wrap`` stores arbitrary bytes losslessly as the
 ancillary data of protected, silent layer III frames of variable bit rate.
 """
 
@@ -29,6 +28,8 @@ KBPS = {
     (False, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+# Layer II allocation tables B.2a to B.2d, and B.1 of the lower sampling rates: (bits of a subband's allocation, so many subbands).
+ALLOCATION = {"a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "low": ((4, 4), (3, 7), (2, 19))}
 
 UNIT = 576
 
@@ -103,18 +104,47 @@ def _crc_of(head: bytes, body: bytes, bits: int) -> int:
     return _SUMS[key]
 
 
-def checked(data: bytes, at: int, h: tuple) -> bool | None:
-    """Does the protected frame's CRC hold? None where it can't be told."""
+def allocation(hz: int, kbps: int, channels: int) -> list[int]:
+    """The bits of each subband's allocation in a layer II frame; free format has the tables of high bit rates."""
+    each = kbps // channels or 384
+    if hz < 32000:
+        name = "low"
+    elif each < 56:
+        name = "d" if hz == 32000 else "c"
+    else:
+        name = "a" if hz == 48000 or each < 96 else "b"
+    return [width for width, n in ALLOCATION[name] for _ in range(n)]
+
+
+def protected_bits(body: bytes, h: tuple) -> int:
+    """How many bits of a layer II frame's ``body`` the CRC covers: allocations, then two for each allocated subband and channel."""
+    channels, ext = 1 if h[7] == 3 else 2, h[8]
+    widths = allocation(h[1], h[2], channels)
+    bound = 4 * (ext + 1) if h[7] == 1 else len(widths)
+    bits, at, chosen = int.from_bytes(body, "big"), len(body) * 8, 0
+    for k, width in enumerate(widths):
+        for _ in range(channels if k < bound else 1):  # beyond the bound both channels share one allocation
+            at -= width
+            if at < 0:
+                return len(body) * 8 + 1
+            chosen += (bits >> at & (1 << width) - 1 > 0) * (1 if k < bound else channels)
+    return len(body) * 8 - at + 2 * chosen
+
+
+def checked(data: bytes, at: int, h: tuple, end: int) -> bool | None:
+    """Does the CRC of the protected frame ``data[at:end]`` hold? None without one; a frame too short for what it covers fails."""
     layer, _, _, _, _, side, protected, mode, ext, _, _ = h
-    if not protected or layer == 2:
+    if not protected:
         return None
     if layer == 3:
         bits = side * 8
+    elif layer == 2:
+        bits = protected_bits(data[at + 6 : min(end, at + 48)], h)
     else:
         n = 1 if mode == 3 else 2
         bound = 4 * (ext + 1) if mode == 1 else 32
         bits = 4 * (n * bound + 32 - bound)
-    body = data[at + 6 : at + 6 + -(-bits // 8)]
+    body = data[at + 6 : min(end, at + 6 + -(-bits // 8))]
     if len(body) * 8 < bits:
         return False
     return _crc_of(data[at + 2 : at + 4], body, bits) == int.from_bytes(data[at + 4 : at + 6], "big")
@@ -124,34 +154,82 @@ def _safe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
 
+def _rejoined(b: bytes) -> bytes:
+    """Bytes without the zeros that unsynchronisation put in."""
+    return b.replace(b"\xff\0", b"\xff")
+
+
+def _plain(body: bytes, version: int, flags: int, unsynced: bool) -> bytes | None:
+    """A tag frame's content without what its format flags add to it; None where it is compressed or encrypted."""
+    if version == 4:
+        if flags & 0x0C:
+            return None
+        body = body[(1 if flags & 0x40 else 0) + (4 if flags & 1 else 0) :]
+        return _rejoined(body) if unsynced or flags & 2 else body
+    if version == 3:
+        return None if flags & 0xC0 else body[1:] if flags & 0x20 else body
+    return body
+
+
+def id3v2(version: int, flags: int, body: bytes, found: dict[str, str]) -> None:
+    """Adds the text frames in the ``body`` of one ID3v2 tag."""
+    unsynced, p = bool(flags & 0x80), 0
+    if unsynced and version < 4:  # the whole tag; from version 4 on frame by frame
+        body = _rejoined(body)
+    if flags & 0x40 and version >= 3 and len(body) >= 4:
+        p = _safe(body) if version == 4 else int.from_bytes(body[:4], "big") + 4
+    head, letters = (6, 3) if version == 2 else (10, 4)
+    while p + head <= len(body) and body[p]:
+        name, raw = body[p : p + letters].decode("latin1"), body[p + letters : p + (6 if version == 2 else 8)]
+        n = _safe(raw) if version == 4 else int.from_bytes(raw, "big")
+        text = _plain(body[p + head : p + head + n], version, body[p + 9] if version > 2 else 0, unsynced)
+        if name[0] == "T" and text:
+            code = ("latin1", "utf-16", "utf-16-be", "utf-8")[text[0] & 3]
+            parts = text[1:].decode(code, "replace").split("\0")
+            own = name[:3] == "TXX" and len(parts) > 1
+            found[f"{name}:{parts[0]}" if own else name] = parts[1].removeprefix("\ufeff") if own else parts[0]
+        p += head + n
+
+
+def ape_items(body: bytes, count: int, found: dict[str, str]) -> None:
+    """Adds the text items of an APE tag, named ``APE:`` and their key; binary items and links are passed over."""
+    p = 0
+    for _ in range(count):
+        stop = body.find(b"\0", p + 8)
+        if stop < 0:
+            return
+        n, flags = struct.unpack("<II", body[p : p + 8])
+        if flags >> 1 & 3 == 0:
+            found["APE:" + body[p + 8 : stop].decode("latin1")] = body[stop + 1 : stop + 1 + n].decode("utf-8", "replace")
+        p = stop + 1 + n
+
+
 def tags(data: bytes) -> tuple[dict[str, str], int, int]:
     """Text tags, and where the audio begins and ends."""
     found, at, end = {}, 0, len(data)
-    while data[at : at + 3] == b"ID3" and len(data) >= at + 10 and max(data[at + 6 : at + 10]) < 128:
-        version, flags, size = data[at + 3], data[at + 5], _safe(data[at + 6 : at + 10])
-        p, stop = at + 10, min(at + 10 + size, len(data))
-        if flags & 0x40 and version >= 3 and stop - p >= 4:
-            p += _safe(data[p : p + 4]) if version == 4 else int.from_bytes(data[p : p + 4], "big") + 4
-        head = 6 if version == 2 else 10
-        while p + head <= stop and data[p]:
-            name = data[p : p + (3 if version == 2 else 4)].decode("latin1")
-            raw = data[p + len(name) : p + (6 if version == 2 else 8)]
-            n = _safe(raw) if version == 4 else int.from_bytes(raw, "big")
-            body = data[p + head : min(p + head + n, stop)]
-            if name[0] == "T" and body:
-                code = ("latin1", "utf-16", "utf-16-be", "utf-8")[body[0] & 3]
-                parts = body[1:].decode(code, "replace").split("\0")
-                found[f"{name}:{parts[0]}" if name[:3] == "TXX" else name] = parts[1] if name[:3] == "TXX" and len(parts) > 1 else parts[0]
-            p += head + n
-        at = min(at + 10 + size + (10 if version == 4 and flags & 0x10 else 0), len(data))
+    while True:
+        if data[at : at + 3] == b"ID3" and len(data) >= at + 10 and max(data[at + 6 : at + 10]) < 128:
+            version, flags, size = data[at + 3], data[at + 5], _safe(data[at + 6 : at + 10])
+            id3v2(version, flags, data[at + 10 : at + 10 + size], found)
+            at = min(at + 10 + size + (10 if version == 4 and flags & 0x10 else 0), len(data))
+        elif data[at : at + 8] == b"APETAGEX" and len(data) >= at + 32:
+            size, count = struct.unpack("<II", data[at + 12 : at + 20])
+            ape_items(data[at + 32 : at + 32 + size], count, found)
+            at = min(at + 32 + size, len(data))
+        else:
+            break
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93), ("TYER", 93, 97)):
             if text := data[end - 128 + a : end - 128 + b].split(b"\0")[0].decode("latin1").strip():
                 found.setdefault(name, text)
         end -= 128
     if end - at >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        size, _, flags = struct.unpack("<III", data[end - 20 : end - 8])
-        end = max(at, end - size - (32 if flags & 0x80000000 else 0))
+        size, count, flags = struct.unpack("<III", data[end - 20 : end - 8])
+        if 32 <= size <= end - at:
+            ape_items(data[end - size : end - 32], count, found)
+            end = max(at, end - size - (32 if flags & 0x80000000 else 0))
+        else:  # a damaged size: only the footer goes
+            end -= 32
     return found, at, end
 
 
@@ -220,7 +298,7 @@ def parse(data: bytes | None) -> dict:
             if out["table"]:
                 at += n
                 continue
-        ok = checked(data, at, h)
+        ok = checked(data, at, h, at + n)
         out["crc_unchecked" if ok is None else "crc_ok" if ok else "crc_bad"] += 1
         out["offsets"].append(at)
         out["lengths"].append(n)

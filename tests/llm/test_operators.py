@@ -1,8 +1,10 @@
 """The ten operators on small fixtures: brute force, round trips, edge rows, clashing columns."""
 
+import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -69,9 +71,104 @@ def test_audio_damage():
     assert mpeg_audio.parse(data + tag)["tags"]["TIT2"] == "Song"
 
 
+def divided(bits):
+    """The CRC-16 of a bit string by long division, from all ones."""
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 ^ (0x8005 if (c >> 15) ^ int(b) else 0)) & 0xFFFF
+    return c
+
+
+def layer_two(word, length, parts):
+    """A protected frame whose covered bits are ``parts`` joined, filled with ones."""
+    bits = "".join(parts)
+    head = word.to_bytes(4, "big")
+    crc = divided("".join(f"{x:08b}" for x in head[2:]) + bits)
+    body = bits + "1" * (8 * (length - 6) - len(bits))
+    return head + crc.to_bytes(2, "big") + int(body, 2).to_bytes(length - 6, "big"), len(bits)
+
+
+def test_layer_two_checksums():
+    r = random.Random(2)
+    low = 0x7FF << 21 | 2 << 17
+    # header, length, bits of each subband's allocation, channels, first shared subband: the tables of the standard written out
+    kinds = [
+        (low | 3 << 19 | 1 << 12 | 3 << 6, 104, [4] * 2 + [3] * 6, 1, 8),  # 44.1 kHz, 32 kbit/s, mono
+        (low | 3 << 19 | 1 << 12 | 2 << 10 | 3 << 6, 144, [4] * 2 + [3] * 10, 1, 12),  # 32 kHz, 32 kbit/s, mono
+        (low | 3 << 19 | 10 << 12 | 1 << 10 | 1 << 6 | 1 << 4, 576, [4] * 11 + [3] * 12 + [2] * 4, 2, 8),  # 48 kHz, 192 kbit/s, joint from 8 on
+        (low | 3 << 19 | 10 << 12, 626, [4] * 11 + [3] * 12 + [2] * 7, 2, 30),  # 44.1 kHz, 192 kbit/s, stereo
+        (low | 2 << 19 | 8 << 12 | 1 << 10, 384, [4] * 4 + [3] * 7 + [2] * 19, 2, 30),  # 24 kHz, 64 kbit/s, stereo
+    ]
+    for word, length, widths, channels, bound in kinds:
+        frames, covered = [], 0
+        for _ in range(3):
+            parts, chosen = [], 0
+            for k, width in enumerate(widths):
+                for _ in range(channels if k < bound else 1):
+                    x = r.choice((0, r.randrange(1 << width)))
+                    parts.append(f"{x:0{width}b}")
+                    chosen += bool(x) * (1 if k < bound else channels)
+            parts += [f"{r.randrange(4):02b}" for _ in range(chosen)]
+            frame, covered = layer_two(word, length, parts)
+            frames.append(frame)
+        data = b"".join(frames)
+        seen = mpeg_audio.parse(data)
+        assert (seen["layer"], seen["crc_ok"], seen["crc_bad"], seen["offsets"]) == (2, 3, 0, [0, length, 2 * length])
+        for bit, bad in ((covered - 1, 1), (covered, 0)):  # the last covered bit of the last frame, and the first beyond
+            flipped = bytearray(data)
+            flipped[2 * length + 6 + bit // 8] ^= 0x80 >> bit % 8
+            assert mpeg_audio.parse(bytes(flipped))["crc_bad"] == bad
+
+
+def test_free_format_and_vbri():
+    frame = (0x7FF << 21 | 3 << 19 | 1 << 17 | 1 << 16 | 1 << 10).to_bytes(4, "big") + bytes(296)
+    seen = mpeg_audio.parse(frame * 5)
+    assert seen["offsets"] == [0, 300, 600, 900, 1200] and seen["samples"] == 5 * 1152 and seen["skipped"] == 0
+    info = bytearray(mpeg_audio._frame(11, b""))
+    table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 576 * 5, 4, 3, 2, 2, 1) + struct.pack(">HHH", 5, 6, 7)
+    info[36 : 36 + len(table)] = table
+    seen = mpeg_audio.parse(bytes(info) + mpeg_audio._frame(11, b"x") * 4)
+    assert seen["table"]["kind"] == "VBRI" and seen["table"]["toc"] == [10, 12, 14] and seen["table"]["frames"] == len(seen["offsets"]) == 4
+
+
+def test_tags_of_all_kinds():
+    audio = mpeg_audio._frame(11, b"x") * 2
+    safe = lambda n: bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
+    id3 = lambda version, flags, body: b"ID3" + bytes((version, 0, flags)) + safe(len(body)) + body
+    three = lambda name, text, flags=0: name + len(text).to_bytes(4, "big") + bytes((0, flags)) + text
+    four = lambda name, text, flags=0: name + safe(len(text)) + bytes((0, flags)) + text
+    item = lambda key, value, flags=0: struct.pack("<II", len(value), flags) + key + b"\0" + value
+    items = item(b"Artist", "Zoë".encode()) + item(b"Cover", b"\0\1\2", 2) + item(b"Year", b"1999")
+    ape = b"APETAGEX" + struct.pack("<IIII", 2000, len(items) + 32, 3, 1 << 31) + bytes(8)
+    foot = b"APETAGEX" + struct.pack("<IIII", 2000, len(items) + 32, 3, 0) + bytes(8)
+    utf16 = b"\1" + "Füße ÿ".encode("utf-16")
+    whole = three(b"TIT2", utf16) + three(b"TPE1", b"\0Ann") + three(b"TALB", b"\0packed", 0x80)
+    own = b"\1" + "key\0".encode("utf-16") + "value".encode("utf-16")
+    cases = [
+        (id3(2, 0, b"TT2\0\0\5\0Song"), b"", {"TT2": "Song"}),
+        (id3(3, 0x80, whole.replace(b"\xff", b"\xff\0")), b"", {"TIT2": "Füße ÿ", "TPE1": "Ann"}),
+        (id3(3, 0, three(b"TXXX", own)), b"", {"TXXX:key": "value"}),
+        (id3(4, 0, four(b"TIT2", utf16.replace(b"\xff", b"\xff\0"), 2) + four(b"TPE1", safe(4) + b"\3Ann", 1)), b"", {"TIT2": "Füße ÿ", "TPE1": "Ann"}),
+        (b"", ape + items + foot, {"APE:Artist": "Zoë", "APE:Year": "1999"}),
+        (b"", items + foot + b"TAG" + b"Song".ljust(125, b"\0"), {"APE:Artist": "Zoë", "APE:Year": "1999", "TIT2": "Song"}),
+        (ape + items + foot, b"", {"APE:Artist": "Zoë", "APE:Year": "1999"}),
+    ]
+    for before, after, tags in cases:
+        seen = mpeg_audio.parse(before + audio + after)
+        assert seen["tags"] == tags and len(seen["offsets"]) == 2 and seen["offsets"][0] == len(before), tags
+    claims = b"APETAGEX" + struct.pack("<IIII", 2000, 1 << 20, 3, 0) + bytes(8)  # more than there is
+    assert mpeg_audio.parse(audio + claims)["offsets"] == [0, 576]
+
+
 def test_audio_query(spark):
     got = mpeg_audio.text_media(docs_of(spark, EDGE)).collect()
     assert len(got) == len(EDGE)
+    want = []
+    for d, t, _ in EDGE:
+        raw = (t or "").encode()
+        payload = raw.ljust(max(576, (len(raw) + 575) // 576 * 576), b"\xff")
+        want.append((d, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])))
+    assert sorted(want, key=str) == sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got), key=str)
     a, b = [r for r in got if r.doc_id in (3, 6)][:2]
     assert a.media_sha256 == b.media_sha256 and a.feature == b.feature
     assert mpeg_audio.text_media(docs_of(spark, [])).count() == 0
