@@ -662,20 +662,56 @@ FROM d JOIN bundles b ON b.case_id = d.case_id AND b.doc_id = d.doc_id JOIN dob_
 def eval_extraction(spark, sf):
     """Extracted names and addresses against the bundles' own."""
     b = bundles(spark, sf).filter("idx <> 2")
-    t = synthetic_tokens(spark, sf).withColumn("doc_type", F.lit("id_card"))
+    t = synthetic_tokens(spark, sf).withColumn("doc_type", F.when(F.col("doc_id") == "doc_1", "id_card").otherwise("address_proof"))
     truth = raw_fields(b, ("name", "address")).select(F.col("case_id").cast("string").alias("case_id"), F.col("doc_id").alias("doc_key"), F.concat("doc_id", F.lit(".png")).alias("filename"), "field", F.col("value_raw").alias("value"))
     return evaluate.extraction(truth, extract.extract_fields(t)).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if("exact").alias("exact"))
 
 
+# a value is exact where at most 5 % of its characters differ from what the line after its label says
+ORACLE["eval_extraction"] = f"""WITH {BUNDLE_SQL}, t AS (SELECT 'name' AS field, name AS v FROM bundles WHERE idx <> 2 UNION ALL SELECT 'address', address FROM bundles WHERE idx <> 2 AND address IS NOT NULL),
+w AS (SELECT field, v, array_to_string(list_filter(string_split(v, ' '), lambda x: x <> ''), ' ') AS found FROM t)
+SELECT field, count(*) AS n, count(*) FILTER (CASE WHEN v = found THEN 0.0::DOUBLE ELSE levenshtein(v, found)::DOUBLE / length(v) END <= 0.05) AS exact FROM w GROUP BY field"""
+
+
 # --- narrative, reports -----------------------------------------------------------------------------------------------
 
 
+# Merged findings with what the pair verdicts say in words: rules and reasons in the order of pairs, the action of the first worst pair, values by document.
+_QUOTED = "CASE WHEN p.field = 'id_number' THEN CASE WHEN length({0}.id_number) <= 4 THEN '****' ELSE repeat('*', length({0}.id_number) - 4) || right({0}.id_number, 4) END ELSE {0}.dob END"
+WORDS_SQL = f"""{VERDICT_SQL}, worded AS (
+  SELECT p.case_id, p.field, p.pair_ord, p.verdict, p.doc_a, p.doc_b, CASE WHEN p.field = 'dob' THEN d.rule WHEN p.similarity = 1 THEN 'RULE_ID_EXACT_MATCH' ELSE 'RULE_ID_MISMATCH' END AS rule,
+    CASE p.verdict WHEN 'MISMATCH' THEN 0 WHEN 'LOW_CONFIDENCE' THEN 1 ELSE 4 END AS rk, {_QUOTED.format("a")} AS text_a, {_QUOTED.format("b")} AS text_b,
+    CASE p.verdict WHEN 'MATCH' THEN 'Normalised ' || p.field || ' agrees.' WHEN 'LOW_CONFIDENCE' THEN 'OCR confidence (' || round(least(a.ocr_conf, b.ocr_conf)::DECIMAL(18, 9), 2)::DECIMAL(4, 2)::VARCHAR || ') is below reliable threshold (0.60).'
+      ELSE '''' || text_a || ''' vs ''' || text_b || '''.' END AS reason,
+    CASE p.verdict WHEN 'LOW_CONFIDENCE' THEN 'Inspect source image closely or request clearer document re-upload' ELSE 'Verify discrepancy between ' || p.doc_a || ' and ' || p.doc_b || '; require explanation or re-upload' END AS act
+  FROM pair_verdicts p JOIN bundles a ON a.case_id = p.case_id AND a.doc_id = p.doc_a JOIN bundles b ON b.case_id = p.case_id AND b.doc_id = p.doc_b LEFT JOIN date_cmp d ON d.case_id = p.case_id AND d.pair_ord = p.pair_ord AND p.field = 'dob'
+), rules AS (
+  SELECT case_id, field, list(rule ORDER BY o) AS rule_ids FROM (
+    SELECT case_id, field, rule, min(o) AS o FROM (SELECT case_id, field, rule, pair_ord * 2 AS o FROM worded UNION ALL SELECT case_id, field, 'RULE_OCR_CONFIDENCE_GATED', pair_ord * 2 + 1 FROM worded WHERE verdict = 'LOW_CONFIDENCE') GROUP BY case_id, field, rule
+  ) GROUP BY case_id, field
+), reasons AS (
+  SELECT case_id, field, list(reason ORDER BY o) AS reasons FROM (SELECT case_id, field, reason, min(pair_ord) AS o FROM worded GROUP BY case_id, field, reason) GROUP BY case_id, field
+), actions AS (
+  SELECT case_id, field, arg_min(act, rk * 1000000 + pair_ord) AS act FROM worded GROUP BY case_id, field
+), vals AS (
+  SELECT case_id, field, list({{'key': doc, 'value': v}} ORDER BY doc) AS vals FROM (SELECT case_id, field, doc_a AS doc, text_a AS v FROM worded UNION SELECT case_id, field, doc_b, text_b FROM worded) GROUP BY case_id, field
+), told AS (
+  SELECT m.*, r.rule_ids, e.reasons, v.vals, CASE WHEN m.verdict = 'MATCH' THEN 'Verify manually against original document' ELSE act END AS suggested_action, row_number() OVER (PARTITION BY m.case_id, m.verdict <> 'MATCH' ORDER BY m.confidence DESC, m.field) AS rank
+  FROM merged m JOIN rules r ON r.case_id = m.case_id AND r.field = m.field JOIN reasons e ON e.case_id = m.case_id AND e.field = m.field JOIN actions x ON x.case_id = m.case_id AND x.field = m.field JOIN vals v ON v.case_id = m.case_id AND v.field = m.field
+)"""
+
+
 @query
 def narrative_text(spark, sf):
     s = native_screening(spark, sf)
     return narrative.narratives(s.risks, s.findings)
 
 
+ORACLE["narrative_text"] = f"""WITH {WORDS_SQL}, lines AS (
+  SELECT case_id, string_agg('- ' || upper(field) || ' (' || verdict || ', ' || severity || '): ' || array_to_string(rule_ids, ', '), chr(10) ORDER BY CASE verdict WHEN 'MISMATCH' THEN 0 ELSE 1 END, rank) AS body FROM told WHERE verdict <> 'MATCH' GROUP BY case_id
+) SELECT r.case_id, 'Triage ' || triage || ': ' || CASE triage {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in narrative.OPENING.items())} END || coalesce(chr(10) || body, '') AS narrative FROM risks r LEFT JOIN lines USING (case_id)"""
+
+
 @query
 def reviewer_questions(spark, sf):
     s = native_screening(spark, sf)
@@ -694,18 +730,35 @@ def findings_hash(spark, sf):
     return narrative.payloads(s.risks, s.merged).select("case_id", F.length("hash").alias("n"), "hash")
 
 
+ORACLE["findings_hash"] = f"""WITH {WORDS_SQL}, i AS (
+  SELECT case_id, list({{'field': field, 'verdict': verdict, 'severity': severity, 'similarity': similarity, 'confidence': confidence, 'values': vals, 'rule_ids': rule_ids, 'reasons': reasons}} ORDER BY field) AS items FROM told WHERE NOT (verdict = 'MATCH' AND field = 'id_number') GROUP BY case_id
+), h AS (SELECT r.case_id, sha256(to_json({{'case_id': r.case_id, 'risk_score': round(risk_score, 3), 'triage': triage, 'items': coalesce(items, [])}})::VARCHAR) AS hash FROM risks r LEFT JOIN i USING (case_id))
+SELECT case_id, length(hash)::INT AS n, hash FROM h"""
+
+
 @query
 def json_report(spark, sf):
     s = native_screening(spark, sf)
     return store.json_reports(s.risks, s.merged)
 
 
+ORACLE["json_report"] = f"""WITH {WORDS_SQL}, i AS (
+  SELECT case_id, verdict = 'MATCH' AS same, {{'field': field, 'verdict': verdict, 'severity': severity, 'similarity': similarity, 'confidence': confidence, 'finding_id': finding_id, 'rule_ids': rule_ids, 'suggested_action': suggested_action}} AS item, field FROM told
+), g AS (SELECT case_id, list(item ORDER BY field) FILTER (NOT same) AS found, list(item ORDER BY field) FILTER (same) AS agreeing FROM i GROUP BY case_id)
+SELECT r.case_id, triage, risk_score, to_json({{'case_id': r.case_id, 'risk_score': risk_score, 'triage': triage, 'findings': coalesce(found, []), 'consistent_items': coalesce(agreeing, []), 'disclaimer': '{store.DISCLAIMER}'}})::VARCHAR AS report_json FROM risks r LEFT JOIN g USING (case_id)"""
+
+
 @query
 def html_report(spark, sf):
     s = native_screening(spark, sf)
     return store.html_reports(s.risks, s.findings)
 
 
+ORACLE["html_report"] = f"""WITH {WORDS_SQL}, t AS (
+  SELECT case_id, string_agg('<tr><td>' || rank || '</td><td>' || field || '</td><td>' || verdict || '</td><td>' || severity || '</td><td>' || confidence || '</td></tr>', '' ORDER BY rank) AS body FROM told WHERE verdict <> 'MATCH' GROUP BY case_id
+) SELECT r.case_id, '<html><body><h1>Case ' || r.case_id || ': ' || triage || '</h1><table>' || coalesce(body, '') || '</table><footer>{store.DISCLAIMER}</footer></body></html>' AS html FROM risks r LEFT JOIN t USING (case_id)"""
+
+
 # --- store ------------------------------------------------------------------------------------------------------------
 
 
