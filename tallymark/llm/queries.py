@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bit_planes, html_crf, iblt, mixing, mpeg_audio, near_dedup, packing, substring_dedup, toxicity, url_filter
+from . import bit_planes, hard_negatives, html_crf, iblt, mixing, mpeg_audio, near_dedup, packing, parity_join, substring_dedup, toxicity, url_filter, vector_codes
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -52,6 +53,20 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids that seven divides move on by one first, so that some rows are labelled wrongly."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+def op13_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.linked(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,11 +74,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mpeg_audio, op2_url_filter, op3_iblt, op4_html_crf, op5_toxicity, op6_compact_windows, op7_best_fit_packing, op8_bit_planes, op9_source_mix, op10_near_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op2_url_filter, op3_iblt, op4_html_crf, op5_toxicity, op6_compact_windows, op7_best_fit_packing, op8_bit_planes, op9_source_mix, op10_near_dedup, op11_vector_codes, op12_hard_negatives, op13_parity_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op9_source_mix": OP9_SQL}
+    return {"op2_url_filter": OP2_SQL, "op9_source_mix": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_hard_negatives": OP12_SQL}
 
 
 # Pages of the tables hold no canonical links or refreshes, so here an url without a rule is allowed; aliases are tested on fixtures.
@@ -107,3 +122,41 @@ WITH RECURSIVE d AS (
 )
 SELECT *, (('0x' || substr(md5('18|' || coalesce(doc_id::VARCHAR, '') || '|' || copy::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS mix_order FROM e
 """
+
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Every round as two subqueries: to which entry each part goes (by distance * 64 + index), then the entries' new values."""
+    steps, last = "", "c0"
+    for k in range(rounds + 1):
+        steps += f""", a{k} AS (
+  SELECT x.vec_id, x.label, x.p, min(list_sum([(x.v[j] - c.v[j]) * (x.v[j] - c.v[j]) for j in range(1, 5)])::BIGINT * 64 + c.e) AS best FROM parts x JOIN {last} c ON c.p = x.p GROUP BY ALL
+)"""
+        if k < rounds:
+            steps += f""", c{k + 1} AS (
+  SELECT c.p, c.e, coalesce(u.v, c.v) AS v FROM {last} c LEFT JOIN (
+    SELECT p, e, list(floor(s / n)::BIGINT ORDER BY j) AS v FROM (SELECT a.p, a.best % 64 AS e, j, sum(x.v[j])::DOUBLE AS s, count(*) AS n FROM a{k} a JOIN parts x ON x.vec_id = a.vec_id AND x.p = a.p, range(1, 5) t(j) GROUP BY ALL) GROUP BY ALL
+  ) u ON u.p = c.p AND u.e = c.e
+)"""
+            last = f"c{k + 1}"
+    return f"""WITH q AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_WHOLE}),
+parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * 4 + 1:p * 4 + 4] AS v FROM q, range(16) t(p)),
+c0 AS (SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS e, v FROM parts WHERE vec_id IN (SELECT vec_id FROM q ORDER BY vec_id LIMIT 64)){steps},
+r AS (SELECT vec_id, label, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, sum(best // 64)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM {last})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r, h"""
+
+
+OP11_SQL = _codes_sql()
+
+OP12_SQL = f"""WITH q AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND {_WHOLE}
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM q a, q b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5
+), w AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+) SELECT * FROM w WHERE rank <= 5"""
