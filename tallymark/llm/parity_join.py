@@ -27,6 +27,8 @@ from .near_dedup import confirmed
 GROWTH, WORD = 1.25, 32
 #: Cells of the first turn a leader, sets on a side of a cell of the second.
 SALTS, BLOCK = 256, 256
+#: Sketches are screened by their first quarter before they are sent whole.
+QUARTER = 4
 
 
 class Bands:
@@ -59,15 +61,23 @@ class Bands:
             out.append(out[-1] + 1)
         return [b for b in out if self.groups(b)]
 
-    def part(self, n: int, words: np.ndarray, band: int) -> np.ndarray:
-        """The sketch for ``band`` out of all that a set of n elements has."""
+    def part(self, n: int, words: np.ndarray, band: int, one_of: int = 1) -> np.ndarray:
+        """The sketch for ``band`` out of all that a set of n elements has (of each the first one in ``one_of`` words)."""
         at = 0
         for b in self.asked(n):
+            long = -(-3 * self.groups(b) // one_of)
             if b == band:
-                return words[at : at + 3 * self.groups(b)]
-            at += 3 * self.groups(b)
+                return words[at : at + long]
+            at += long
         return words[:0]
 
+    def few(self, n: int, words: np.ndarray) -> bytes:
+        """The first quarter of each sketch: most pairs that can't link show it there."""
+        return b"".join(self.part(n, words, b)[: -(-3 * self.groups(b) // QUARTER)].tobytes() for b in self.asked(n))
+
+    def fit(self, a: int, b: int) -> bool:
+        return 100 * min(a, b) >= self.percent * max(a, b) > 0
+
 
 def sketch(x: np.ndarray, groups: int) -> np.ndarray:
     """The parity words of distinct 64-bit elements: three words a group."""
@@ -86,20 +96,22 @@ def signatures(words: np.ndarray, band: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """``doc_id, n_shingles, digest, words`` of whole texts; ``words`` holds the sketches for all bands asked, one after the other."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("words", pa.binary())])
+    """``doc_id, n_shingles, digest, words, few`` of whole texts; ``words`` holds the sketches for all bands asked, one after the other,
+    ``few`` the first quarter of each."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("words", pa.binary()), ("few", pa.binary())])
 
     def run(batches):
         for part in rows_of(batches):
-            n, digests, words = [], [], []
+            n, digests, words, few = [], [], [], []
             for text in part.column(1).to_pylist():
                 own = np.unique(shingles(word_hashes(text), width))
                 n.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 words.append(b"".join(sketch(own, bands.groups(b)).tobytes() for b in bands.asked(len(own))) if len(own) else b"")
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(words, pa.binary())], schema=schema)
+                few.append(bands.few(len(own), np.frombuffer(words[-1], "<u4")) if len(own) else b"")
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(words, pa.binary()), pa.array(few, pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, words binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, words binary, few binary")
 
 
 def together(sets: DataFrame, bands: Bands) -> DataFrame:
@@ -140,24 +152,19 @@ def together(sets: DataFrame, bands: Bands) -> DataFrame:
     return rows.repartition(F.shiftright("value", 1)).sortWithinPartitions("value", "node").mapInArrow(meet, "key bigint, lead bigint, node bigint")
 
 
-def differ(bands: Bands, a: tuple[int, np.ndarray], others: list[tuple[int, np.ndarray]]) -> np.ndarray:
+def differ(bands: Bands, a: tuple[int, np.ndarray], others: list[tuple[int, np.ndarray]], one_of: int = 1) -> np.ndarray:
     """Which of ``others`` (size, words) may link with ``a``: sizes fit and the sketches differ in no more places than a link allows."""
     out = np.zeros(len(others), bool)
     n, words = a
     by_band: dict[int, list[int]] = {}
     for k, (m, _) in enumerate(others):
-        if n and m and 100 * min(n, m) >= bands.percent * max(n, m):
+        if bands.fit(n, m):
             by_band.setdefault(bands.of(max(n, m)), []).append(k)
     for band, ks in by_band.items():
-        own = bands.part(n, words, band)
+        own = bands.part(n, words, band, one_of)
+        rest = np.stack([bands.part(*others[k], band, one_of) for k in ks])
         most = np.array([bands.most(n, others[k][0]) for k in ks])
-        ks = np.array(ks)
-        rest = np.stack([bands.part(*others[k], band) for k in ks]) if len(own) else np.zeros((len(ks), 0), np.uint32)
-        part = len(own) // 4  # most pairs that don't fit show it in a quarter
-        seen = np.bitwise_count(rest[:, :part] ^ own[:part]).sum(1)
-        may = seen <= most
-        seen[may] += np.bitwise_count(rest[may][:, part:] ^ own[part:]).sum(1, dtype=seen.dtype)
-        out[ks] = may & (seen <= most)
+        out[ks] = np.bitwise_count(rest ^ own).sum(1) <= most
     return out
 
 
@@ -168,8 +175,30 @@ def pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=PAIR)
 
 
+def at_a_glance(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs ``(a, b)`` whose sizes fit and whose sketches' first quarters allow a link; a leader of many is split by the join."""
+    of = lambda x, *c: [F.col(n).alias(f"{n}_{x}") for n in ("node", *c)]
+    sizes = small(written(sets.select("node", "n").groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("n")), "sizes"))  # a node of several texts has several
+    sized = pairs.join(sizes.select(*of("a", "n", "least")), F.col("a") == F.col("node_a")).join(sizes.select(*of("b", "n", "least")), F.col("b") == F.col("node_b"))
+    sized = sized.filter((F.lit(100) * F.col("n_a") >= F.lit(bands.percent) * F.col("least_b")) & (F.lit(100) * F.col("n_b") >= F.lit(bands.percent) * F.col("least_a"))).select("a", "b")
+    both = sized.join(sets.select(*of("a", "n", "few")), F.col("a") == F.col("node_a")).drop("node_a").join(sets.select(*of("b", "n", "few")), F.col("b") == F.col("node_b")).select("a", "b", "n_a", "few_a", "n_b", "few_b")
+
+    def run(batches):
+        for part in rows_of(batches):
+            found = []
+            for a, b, n, few, m, other in zip(*(part.column(k).to_pylist() for k in range(6))):
+                if bands.fit(n, m):
+                    band = bands.of(max(n, m))
+                    x, y = (bands.part(k, np.frombuffer(w, "<u4"), band, QUARTER) for k, w in ((n, few), (m, other)))
+                    if int(np.bitwise_count(x ^ y).sum()) <= bands.most(n, m):
+                        found.append((a, b))
+            yield pair_batch(found)
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
 def screened(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs ``(a, b)`` whose sketches allow a link. ``a``'s is sent once to each of up to ``SALTS`` cells, cells are streamed."""
+    """The pairs ``(a, b)`` whose whole sketches allow a link. ``a``'s is sent once to each of up to ``SALTS`` cells, cells are streamed."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     asked = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("doc")).unionByName(salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("doc")).distinct())
     rows = asked.join(sets, asked.doc == sets.node).select("a", "salt", "role", "doc", "n", "words")
@@ -192,7 +221,7 @@ def screened(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
 
 def screened_across(mixed: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs ``(a, b)`` of different components of a region of ``mixed(region, members, node, comp)`` whose sketches allow a link.
+    """Pairs ``(a, b)`` of different components of a region of ``mixed(region, members, node, comp)`` whose sketches' quarters allow a link.
 
     A region's sets are dealt into blocks; a cell is two blocks, so it holds about ``2 * BLOCK`` sets at most and reads the second as a stream.
     """
@@ -200,20 +229,20 @@ def screened_across(mixed: DataFrame, sets: DataFrame, bands: Bands) -> DataFram
     dealt = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = other.select("region", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("c"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("role"), F.col("node").alias("doc"), "comp")
-    rows = placed.join(sets, placed.doc == sets.node).select("region", "r", "c", "role", "doc", "comp", "n", "words")
+    rows = placed.join(sets, placed.doc == sets.node).select("region", "r", "c", "role", "doc", "comp", "n", "few")
 
     def run(batches):
         at, held, names = None, [], []
         for part in rows_of(batches):
             found = []
-            for region, r, c, role, doc, comp, n, words in zip(*(part.column(k).to_pylist() for k in range(8))):
-                own = n, np.frombuffer(words, "<u4")
+            for region, r, c, role, doc, comp, n, few in zip(*(part.column(k).to_pylist() for k in range(8))):
+                own = n, np.frombuffer(few, "<u4")
                 if (region, r, c) != at:
                     at, held, names = (region, r, c), [], []
                 if r == c or role == 1:  # within a block, or a block's sets with those of the one that is held
                     other = [k for k, (d, x) in enumerate(names) if x != comp and d != doc]
                     if other:
-                        found += [(names[k][0], doc) for k, ok in zip(other, differ(bands, own, [held[k] for k in other])) if ok]
+                        found += [(names[k][0], doc) for k, ok in zip(other, differ(bands, own, [held[k] for k in other], QUARTER)) if ok]
                 if role == 0:
                     held.append(own)
                     names.append((doc, comp))
@@ -234,7 +263,7 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     own = written(sketched(docs, width, bands), "parity")
     some = own.filter("n_shingles > 0 and doc_id is not null")
     classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")).select(F.col("digest").alias("cls"), "node", "n"), "classes")
-    sets = written(some.join(small(classes), (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("cls"))).filter("length(words) > 0").select("node", "n", "words"), "parity-sets")
+    sets = written(some.join(small(classes), (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("cls"))).filter("length(words) > 0").select("node", "n", "words", "few"), "parity-sets")
     shared = written(together(sets, bands), "shared")
 
     def confirm(pairs):
@@ -243,7 +272,10 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         texts = written(docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("node")).select("node", "text"), "texts")
         return written(confirmed(pairs, texts, width, percent), "links")
 
-    links = confirm(screened(shared.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), sets, bands))
+    def likely(pairs):
+        return screened(written(pairs, "glanced"), sets, bands)
+
+    links = confirm(likely(at_a_glance(shared.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), sets, bands).distinct()))
     labels = written(components(links), "labels")
     # what is left: signatures whose other sets lie in several components
     now = shared.join(small(labels.withColumnRenamed("node", "of")), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
@@ -251,7 +283,7 @@ def linked(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     regions = written(several.groupBy("members", "sign").agg(F.min("key").alias("region")).select("region", "members"), "regions")  # the same sets are compared once
     if not regions.isEmpty():
         mixed = written(now.join(regions, F.col("key") == F.col("region")).select("region", "members", "node", "comp").distinct(), "mixed")
-        links = links.unionByName(confirm(screened_across(mixed, sets, bands).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+        links = links.unionByName(confirm(likely(screened_across(mixed, sets, bands).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())))
     placed = own.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     placed = written(placed.join(classes.select("cls", "node"), F.col("digest") == F.col("cls"), "left").select("doc_id", "n_shingles", "node"), "placed")
     # a document of several texts joins their classes
