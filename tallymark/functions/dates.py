@@ -26,8 +26,35 @@ def date_cleaned(raw: Column) -> Column:
     return F.when(raw.rlike(r"[^\x00-\x7F]"), clean(F.lower(fold_marks(F.trim(raw))), "(?U)")).otherwise(plain)
 
 
+#: The spellings of almost all dates, which need no cleaning: they are cut by place, in generated code.
+PLAIN_ISO, PLAIN_DMY, PLAIN_NAMED = r"^\d{4}-\d{2}-\d{2}$", r"^\d{2}/\d{2}/\d{4}$", rf"(?i)^\d{{2}}-({'|'.join(m for m in C.MONTHS if len(m) == 3)})-\d{{4}}$"
+
+
 def date_parts(raw: Column) -> Column:
     """struct(value, rules): ISO text, or the cleaned text with RULE_DATE_PARSE_FAILED."""
+    at = lambda a, n: F.substring(raw, a, n)
+    number = lambda c: c.cast("int")
+    good = lambda d, m, y: number(m).between(1, 12) & number(d).between(1, 31) & number(y).between(1900, 2035)
+    rules = lambda *names: F.array(*[F.lit(f"RULE_DATE_{n}") for n in sorted(names)])
+    made = lambda value, trace: F.struct(value.alias("value"), trace.alias("rules"))
+
+    def placed(d: Column, m: Column, y: Column, iso: Column, plain: Column, *names: str) -> Column:
+        return F.when(good(d, m, y), made(iso, rules(*names, "ISO8601_CANONICAL"))).otherwise(made(plain, rules(*names, "PARSE_FAILED")))
+
+    y, m, d = at(7, 4), at(4, 2), at(1, 2)
+    either = (number(d) <= 12) & (number(m) <= 12) & (number(d) != number(m))
+    dashed = F.concat(y, F.lit("-"), m, F.lit("-"), d)
+    month = F.lpad(((F.call_function("position", F.lower(at(4, 3)), F.lit("".join(k for k in C.MONTHS if len(k) == 3))) + 2) / 3).cast("int").cast("string"), 2, "0")
+    return (
+        F.when(raw.rlike(PLAIN_ISO), placed(at(9, 2), at(6, 2), at(1, 4), raw, raw, "ISO_PARSE"))
+        .when(raw.rlike(PLAIN_DMY), F.when(either, placed(d, m, y, dashed, raw, "DAY_FIRST_PARSE", "AMBIGUOUS_DAY_MONTH")).otherwise(placed(d, m, y, dashed, raw, "DAY_FIRST_PARSE")))
+        .when(raw.rlike(PLAIN_NAMED), placed(d, month, at(8, 4), F.concat(at(8, 4), F.lit("-"), month, F.lit("-"), d), F.lower(raw), "NAMED_MONTH_PARSE"))
+        .otherwise(any_date_parts(raw))
+    )
+
+
+def any_date_parts(raw: Column) -> Column:
+    """The same by the general rules, for whatever spelling."""
     month_of = F.create_map(*[F.lit(x) for kv in C.MONTHS.items() for x in kv])
     number = lambda c: F.get(c[0], F.lit(c[1])).cast("int")
 
@@ -60,10 +87,8 @@ def date_parts(raw: Column) -> Column:
 
 
 def with_date_parts(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``df`` with ``date_parts`` of a column as ``name``, worked out once for each distinct spelling: there are some ten thousand
-    of them however many rows there are. The distinct ones are found by a partial aggregation and joined back."""
-    known = df.select(F.col(column).alias("_raw")).distinct().select("_raw", date_parts(F.col("_raw")).alias(name))
-    return df.join(known, F.col(column).eqNullSafe(F.col("_raw")), "left").drop("_raw")
+    """``df`` with ``date_parts`` of a column as ``name``, in place: no shuffle, no join on null dates."""
+    return df.withColumn(name, date_parts(F.col(column)))
 
 
 def date_value(raw: Column) -> Column:

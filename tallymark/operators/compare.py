@@ -39,7 +39,18 @@ def case_pair_fields(documents: DataFrame, fields: DataFrame) -> DataFrame:
     f = fields.select("case_id", F.struct("doc_id", "field", "value_raw", "value_norm", "ocr_conf").alias("f"))
     none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
     both = d.select("case_id", "d", none(f, "f")).unionByName(f.select("case_id", none(d, "d"), "f"))
-    case = both.groupBy("case_id").agg(F.array_sort(F.collect_list("d")).alias("ds"), F.collect_list("f").alias("fs"))
+    return _unfolded(both.groupBy("case_id").agg(F.array_sort(F.collect_list("d")).alias("ds"), F.collect_list("f").alias("fs")))
+
+
+def case_pair_rows(rows: DataFrame) -> DataFrame:
+    """The same from one table of documents with their fields, case_id, idx, doc_id, doc_type, field, value_raw, value_norm, ocr_conf, where a
+    document without fields has one row whose field is null. Rows that lie together by case are not shuffled again."""
+    f = F.when(F.col("field").isNotNull(), F.struct("doc_id", "field", "value_raw", "value_norm", "ocr_conf"))
+    return _unfolded(rows.select("case_id", F.struct("idx", "doc_id", "doc_type").alias("d"), f.alias("f")).groupBy("case_id").agg(F.array_sort(F.collect_set("d")).alias("ds"), F.collect_list("f").alias("fs")))
+
+
+def _unfolded(case: DataFrame) -> DataFrame:
+    """``case_id, ds, fs`` (documents in order, fields) as rows of pairs and fields."""
     pairs = F.flatten(F.transform("ds", lambda a: F.transform(F.filter("ds", lambda b: b["idx"] > a["idx"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     unfolded = case.select("case_id", "fs", F.explode(pairs).alias("p"))
     first = unfolded.select("case_id", "fs", "p", F.explode(F.filter("fs", lambda x: x["doc_id"] == F.col("p.a.doc_id"))).alias("fa"))
@@ -178,6 +189,7 @@ def verdicts(pair_rows: DataFrame, cfg: C.Config = C.DEFAULT, kinds: tuple[str,
     lost = absent.select(
         "case_id", "doc_a", "doc_b", "pair_ord", "field", "raw_a", F.lit("[NOT PRESENT]").alias("raw_b"), "norm_a", F.lit("[NOT PRESENT]").alias("norm_b"), "conf_a", F.lit(1.0).alias("conf_b"),
         F.lit("MISSING").alias("verdict"), F.lit(0.0).alias("similarity"), F.lit("INFO").alias("severity"), F.col("conf_a").alias("confidence"), F.array(F.lit("RULE_FIELD_MISSING")).alias("rule_ids"),
+        # fixed value: the sentence that goes with a missing field
         F.concat(F.lit("Verify if '"), "field", F.lit("' is expected in "), "doc_b", F.lit(" ("), "type_b", F.lit(")")).alias("suggested_action"),
     )
     # reasons name identifiers by their last four characters only

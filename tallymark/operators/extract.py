@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config as C
-from ..functions import addresses, dates, ids, text
-from ..functions.similarity import ratio
+from ..functions import addresses, dates, ids, labels, text
+from . import classify
 
 
 def visual_lines(tokens: DataFrame, keys: list[str], gap: int = C.DEFAULT.line_gap, tiebreak: tuple[str, ...] = ("pos",)) -> DataFrame:
@@ -38,30 +37,6 @@ def exact_label(c: Column) -> Column:
     return F.element_at(text.lookup(LABEL_OF), F.trim(F.regexp_replace(F.lower(c), text.NOT_WORD, "")))
 
 
-_KNOWN: dict[str, str | None] = {}
-
-
-def match_label(words: str, least: float = C.DEFAULT.label_ratio) -> str | None:
-    """The first field, in the labels' order, of which a label equals ``words`` or nearly so; answers are remembered."""
-    if least != C.DEFAULT.label_ratio:
-        return _match_label(words, least)
-    if words not in _KNOWN:
-        if len(_KNOWN) > 100_000:
-            _KNOWN.clear()
-        _KNOWN[words] = _match_label(words, least)
-    return _KNOWN[words]
-
-
-def _match_label(words: str, least: float) -> str | None:
-    clean = re.sub(r"[^\w\s]", "", words.lower()).strip()
-    if not clean:
-        return None
-    for f, names in C.LABELS.items():
-        if any(clean == n or 200.0 * min(len(clean), len(n)) >= least * (len(clean) + len(n)) and ratio(clean, n) >= least for n in names):
-            return f
-    return None
-
-
 def label_scan(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of one to three tokens of a line that are a label: ``line_no, token_no, n, field``."""
     w = Window.partitionBy(*keys, "line_no").orderBy("x", "col")
@@ -70,128 +45,184 @@ def label_scan(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return runs.select(*keys, "line_no", "token_no", F.explode(grams).alias("g")).select(*keys, "line_no", "token_no", "g.n", "g.gram", exact_label(F.col("g.gram")).alias("field")).filter("field is not null")
 
 
-FIELDS = "case_id string, doc_id string, doc_type string, field string, value_raw string, ocr_conf double, x int, y int, w int, h int, method string, source_text_span string, line_x int, line_y int, line_w int, line_h int, source_line_conf double"
-
-
-class _Page:
-    """The tokens of one document, with what the extraction asks of them."""
-
-    def __init__(self, rows: list[tuple], gap: int):
-        self.tokens = rows  # (text, conf, x, y, w, h, line_id)
-        order = sorted(range(len(rows)), key=lambda k: (rows[k][3] // 15, rows[k][2]))
-        self.lines, last = [], None
-        for k in order:
-            y = rows[k][3]
-            if last is None or abs(y - last) >= gap:
-                self.lines.append([])
-            self.lines[-1].append(k)
-            last = y
-        for line in self.lines:
-            line.sort(key=lambda k: rows[k][2])
-        self.text = " ".join(r[0] for r in rows)
-
-    def box(self, ks):
-        if not ks:
-            return (None,) * 4
-        r = [self.tokens[k] for k in ks]
-        x, y = min(t[2] for t in r), min(t[3] for t in r)
-        return x, y, max(t[2] + t[4] for t in r) - x, max(t[3] + t[5] for t in r) - y
-
-    def conf(self, ks, default=None):
-        return round(sum(self.tokens[k][1] for k in ks) / len(ks), 3) if ks else default
-
-    def context(self, ks, fallback=()):
-        """Text, box and confidence of the recogniser's lines that these tokens are on."""
-        on = {self.tokens[k][6] for k in ks} - {None}
-        own = [k for k in range(len(self.tokens)) if self.tokens[k][6] in on] if on else list(fallback)
-        own.sort(key=lambda k: (self.tokens[k][3] // 15, self.tokens[k][2]))
-        return (" ".join(self.tokens[k][0] for k in own) or None, *self.box(own), self.conf(own))
-
-
-def _by_label(page: _Page) -> dict[str, tuple]:
-    out: dict[str, tuple] = {}
-    text_of = lambda k: page.tokens[k][0]
-    for at, line in enumerate(page.lines):
-        for k in range(len(line)):
-            for n in range(1, min(3, len(line) - k) + 1):
-                f = match_label(" ".join(map(text_of, line[k : k + n])))
-                if not f or f in out:
-                    continue
-                value, around = line[k + n :], line
-                while value and text_of(value[0]) in (":", "-", ";", "="):
-                    value = value[1:]
-                if not value and at + 1 < len(page.lines):
-                    value = around = page.lines[at + 1]
-                stop = next((j for j, v in enumerate(value) if match_label(text_of(v))), len(value))
-                value = value[:stop]
-                raw = re.sub(r"^[:\-\s]+", "", " ".join(map(text_of, value)).strip()).strip()
-                if raw:
-                    out[f] = (raw, page.conf(value), *page.box(value), "label_proximity", *page.context(value, around))
-    return out
-
-
-DOB = re.compile(r"\b(\d{1,2}[-/. ](?:\d{1,2}|[A-Za-z]{3,9})[-/. ]\d{2,4})\b")
-PIN = re.compile(r"(?<![A-Za-z0-9\-_])([1-9][0-9]{5})\b")
-ID = re.compile(r"\b([A-Z]{2,4}[-\s]?[0-9]{6,12})\b")
-
-
-def _reads_as_date(raw: str) -> bool:
-    parts = re.split(r"[-/. ]", raw.lower())
-    month = int(parts[1]) if parts[1].isdigit() else C.MONTHS.get(parts[1], 0)
-    year = int(parts[2]) + (0 if len(parts[2]) > 2 else 2000 if int(parts[2]) <= 30 else 1900)
-    return 1 <= month <= 12 and 1 <= int(parts[0]) <= 31 and 1900 <= year <= 2035
-
-
-def _by_pattern(page: _Page, have: set[str], doc_type: str) -> dict[str, tuple]:
-    out: dict[str, tuple] = {}
-    everyone = range(len(page.tokens))
-    made = lambda raw, ks, conf, method: (raw, conf, *page.box(ks), method, *page.context(ks))
-    if "dob" not in have:
-        raw = next((m[1].strip() for m in DOB.finditer(page.text) if _reads_as_date(m[1].strip())), None)
-        if raw:
-            ks = [k for k in everyone if page.tokens[k][0] in raw or raw in page.tokens[k][0]]
-            out["dob"] = made(raw, ks, page.conf(ks, 0.85), "regex")
-    low = page.text.lower()
-    if "address" not in have and doc_type != "marksheet" and not any(w in low for w in C.ACADEMIC):
-        for m in PIN.finditer(page.text):
-            if any(w in page.text[max(0, m.start() - 15) : m.start()].lower() for w in C.PIN_BLOCKERS):
-                continue
-            k = next((k for k in everyone if m[1] in page.tokens[k][0]), None)
-            if k is None:
-                continue
-            ks = list(range(max(0, k - 8), min(len(page.tokens), k + 2)))
-            raw = " ".join(page.tokens[j][0] for j in ks)
-            if set(raw.lower().split()) & set(C.ADDRESS_WORDS) or any(w in raw.lower() for w in ("road", "marg", "nagar", "street")):
-                out["address"] = made(raw, ks, page.conf(ks), "regex_pin_context")
-                break
-    if "id_number" not in have and (m := ID.search(page.text)):
-        ks = [k for k in everyone if m[1] in page.tokens[k][0] or any(p in page.tokens[k][0] for p in m[1].split())]
-        out["id_number"] = made(m[1], ks, page.conf(ks, 0.85), "regex_id")
-    return out
+SEPARATORS = (":", "-", ";", "=")
+#: What is kept of a token, and its place among the visual lines.
+TOKEN = ("text", "conf", "x", "y", "w", "h", "line_id")
 
 
-def extract_fields(tokens: DataFrame, gap: int = C.DEFAULT.line_gap) -> DataFrame:
-    """One row a document and field found: by labels, else by patterns. ``tokens`` has case, document, type, position and box.
+def labelled(tokens: DataFrame, keys: list[str], gap: int = C.DEFAULT.line_gap, dictionary: labels.Labels = labels.DEFAULT) -> DataFrame:
+    """``tokens`` (``pos`` and box) with ``line_no``, ``token_no`` in the line, and the fields ``f1, f2, f3`` whose label the one, two or three tokens
+    from here on are. One shuffle by ``keys`` serves both windows; what follows may group by them without another."""
+    lines = visual_lines(tokens, keys, gap)
+    w = Window.partitionBy(*keys, "line_no").orderBy("x", F.floor(F.col("y") / 15), "pos")
+    runs = lines.withColumn("token_no", F.row_number().over(w)).withColumn("_2", F.lead("text", 1).over(w)).withColumn("_3", F.lead("text", 2).over(w))
+    match = lambda c, there: F.when(there, dictionary.match(c))
+    return runs.withColumns({"f1": dictionary.match(F.col("text")), "f2": match(F.concat_ws(" ", "text", "_2"), F.col("_2").isNotNull()), "f3": match(F.concat_ws(" ", "text", "_2", "_3"), F.col("_3").isNotNull())}).drop("_2", "_3")
+
 
-    A document is a few pages, so its tokens are gathered into one row; Python takes rows by Arrow batches.
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with new columns that are worked out once a row: a generator stands between them and what uses them, so the optimiser
+    doesn't move them into the expressions, and not into lambdas, where they would be worked out for every element."""
+    made = df.select(*(c for c in df.columns if c not in columns), F.explode(F.array(F.struct(*(v.alias(n) for n, v in columns.items())))).alias("_once"))
+    return made.select(*(c for c in df.columns if c not in columns), "_once.*")
+
+
+def pages(tokens: DataFrame, gap: int = C.DEFAULT.line_gap, dictionary: labels.Labels = labels.DEFAULT) -> DataFrame:
+    """One row a document: ``case_id, doc_id, doc_type, text, read`` (tokens in the recogniser's order) and ``seen`` (by line, left to right).
+
+    ``doc_type`` is the tokens' own where they have one, else that of the text's keywords.
     """
-    names = ("text", "conf", "x", "y", "w", "h", "line_id")
-    pages = tokens.groupBy("case_id", "doc_id").agg(F.first("doc_type").alias("doc_type"), F.array_sort(F.collect_list(F.struct("pos", *names))).alias("tokens"))
-    columns = [c.split() for c in FIELDS.split(", ")]
-    kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
-    schema = pa.schema([(n, kinds[k]) for n, k in columns])
+    marked = labelled(tokens, ["case_id", "doc_id"], gap, dictionary)
+    seen = F.array_sort(F.collect_list(F.struct("line_no", "token_no", "pos", *TOKEN, "f1", "f2", "f3")))
+    kind = "doc_type" in tokens.columns
+    gathered = marked.groupBy("case_id", "doc_id").agg(seen.alias("seen"), *(F.first(c).alias(c) for c in ("doc_type", "doc_no") if c in tokens.columns))
+    read = F.array_sort(F.transform("seen", lambda t: F.struct(t["pos"].alias("pos"), *(t[c].alias(c) for c in TOKEN))))
+    read_once = once(gathered, read=read)
+    whole = once(read_once, text=F.array_join(F.transform("read", lambda t: t["text"]), " "))
+    return whole if kind else classify.classify(whole).drop("type_confidence", "top_2")
+
+
+def _box(ts: Column) -> Column:
+    """The union box as an array x, y, w, h; null for no tokens."""
+    x, y = F.array_min(F.transform(ts, lambda t: t["x"])), F.array_min(F.transform(ts, lambda t: t["y"]))
+    right, low = F.array_max(F.transform(ts, lambda t: t["x"] + t["w"])), F.array_max(F.transform(ts, lambda t: t["y"] + t["h"]))
+    return F.when(F.size(ts) > 0, F.array(x, y, right - x, low - y))
+
+
+def _conf(ts: Column, default: Column) -> Column:
+    """The mean confidence to three places; ``default`` for no tokens."""
+    total = F.aggregate(ts, F.lit(0).cast("decimal(20,6)"), lambda s, t: (s + t["conf"].cast("decimal(20,6)")).cast("decimal(20,6)"))
+    return F.when(F.size(ts) > 0, F.round(total.cast("double") / F.size(ts), 3)).otherwise(default)
+
+
+def _joined(ts: Column) -> Column:
+    return F.array_join(F.transform(ts, lambda t: t["text"]), " ")
+
+
+def _plain(ts: Column) -> Column:
+    return F.transform(ts, lambda t: F.struct(t["pos"].alias("pos"), *(t[c].alias(c) for c in TOKEN)))
+
+
+def _found(field: Column, raw: Column, own: Column, default: float | None, method: str, around: Column) -> Column:
+    """A field as it is found, before its evidence is gathered: its tokens and, should they be on no line of the recogniser's, others."""
+    return F.struct(field.alias("field"), raw.alias("value_raw"), own.alias("own"), F.lit(default).cast("double").alias("default"), F.lit(method).alias("method"), around.alias("around"))
+
+
+def with_evidence(found: Column, read: Column) -> Column:
+    """``found`` fields with box and confidence of their tokens, and text, box and confidence of the recogniser's lines on which these are."""
+
+    def context(x: Column) -> Column:
+        on = F.array_distinct(F.filter(F.transform(x["own"], lambda t: t["line_id"]), lambda k: k.isNotNull()))
+        line = text.let(on, lambda on: F.when(F.size(on) > 0, F.filter(read, lambda t: F.array_contains(on, t["line_id"]))).otherwise(x["around"]))
+        ordered = F.transform(F.array_sort(F.transform(line, lambda t: F.struct(F.floor(t["y"] / 15).alias("a"), t["x"].alias("b"), t["pos"].alias("c"), t.alias("t")))), lambda s: s["t"])
+        none = F.lit(None).cast("double")
+        return text.let(ordered, lambda own: F.struct(F.nullif(_joined(own), F.lit("")).alias("span"), _box(own).alias("box"), _conf(own, none).alias("conf")))
+
+    return F.transform(found, lambda x: F.struct(x["field"].alias("field"), x["value_raw"].alias("value_raw"), _conf(x["own"], x["default"]).alias("ocr_conf"), _box(x["own"]).alias("box"), x["method"].alias("method"), context(x).alias("context")))
+
+
+def by_label(seen: Column) -> Column:
+    """Fields found beside their labels: for each label in reading order (one token before two before three) the tokens to its right,
+    else the next line, up to the next label. A label without a value leaves its field to the next one."""
+    hit = lambda t: F.filter(F.array(*[F.struct(t["line_no"].alias("line_no"), (t["token_no"] + n).alias("at"), t[f"f{n}"].alias("field")) for n in (1, 2, 3)]), lambda h: h["field"].isNotNull())
+
+    def value(h: Column) -> Column:
+        rest = F.filter(seen, lambda t: (t["line_no"] == h["line_no"]) & (t["token_no"] >= h["at"]))
+        first = F.array_min(F.transform(F.filter(rest, lambda t: ~t["text"].isin(*SEPARATORS)), lambda t: t["token_no"]))
+        right = text.let(first, lambda k: F.filter(rest, lambda t: t["token_no"] >= k))
+        below = F.filter(seen, lambda t: t["line_no"] == h["line_no"] + 1)
+
+        def cut(ts: Column) -> Column:
+            stop = F.array_min(F.transform(F.filter(ts, lambda t: t["f1"].isNotNull()), lambda t: t["token_no"]))
+            own = text.let(stop, lambda k: F.filter(ts, lambda t: k.isNull() | (t["token_no"] < k)))
+            return text.let(own, lambda own: F.struct(own.alias("own"), F.trim(F.regexp_replace(F.trim(_joined(own)), r"^[:\-\s]+", "")).alias("raw"), F.get(ts, F.lit(0))["line_no"].alias("around")))
+
+        return text.let(F.when(first.isNotNull(), right).otherwise(below), lambda ts: F.struct(h["field"].alias("field"), cut(ts).alias("v")))
+
+    found = F.filter(F.transform(F.flatten(F.transform(seen, hit)), value), lambda x: x["v"]["raw"] != "")
+    return text.let(found, lambda fs: F.filter(fs, lambda x, k: ~F.exists(F.slice(fs, 1, k), lambda e: e["field"] == x["field"])))
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for case, doc, kind, found in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                page = _Page([tuple(t[n] for n in names) for t in found], gap)
-                fields = _by_label(page)
-                fields |= _by_pattern(page, set(fields), kind)
-                rows += [(case, doc, kind, f, *v) for f, v in fields.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return pages.mapInArrow(run, FIELDS)
+# Dates, six-digit codes and identifiers in running text. The code's pattern also takes the fifteen characters before it.
+DOB = r"\b(\d{1,2}[-/. ](?:\d{1,2}|[A-Za-z]{3,9})[-/. ]\d{2,4})\b"
+PIN = r"(?s)(?<=(^.{0,14}|.{15}))(?<![A-Za-z0-9\-_])([1-9][0-9]{5})\b"
+ID = r"\b([A-Z]{2,4}[-\s]?[0-9]{6,12})\b"
+ROADS = ("road", "marg", "nagar", "street")
+
+
+def reads_as_date(raw: Column) -> Column:
+    return ~F.array_contains(dates.any_date_parts(raw)["rules"], "RULE_DATE_PARSE_FAILED")
+
+
+def first_date(whole: Column) -> Column:
+    """The first thing in a text that reads as a date, as it stands there; null if none."""
+    return F.get(F.filter(F.transform(F.regexp_extract_all(whole, F.lit(DOB), F.lit(1)), lambda x: F.trim(x)), reads_as_date), F.lit(0))
+
+
+def first_identifier(whole: Column) -> Column:
+    """The first identifier in a text; null if none."""
+    return F.nullif(F.regexp_extract(whole, ID, 1), F.lit(""))
+
+
+def pin_window(whole: Column, read: Column) -> Column:
+    """The tokens about the first six-digit code that stands in an address: eight before its first token and one after; null if none.
+
+    Codes after words that announce other numbers don't count, nor do windows without a word of addresses.
+    """
+    codes, before = F.regexp_extract_all(whole, F.lit(PIN), F.lit(2)), F.regexp_extract_all(whole, F.lit(PIN), F.lit(1))
+    announced = lambda b: F.exists(F.array(*map(F.lit, C.PIN_BLOCKERS)), lambda w: F.contains(F.lower(b), w))
+    free = F.transform(F.filter(F.arrays_zip(codes.alias("code"), before.alias("before")), lambda m: ~announced(m["before"])), lambda m: m["code"])
+
+    def window(code: Column) -> Column:
+        at = F.array_position(F.transform(read, lambda t: F.contains(t["text"], code)), True)  # from 1; 0 if none
+        return text.let(at.cast("int"), lambda k: F.when(k > 0, F.slice(read, F.greatest(F.lit(1), k - 8), F.least(k, F.lit(9)) + 1)))
+
+    def told(ts: Column) -> Column:
+        low = F.lower(_joined(ts))
+        return F.arrays_overlap(text.words(low), F.array(*map(F.lit, C.ADDRESS_WORDS))) | F.exists(F.array(*map(F.lit, ROADS)), lambda w: F.contains(low, w))
+
+    return F.get(F.filter(F.transform(free, window), lambda ts: ts.isNotNull() & told(ts)), F.lit(0))
+
+
+def touching(read: Column, raw: Column, parts: Column) -> Column:
+    """Tokens that hold ``raw`` or one of ``parts``."""
+    return F.filter(read, lambda t: F.contains(t["text"], raw) | F.exists(parts, lambda p: F.contains(t["text"], p)))
+
+
+def by_pattern(have: Column) -> Column:
+    """Birth date, address and identifier from the running text of ``pages``, where ``have`` (names of fields) lacks them."""
+    col, academic = F.col, F.exists(F.array(*map(F.lit, C.ACADEMIC)), lambda w: F.contains(F.lower(F.col("text")), w))
+    none = F.array().cast("array<string>")
+    dob = F.when(~F.array_contains(have, "dob"), first_date(col("text")))
+    dob_on = lambda raw: F.filter("read", lambda t: F.contains(raw, t["text"]) | F.contains(t["text"], raw))
+    nothing = F.filter("read", lambda t: F.lit(False))
+    made = lambda name, raw, own, default, method: _found(F.lit(name), raw, own, default, method, nothing)
+    born = text.let(dob, lambda raw: F.when(raw.isNotNull(), made("dob", raw, dob_on(raw), 0.85, "regex")))
+    window = F.when(~F.array_contains(have, "address") & (col("doc_type") != "marksheet") & ~academic, pin_window(col("text"), col("read")))
+    lives = text.let(window, lambda ts: F.when(ts.isNotNull(), made("address", _joined(ts), ts, None, "regex_pin_context")))
+    number = F.when(~F.array_contains(have, "id_number"), first_identifier(col("text")))
+    known = text.let(number, lambda raw: F.when(raw.isNotNull(), made("id_number", raw, touching(col("read"), raw, F.coalesce(text.words(raw), none)), 0.85, "regex_id")))
+    return F.array_compact(F.array(born, lives, known))
+
+
+def found_fields(docs: DataFrame) -> DataFrame:
+    """``pages`` with ``fields``: all that was found, by labels, else by patterns."""
+    beside = F.transform("hits", lambda h: _found(h["field"], h["v"]["raw"], _plain(h["v"]["own"]), None, "label_proximity", _plain(F.filter("seen", lambda t: t["line_no"] == h["v"]["around"]))))
+    both = once(once(docs, hits=by_label(F.col("seen"))), found=F.concat(beside, by_pattern(F.transform("hits", lambda h: h["field"]))))
+    return once(both, fields=with_evidence(F.col("found"), F.col("read"))).drop("hits", "found")
+
+
+def flat_fields(docs: DataFrame) -> DataFrame:
+    """One row a document and field, with boxes in columns."""
+    box = lambda c, p: [F.get(c, F.lit(k)).alias(f"{p}{n}") for k, n in enumerate("xywh")]
+    one = docs.select("case_id", "doc_id", "doc_type", F.explode("fields").alias("f"))
+    return one.select("case_id", "doc_id", "doc_type", "f.field", "f.value_raw", "f.ocr_conf", *box("f.box", ""), "f.method", F.col("f.context.span").alias("source_text_span"), *box("f.context.box", "line_"), F.col("f.context.conf").alias("source_line_conf"))
+
+
+def extract_fields(tokens: DataFrame, gap: int = C.DEFAULT.line_gap) -> DataFrame:
+    """One row a document and field found: by labels, else by patterns. ``tokens`` has case, document, position and box, and may have
+    the type. Native: one shuffle by document, then windows and array expressions."""
+    return flat_fields(found_fields(pages(tokens, gap)))
 
 
 def normalised(fields: DataFrame) -> DataFrame:
@@ -201,6 +232,11 @@ def normalised(fields: DataFrame) -> DataFrame:
     return fields.withColumn("_p", parts).withColumn("value_norm", F.col("_p.value")).withColumn("rules_applied", F.col("_p.rules")).drop("_p")
 
 
+def value_of(field: Column, raw: Column) -> Column:
+    """The normalised value alone, by the field's kind."""
+    return F.when(field.isin("name", "guardian_name"), text.name_value(raw)).when(field.isin("dob", "issue_date"), dates.date_value(raw)).when(field == "address", addresses.address_value(raw)).otherwise(ids.id_value(raw))
+
+
 def evidence_line(field: Column, doc: Column, raw: Column, span: Column) -> Column:
     return F.concat(doc, F.lit(" "), field, F.lit(": "), raw, F.coalesce(F.concat(F.lit(" (line: "), span, F.lit(")")), F.lit("")))
 
@@ -225,3 +261,35 @@ def best_attempt(candidates: DataFrame) -> DataFrame:
     """Of attempts 0, 1, ... at a field the most confident; an equal later one does not replace an earlier."""
     pick = F.max_by(F.struct("attempt", "value_raw", "ocr_conf"), F.struct(F.coalesce("ocr_conf", F.lit(-1.0)), -F.col("attempt"))).alias("best")
     return candidates.groupBy("case_id", "doc_id", "field").agg(pick).select("case_id", "doc_id", "field", "best.attempt", "best.value_raw", "best.ocr_conf")
+
+
+def retry_rounds(documents: DataFrame, fields: DataFrame, attempt, rounds: int = 2, least: float = C.DEFAULT.retry_confidence, until_confident: bool = False, keep=lambda df: df) -> DataFrame:
+    """Critical fields that are missing or below ``least``, read again: ``case_id, doc_id, field, value_raw, ocr_conf, initial_conf, tried, improved_by``.
+
+    ``attempt(k, docs)`` gives the fields (case_id, doc_id, field, value_raw, ocr_conf) of another reading, k = 1, 2, ..., of the documents in
+    ``docs(case_id, doc_id)``: those that still have an open field, so each round reads less, and nothing where none is left. A reading replaces
+    the value if its confidence is strictly higher than the best before (0 for a missing field). A field is open until the first
+    improvement, or with ``until_confident`` until it has ``least``. ``tried`` counts the readings that were made for it. What a round leaves
+    is used twice, so ``keep`` should hold it (``plans.pipeline.kept``).
+    """
+    keys = ["case_id", "doc_id", "field"]
+    start = retry_needed(documents, fields.select(*keys, "ocr_conf"), least).join(fields.select(*keys, "value_raw"), keys, "left")
+    state = start.select(*keys, "value_raw", F.col("ocr_conf").cast("double").alias("ocr_conf"), F.coalesce(F.col("ocr_conf").cast("double"), F.lit(0.0)).alias("initial_conf"), F.lit(0).alias("tried"), F.lit(None).cast("int").alias("improved_by"))
+    for k in range(1, rounds + 1):
+        still = (F.coalesce("ocr_conf", F.lit(0.0)) < least) if until_confident else F.col("improved_by").isNull()
+        state = keep(state)
+        again = attempt(k, state.filter(still).select("case_id", "doc_id").distinct()).select(*keys, F.col("value_raw").alias("_raw"), F.col("ocr_conf").cast("double").alias("_conf"))
+        better = still & (F.col("_conf") > F.coalesce("ocr_conf", F.lit(0.0)))
+        met = state.join(again, keys, "left").withColumn("_open", still).withColumn("_better", F.coalesce(better, F.lit(False)))
+        state = met.select(
+            *keys, F.when(F.col("_better"), F.col("_raw")).otherwise(F.col("value_raw")).alias("value_raw"), F.when(F.col("_better"), F.col("_conf")).otherwise(F.col("ocr_conf")).alias("ocr_conf"), "initial_conf",
+            (F.col("tried") + F.col("_open").cast("int")).alias("tried"), F.when(F.col("_better"), F.lit(k)).otherwise(F.col("improved_by")).alias("improved_by"),
+        )
+    return state
+
+
+def with_retries(fields: DataFrame, retried: DataFrame) -> DataFrame:
+    """``fields`` (case_id, doc_id, field, value_raw, ocr_conf) with the values that ``retry_rounds`` improved in the place of the old ones."""
+    keys = ["case_id", "doc_id", "field"]
+    won = retried.filter("improved_by is not null").select(*keys, "value_raw", "ocr_conf")
+    return fields.select(*keys, "value_raw", "ocr_conf").join(won.select(*keys), keys, "left_anti").unionByName(won)

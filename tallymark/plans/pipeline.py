@@ -39,17 +39,36 @@ def complete_bundles(documents: DataFrame, least: int = 2, most: int = 6) -> Dat
     return documents.join(good, "case_id", "left_semi")
 
 
+def screen_rows(rows: DataFrame, cases: DataFrame, cfg: C.Config = C.DEFAULT, kinds: tuple[str, ...] = compare.KINDS) -> Screening:
+    """From one table of documents with their normalised fields (see ``compare.case_pair_rows``); ``cases`` has every case_id."""
+    found = compare.verdicts(compare.case_pair_rows(rows), cfg, kinds)
+    merged = merge.merge_fields(found)
+    documents = rows.select("case_id", "idx", "doc_id", "doc_type").distinct()
+    return Screening(documents, rows.filter("field is not null"), found, merged, score.case_risk(merge.findings(merged), cases, cfg))
+
+
+def token_rows(tokens: DataFrame, cfg: C.Config = C.DEFAULT) -> DataFrame:
+    """Documents with their normalised fields from tokens dealt out by case: classified, read and normalised without another shuffle.
+
+    ``idx``, which orders a case's documents, is the tokens' ``doc_no`` where they have it, else the first number in the document's name.
+    """
+    number = [F.col("doc_no").alias("idx")] if "doc_no" in tokens.columns else [F.coalesce(F.nullif(F.regexp_extract("doc_id", r"(\d+)", 1), F.lit("")).cast("int"), F.lit(0)).alias("idx")]
+    dealt = tokens.drop("doc_type").repartition("case_id")
+    docs = extract.found_fields(extract.pages(dealt, cfg.line_gap))
+    one = docs.select("case_id", "doc_id", *number, "doc_type", F.explode_outer("fields").alias("f"))
+    flat = one.select("case_id", "idx", "doc_id", "doc_type", "f.field", "f.value_raw", "f.ocr_conf", "f.method", F.col("f.context.span").alias("source_text_span"))
+    return flat.withColumn("value_norm", extract.value_of(F.col("field"), F.col("value_raw")))
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint where the session has a folder for it, else a cache."""
+    """A checkpoint where the session has a folder for it, else a cache that Spark's cleaner drops with the last reference."""
     sc = df.sparkSession.sparkContext
     return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df.persist()
 
 
 def screen_tokens(tokens: DataFrame, cfg: C.Config = C.DEFAULT) -> Screening:
-    """From token tables (case, document, position, text, confidence, box, line): classify, extract, normalise, screen."""
-    whole = tokens.groupBy("case_id", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), " ").alias("text"))
-    typed = classify.classify(whole).select("case_id", "doc_id", "doc_type")
-    # Python reads each document once: what it finds is kept where later stages, which use it several times, can read it
-    found = kept(extract.normalised(kept(extract.extract_fields(tokens.join(typed, ["case_id", "doc_id"])))))
-    ordered = typed.withColumn("idx", F.coalesce(F.nullif(F.regexp_extract("doc_id", r"(\d+)", 1), F.lit("")).cast("int"), F.lit(0)))
-    return screen_fields(ordered, found, cfg)
+    """From token tables (case, document, position, text, confidence, box, line): classify, read, normalise, screen.
+
+    One shuffle, by case, carries the tokens through all of it up to the pairs; names and streets that differ are scored apart.
+    """
+    return screen_rows(token_rows(tokens, cfg), tokens.select("case_id"), cfg)

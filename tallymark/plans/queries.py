@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import addresses, dates, ids, similarity, text
-from ..operators import classify, compare, evaluate, extract, merge, narrative, quality, score, store
+from ..functions import addresses, dates, ids, labels, similarity, text
+from ..operators import classify, compare, evaluate, extract, merge, narrative, quality, score, store, trace
+from ..sources import mix
 from ..sources import tokens as token_source
 from ..sources.bundles import BUNDLE_SQL, bundles, documents_of, raw_fields, table
 from ..streaming import audit
@@ -22,27 +23,24 @@ def query(f):
     return f
 
 
-def _value(field: str):
-    """Normalised value of a raw column, by field."""
-    c = F.col("value_raw")
-    return {"name": text.name_value, "guardian_name": text.name_value, "dob": dates.date_value, "address": addresses.address_value, "id_number": ids.id_value}[field](c)
-
-
 def normal_fields(spark: SparkSession, sf: str, names) -> DataFrame:
+    """Fields with their normalised values, from one scan."""
     raw = raw_fields(bundles(spark, sf), names)
-    out = None
-    for n in names:
-        one = raw.filter(F.col("field") == n).withColumn("value_norm", _value(n))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return raw.withColumn("value_norm", extract.value_of(F.col("field"), F.col("value_raw")))
+
+
+def _screened(spark: SparkSession, sf: str, names, kinds=compare.KINDS) -> pipeline.Screening:
+    """Every document has a name, a birth date and an identifier, so its fields' rows name all documents; a case is an order."""
+    return pipeline.screen_rows(normal_fields(spark, sf, names), _cases(spark, sf), kinds=kinds)
+
+
+def _cases(spark: SparkSession, sf: str) -> DataFrame:
+    return bundles(spark, sf).filter("idx = 1").select("case_id")
 
 
 def native_screening(spark: SparkSession, sf: str) -> pipeline.Screening:
     """Birth dates and identifiers only, so every step is native."""
-    b = bundles(spark, sf)
-    raw = dates.with_date_parts(raw_fields(b, ("dob", "id_number")).withColumn("_dob", F.when(F.col("field") == "dob", F.col("value_raw"))), "_dob", "_p")
-    norm = raw.withColumn("value_norm", F.when(F.col("field") == "dob", F.col("_p.value")).otherwise(ids.id_value(F.col("value_raw"))))
-    return pipeline.screen_fields(documents_of(b), norm, kinds=("date", "id"))
+    return _screened(spark, sf, ("dob", "id_number"), ("date", "id"))
 
 
 # --- normalisers ------------------------------------------------------------------------------------------------------
@@ -375,8 +373,7 @@ ORACLE["case_kpis"] = f"WITH {VERDICT_SQL} SELECT b.case_id, b.n AS n_documents,
 
 
 def full_screening(spark, sf):
-    f = normal_fields(spark, sf, ("name", "dob", "address", "id_number", "guardian_name"))
-    return pipeline.screen_fields(documents_of(bundles(spark, sf)), f)
+    return _screened(spark, sf, ("name", "dob", "address", "id_number", "guardian_name"))
 
 
 @query
@@ -472,19 +469,65 @@ u AS (SELECT doc_id, line_no, token_no, 1 AS n, text AS gram FROM q UNION ALL SE
 SELECT * FROM (SELECT doc_id, line_no, token_no, n, CASE trim(regexp_replace(lower(gram), '[^\p{{L}}\p{{N}}_\s]', '', 'g')) {_LABELS} END AS field FROM u) WHERE field IS NOT NULL"""
 
 
+@query
+def fuzzy_labels(spark, sf):
+    """Labels, spelled exactly or nearly, among runs of one to three words of a line: whole documents."""
+    t = _lines(spark, sf).withColumn("pos", F.col("row") * 1_000_000 + F.col("col")).drop("line_no")
+    marked = extract.labelled(t, ["doc_id"])
+    runs = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"f{n}").alias("field")) for n in (1, 2, 3)]), lambda r: r["field"].isNotNull())
+    return marked.select("doc_id", "line_no", "token_no", F.explode(runs).alias("r")).select("doc_id", "line_no", "token_no", "r.n", "r.field")
+
+
+@query
+def fuzzy_label_table(spark, sf):
+    """The same for single words, with the dictionary as a table and an index of pieces: words of whole documents, and how often they stand there."""
+    words = token_source.text_tokens(table(spark, sf, "documents")).groupBy("text").agg(F.count(F.lit(1)).alias("times"))
+    return labels.fuzzy_join(words, labels.label_table(spark), "text").select("text", "times", "field")
+
+
+def _lcs_sql(a: str, b: str) -> str:
+    """The longest common subsequence by bits: a step a letter of ``a``, a bit a letter of ``b``."""
+    full = f"((1::BIGINT << length({b})) - 1)"
+    places = f"coalesce(list_sum(list_transform(range(1, length({b}) + 1), lambda k: CASE WHEN substr({b}, k::BIGINT, 1) = c THEN 1::BIGINT << (k - 1)::INTEGER ELSE 0 END)), 0)::BIGINT"
+    masks = f"list_transform(list_filter(string_split({a}, ''), lambda x: x <> ''), lambda c: {places})"
+    return f"(length({b}) - bit_count(list_reduce(list_prepend({full}, {masks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})))"
+
+
+_FUZZY = f"""dict(label, field, k) AS (VALUES {", ".join(f"('{n.replace(chr(39), chr(39) * 2)}', '{f}', {k})" for k, (n, f) in enumerate(labels.DEFAULT.entries()))}),
+cand AS MATERIALIZED (SELECT g, label, field, k FROM grams JOIN dict ON 200 * least(length(g), length(label)) >= 88 * (length(g) + length(label)) AND levenshtein(g, label) <= 12 * (length(g) + length(label)) // 100),
+fuzzy AS MATERIALIZED (SELECT g, arg_min(field, k) AS field FROM cand WHERE 200 * {_lcs_sql("g", "label")} >= 88 * (length(g) + length(label)) GROUP BY g)"""
+_CLEAN = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'))"
+ORACLE["fuzzy_labels"] = rf"""WITH {TOKEN_SQL}, q AS (SELECT doc_id, line_no, text, row_number() OVER w AS token_no, lead(text, 1) OVER w AS t2, lead(text, 2) OVER w AS t3 FROM lines WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY x, y // 15, row, col)),
+u AS MATERIALIZED (SELECT doc_id, line_no, token_no, n, {_CLEAN.format("gram")} AS g FROM (SELECT doc_id, line_no, token_no, 1 AS n, text AS gram FROM q UNION ALL SELECT doc_id, line_no, token_no, 2, text || ' ' || t2 FROM q WHERE t2 IS NOT NULL UNION ALL SELECT doc_id, line_no, token_no, 3, text || ' ' || t2 || ' ' || t3 FROM q WHERE t3 IS NOT NULL)),
+grams AS (SELECT DISTINCT g FROM u WHERE length(g) BETWEEN 2 AND 25), {_FUZZY}
+SELECT doc_id, line_no, token_no, n, field FROM u JOIN fuzzy USING (g)"""
+ORACLE["fuzzy_label_table"] = rf"""WITH {TOKEN_SQL}, u AS (SELECT text, count(*) AS times, {_CLEAN.format("text")} AS t FROM tokens GROUP BY text), grams AS (SELECT DISTINCT t AS g FROM u WHERE length(t) BETWEEN 2 AND 25), {_FUZZY}
+SELECT text, times, field FROM u JOIN fuzzy ON g = t"""
+
+
 @query
 def regex_dob_fallback(spark, sf):
-    """The first thing that reads as a date in every document and page."""
-    d = table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text")))
-    return d.select("kind", "id", F.regexp_extract("text", r"\b(\d{1,2}[-/. ](?:\d{1,2}|[A-Za-z]{3,9})[-/. ]\d{2,4})\b", 1).alias("raw")).filter("raw <> ''")
+    """The first thing that reads as a date in every document, page and marksheet or bill of a case."""
+    kinds = [("document", "documents", "doc_id", "text"), ("page", "pages", "page_id", "html")]
+    d = None
+    for kind, name, key, text_col in kinds:
+        one = table(spark, sf, name).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(text_col).alias("text"))
+        d = one if d is None else d.unionByName(one)
+    b = bundles(spark, sf).filter("idx > 1").select(F.col("doc_id").alias("kind"), F.col("case_id").alias("id"), F.concat_ws(" ", F.lit("issued 31/13/1999"), "name", "dob", "id_number").alias("text"))
+    d = d.unionByName(b)
+    return d.select("kind", "id", extract.first_date(F.col("text")).alias("raw")).filter("raw is not null")
 
 
-ORACLE["regex_dob_fallback"] = r"WITH d AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages) SELECT kind, id, regexp_extract(text, '\b(\d{1,2}[-/. ](?:\d{1,2}|[A-Za-z]{3,9})[-/. ]\d{2,4})\b', 1) AS raw FROM d WHERE regexp_extract(text, '\b(\d{1,2}[-/. ](?:\d{1,2}|[A-Za-z]{3,9})[-/. ]\d{2,4})\b', 1) <> ''"
+_MONTH = "CASE WHEN regexp_full_match(p[2], '\\d+') THEN p[2]::INT ELSE MAP {" + ", ".join(f"'{k}': {v}" for k, v in C.MONTHS.items()) + "}[p[2]] END"
+ORACLE["regex_dob_fallback"] = rf"""WITH {BUNDLE_SQL}, d AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages UNION ALL SELECT doc_id, case_id, 'issued 31/13/1999 ' || name || ' ' || dob || ' ' || id_number FROM bundles WHERE idx > 1),
+m AS (SELECT kind, id, generate_subscripts(ms, 1) AS nth, unnest(ms) AS raw FROM (SELECT kind, id, regexp_extract_all(text, '\b(\d{{1,2}}[-/. ](?:\d{{1,2}}|[A-Za-z]{{3,9}})[-/. ]\d{{2,4}})\b', 1) AS ms FROM d)),
+v AS (SELECT *, p[1]::INT AS dd, {_MONTH} AS mm, CASE WHEN p[3]::INT >= 100 THEN p[3]::INT WHEN p[3]::INT <= 30 THEN p[3]::INT + 2000 ELSE p[3]::INT + 1900 END AS yy FROM (SELECT *, string_split_regex(lower(raw), '[-/. ]') AS p FROM m))
+SELECT kind, id, arg_min(raw, nth) AS raw FROM v WHERE dd BETWEEN 1 AND 31 AND mm BETWEEN 1 AND 12 AND yy BETWEEN 1900 AND 2035 GROUP BY kind, id"""
 
 
 @query
 def id_regex_fallback(spark, sf):
-    return bundles(spark, sf).select("case_id", "doc_id", F.regexp_extract(F.concat_ws(" ", "name", "dob", "id_number"), r"\b([A-Z]{2,4}[-\s]?[0-9]{6,12})\b", 1).alias("raw"))
+    return bundles(spark, sf).select("case_id", "doc_id", extract.first_identifier(F.concat_ws(" ", "name", "dob", "id_number")).alias("raw"))
 
 
 ORACLE["id_regex_fallback"] = rf"WITH {BUNDLE_SQL} SELECT case_id, doc_id, regexp_extract(name || ' ' || dob || ' ' || id_number, '\b([A-Z]{{2,4}}[-\s]?[0-9]{{6,12}})\b', 1) AS raw FROM bundles"
@@ -492,15 +535,15 @@ ORACLE["id_regex_fallback"] = rf"WITH {BUNDLE_SQL} SELECT case_id, doc_id, regex
 
 @query
 def pin_context_window(spark, sf):
-    """Eight words before a PIN and one after it, in every address."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("case_id", "doc_id").orderBy("pos").rowsBetween(-8, 1)
-    t = bundles(spark, sf).filter("address is not null").select("case_id", "doc_id", F.posexplode(F.split("address", " ")).alias("pos", "word"))
-    return t.withColumn("context", F.array_join(F.collect_list("word").over(w), " ")).filter(F.col("word").rlike("^[1-9][0-9]{5}$")).select("case_id", "doc_id", F.col("word").alias("pin"), "context")
+    """Eight words before a PIN that stands in an address and one after it."""
+    read = F.transform(F.split("address", " "), lambda w: F.struct(w.alias("text")))
+    b = bundles(spark, sf).filter("address is not null").withColumn("w", extract.pin_window(F.col("address"), read)).filter("w is not null")
+    return b.select("case_id", "doc_id", F.array_join(F.transform("w", lambda t: t["text"]), " ").alias("context"))
 
 
-ORACLE["pin_context_window"] = f"WITH {BUNDLE_SQL}, t AS (SELECT case_id, doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM (SELECT case_id, doc_id, string_split(address, ' ') AS ws FROM bundles WHERE address IS NOT NULL)), c AS (SELECT *, string_agg(word, ' ') OVER (PARTITION BY case_id, doc_id ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 1 FOLLOWING) AS context FROM t) SELECT case_id, doc_id, word AS pin, context FROM c WHERE regexp_full_match(word, '[1-9][0-9]{{5}}')"
+# the code is each address's last word; whether one of the fifteen characters before it announces another number depends on the street's name
+_BLOCKED = " OR ".join(f"contains(lower(substr(address, length(address) - 20, 15)), '{w}')" for w in C.PIN_BLOCKERS)
+ORACLE["pin_context_window"] = f"WITH {BUNDLE_SQL} SELECT case_id, doc_id, array_to_string(ws[greatest(1, len(ws) - 8):len(ws)], ' ') AS context FROM (SELECT *, string_split(address, ' ') AS ws FROM bundles WHERE address IS NOT NULL AND NOT ({_BLOCKED})) WHERE len(list_intersect(list_transform(ws[greatest(1, len(ws) - 8):len(ws)], lambda w: lower(w)), [{', '.join(repr(w) for w in C.ADDRESS_WORDS)}])) > 0 OR contains(lower(address), 'road')"
 
 
 @query
@@ -523,28 +566,52 @@ def evidence_highlight(spark, sf):
 ORACLE["evidence_highlight"] = f"WITH {BUNDLE_SQL}, s AS (SELECT case_id, doc_id, 'Address: ' || address AS span FROM bundles WHERE address IS NOT NULL) SELECT case_id, doc_id, CASE WHEN contains(span, 'Road') THEN split_part(span, 'Road', 1) ELSE span END AS before, CASE WHEN contains(span, 'Road') THEN 'Road' ELSE '' END AS hit, CASE WHEN contains(span, 'Road') THEN substr(span, instr(span, 'Road') + 4) ELSE '' END AS after FROM s"
 
 
+def _layouts(p=lambda label, y, column, x=45, at=310: (label, y, column, x, at)):
+    """Label, height, column, places of the label and of its value's first word, by document: a card and a bill with a label a line, a
+    marksheet with two."""
+    return {
+        1: [p("Identity Card", 50, None)] + [p(t, 90 + 38 * k, c) for k, (t, c) in enumerate((("Full Name:", "name"), ("Father's Name:", "guardian_name"), ("Date of Birth:", "dob"), ("ID Number:", "id_number"), ("Address:", "address")))],
+        2: [p("Statement of Marks", 50, None), p("Candidate Name:", 115, "name", 45, 175), p("Roll Number:", 115, "id_number", 340, 470), p("Father Name:", 147, "guardian_name", 45, 175), p("Date of Birth:", 147, "dob", 340, 470)],
+        3: [p("Electricity Bill", 50, None)] + [p(t, 145 + 26 * k, c) for k, (t, c) in enumerate((("Consumer Name:", "name"), ("Consumer No:", "id_number"), ("Service Address:", "address")))],
+    }
+
+
 def synthetic_tokens(spark, sf):
-    """Token rows of the first and third document of each case, as a scanner would give them: a label is one token."""
-    b = bundles(spark, sf).filter("idx <> 2")
-    card = F.array(F.struct(F.lit("Identity Card").alias("label"), F.lit(50).alias("y"), F.lit("").alias("v")), *[F.struct(F.lit(t).alias("label"), F.lit(90 + 38 * k).alias("y"), F.coalesce(F.col(c), F.lit("")).alias("v")) for k, (t, c) in enumerate((("Full Name:", "name"), ("Father's Name:", "guardian_name"), ("Date of Birth:", "dob"), ("ID Number:", "id_number"), ("Address:", "address")))])
-    bill = F.array(F.struct(F.lit("Electricity Bill").alias("label"), F.lit(50).alias("y"), F.lit("").alias("v")), *[F.struct(F.lit(t).alias("label"), F.lit(145 + 26 * k).alias("y"), F.col(c).alias("v")) for k, (t, c) in enumerate((("Consumer Name:", "name"), ("Consumer No:", "id_number"), ("Service Address:", "address")))])
-    rows = b.select(F.col("case_id").cast("string").alias("case_id"), "doc_id", "ocr_conf", F.posexplode(F.when(F.col("idx") == 1, card).otherwise(bill)).alias("line_id", "e"))
-    words = F.concat(F.array(F.struct(F.col("e.label").alias("text"), F.lit(45).alias("x"))), F.transform(F.filter(F.split("e.v", " "), lambda t: t != ""), lambda t, i: F.struct(t.alias("text"), (F.lit(310) + i * 60).alias("x"))))
-    t = rows.select("case_id", "doc_id", "line_id", F.col("ocr_conf").alias("conf"), F.col("e.y").alias("y"), F.posexplode(words).alias("k", "t"))
-    return t.select("case_id", "doc_id", (F.col("line_id") * 1000 + F.col("k")).alias("pos"), "t.text", "conf", "t.x", "y", F.greatest(F.lit(20), F.length("t.text") * 9).alias("w"), F.lit(18).alias("h"), "line_id")
+    """Token rows of all documents of each case, as a scanner would give them: a label is one token, a line of the recogniser is a label with its value."""
+    entry = lambda label, y, column, x, at: F.struct(F.lit(label).alias("label"), F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(at).alias("at"), (F.coalesce(F.col(column), F.lit("")) if column else F.lit("")).alias("v"))
+    page = {k: F.array(*[entry(*e) for e in es]) for k, es in _layouts().items()}
+    rows = bundles(spark, sf).select(F.col("case_id").cast("string").alias("case_id"), "doc_id", "idx", "ocr_conf", F.posexplode(F.when(F.col("idx") == 1, page[1]).when(F.col("idx") == 2, page[2]).otherwise(page[3])).alias("line_id", "e"))
+    words = F.concat(F.array(F.struct(F.col("e.label").alias("text"), F.col("e.x").alias("x"))), F.transform(F.filter(F.split("e.v", " "), lambda t: t != ""), lambda t, i: F.struct(t.alias("text"), (F.col("e.at") + i * 60).alias("x"))))
+    t = rows.select("case_id", "doc_id", F.col("idx").alias("doc_no"), "line_id", F.col("ocr_conf").alias("conf"), F.col("e.y").alias("y"), F.posexplode(words).alias("k", "t"))
+    return t.select("case_id", "doc_id", "doc_no", (F.col("line_id") * 1000 + F.col("k")).alias("pos"), "t.text", "conf", "t.x", "y", F.greatest(F.lit(20), F.length("t.text") * 9).alias("w"), F.lit(18).alias("h"), "line_id")
 
 
 @query
 def label_proximity(spark, sf):
-    """Fields found in scanned cards and bills."""
-    t = synthetic_tokens(spark, sf).withColumn("doc_type", F.when(F.col("doc_id") == "doc_1", "id_card").otherwise("address_proof"))
-    return extract.extract_fields(t).select("case_id", "doc_id", "field", "value_raw", "ocr_conf", "method")
+    """Fields found in scanned cards, marksheets and bills; a marksheet without a father's name has his label without a value."""
+    return extract.extract_fields(synthetic_tokens(spark, sf)).select("case_id", "doc_id", "doc_type", "field", "value_raw", "ocr_conf", "method", F.col("source_text_span").alias("span"))
 
 
-ORACLE["label_proximity"] = f"""WITH {BUNDLE_SQL}, f AS (
-  SELECT case_id, doc_id, ocr_conf, unnest([{{'f': 'name', 'v': name}}, {{'f': 'guardian_name', 'v': guardian_name}}, {{'f': 'dob', 'v': dob}}, {{'f': 'id_number', 'v': id_number}}, {{'f': 'address', 'v': address}}]) AS e FROM bundles WHERE idx = 1
-  UNION ALL SELECT case_id, doc_id, ocr_conf, unnest([{{'f': 'name', 'v': name}}, {{'f': 'id_number', 'v': id_number}}, {{'f': 'address', 'v': address}}]) FROM bundles WHERE idx = 3)
-SELECT case_id::VARCHAR AS case_id, doc_id, e.f AS field, e.v AS value_raw, round(ocr_conf, 3) AS ocr_conf, 'label_proximity' AS method FROM f"""
+_FOUND = f"""{BUNDLE_SQL}, found AS (
+  SELECT case_id, idx, doc_id, doc_type, ocr_conf, e.f AS field, e.v AS value_raw, e.l || ' ' || e.v AS span FROM (
+    SELECT *, unnest(CASE idx {" ".join(f"WHEN {k} THEN [" + ", ".join("{'f': '" + c + "', 'v': " + c + ", 'l': '" + label.replace("'", "''") + "'}" for label, _, c, _, _ in es if c) + "]" for k, es in _layouts().items())} END) AS e FROM bundles
+  ) WHERE e.v IS NOT NULL
+)"""
+ORACLE["label_proximity"] = f"WITH {_FOUND} SELECT case_id::VARCHAR AS case_id, doc_id, doc_type, field, value_raw, round(ocr_conf, 3) AS ocr_conf, 'label_proximity' AS method, span FROM found"
+
+
+@query
+def pattern_fields(spark, sf):
+    """The same pages without their labels: dates, addresses and identifiers found by pattern, with their evidence."""
+    bare = synthetic_tokens(spark, sf).filter("pos % 1000 > 0 or line_id = 0")
+    return extract.extract_fields(bare).filter("method <> 'label_proximity'").select("case_id", "doc_id", "field", "value_raw", "ocr_conf", "method")
+
+
+# a card's ISO date is none of the dates that are looked for; an address is its code's word and the eight before it
+ORACLE["pattern_fields"] = f"""WITH {BUNDLE_SQL}, w AS (SELECT *, string_split(id_number || ' ' || address, ' ') AS ws FROM bundles WHERE address IS NOT NULL AND NOT ({_BLOCKED}))
+SELECT case_id::VARCHAR AS case_id, doc_id, 'dob' AS field, dob AS value_raw, round(ocr_conf, 3) AS ocr_conf, 'regex' AS method FROM bundles WHERE idx = 2 AND substr(dob, 4, 2)::INTEGER <= 12
+UNION ALL SELECT case_id::VARCHAR, doc_id, 'id_number', id_number, round(ocr_conf, 3), 'regex_id' FROM bundles
+UNION ALL SELECT case_id::VARCHAR, doc_id, 'address', array_to_string(ws[-9:], ' '), round(ocr_conf, 3), 'regex_pin_context' FROM w"""
 
 
 @query
@@ -553,6 +620,18 @@ def screened_tokens(spark, sf):
     return pipeline.screen_tokens(synthetic_tokens(spark, sf)).risks
 
 
+@query
+def screened_native(spark, sf):
+    """The chain from tokens to risk over birth dates and identifiers, which are compared natively."""
+    t = synthetic_tokens(spark, sf)
+    rows = pipeline.token_rows(t).filter("field is null or field in ('dob', 'id_number')")
+    return pipeline.screen_rows(rows, t.select("case_id"), kinds=("date", "id")).risks
+
+
+# a bill shows no birth date, and its digits read as none
+ORACLE["screened_native"] = "WITH " + VERDICT_SQL.replace("FROM dob_norm a JOIN dob_norm b ON a.case_id = b.case_id AND a.idx < b.idx", "FROM dob_norm a JOIN dob_norm b ON a.case_id = b.case_id AND a.idx < b.idx AND b.idx < 3") + " SELECT case_id::VARCHAR AS case_id, n_findings, risk_score, triage FROM risks"
+
+
 @query
 def retry_candidates(spark, sf):
     b = bundles(spark, sf)
@@ -572,6 +651,31 @@ def retry_best(spark, sf):
 ORACLE["retry_best"] = f"WITH {BUNDLE_SQL}, t AS (SELECT case_id, doc_id, k AS attempt, name || ' v' || k AS value_raw, (trunc(ocr_conf * 100)::INT * (k + 3)) % 41 AS ocr_conf FROM bundles, (VALUES (0), (1), (2)) v(k)) SELECT case_id, doc_id, 'name' AS field, attempt, value_raw, ocr_conf FROM (SELECT *, row_number() OVER (PARTITION BY case_id, doc_id ORDER BY ocr_conf DESC, attempt) AS n FROM t) WHERE n = 1"
 
 
+@query
+def retry_rounds(spark, sf):
+    """Critical fields below 0.70 read again from changed scans, up to three times: a reading counts if it is surer than all before."""
+    t = synthetic_tokens(spark, sf)
+
+    def attempt(k, docs):
+        d = (F.col("case_id").cast("bigint") * (k + 2) + F.col("doc_no") * 5) % 21 - 10
+        again = t.join(docs, ["case_id", "doc_id"], "left_semi").withColumn("conf", (F.round(F.col("conf") * 100) + d) / 100)
+        return extract.extract_fields(again.withColumn("doc_type", F.lit("unknown")))
+
+    documents = t.select("case_id", "doc_id").distinct()
+    return extract.retry_rounds(documents, extract.extract_fields(t), attempt, rounds=3, keep=pipeline.kept)
+
+
+ORACLE["retry_rounds"] = f"""WITH RECURSIVE {_FOUND}, need AS (
+  SELECT b.case_id, b.idx, b.doc_id, c.field, f.value_raw, CASE WHEN f.field IS NULL THEN NULL ELSE round(b.ocr_conf, 3) END AS ocr_conf
+  FROM bundles b CROSS JOIN (VALUES ('name'), ('dob'), ('address'), ('id_number')) c(field) LEFT JOIN found f ON f.case_id = b.case_id AND f.doc_id = b.doc_id AND f.field = c.field WHERE f.field IS NULL OR round(b.ocr_conf, 3) < 0.7
+), r(case_id, idx, doc_id, field, value_raw, ocr_conf, initial_conf, tried, improved_by) AS (
+  SELECT case_id, idx, doc_id, field, value_raw, ocr_conf, coalesce(ocr_conf, 0.0), 0, NULL::INTEGER FROM need
+  UNION ALL
+  SELECT case_id, idx, doc_id, field, value_raw, CASE WHEN won THEN again ELSE ocr_conf END, initial_conf, tried + 1, CASE WHEN won THEN tried + 1 END
+  FROM (SELECT *, again > coalesce(ocr_conf, 0.0) AND value_raw IS NOT NULL AS won FROM (SELECT *, round((round(ocr_conf * 100) + (case_id * (tried + 3) + idx * 5) % 21 - 10) / 100, 3) AS again FROM r WHERE improved_by IS NULL AND tried < 3))
+) SELECT case_id::VARCHAR AS case_id, doc_id, field, arg_max(value_raw, tried) AS value_raw, max(ocr_conf) AS ocr_conf, any_value(initial_conf)::DOUBLE AS initial_conf, max(tried)::INTEGER AS tried, max(improved_by) AS improved_by FROM r GROUP BY case_id, doc_id, field"""
+
+
 # --- evaluation -------------------------------------------------------------------------------------------------------
 
 
@@ -660,16 +764,14 @@ FROM d JOIN bundles b ON b.case_id = d.case_id AND b.doc_id = d.doc_id JOIN dob_
 
 @query
 def eval_extraction(spark, sf):
-    """Extracted names and addresses against the bundles' own."""
-    b = bundles(spark, sf).filter("idx <> 2")
-    t = synthetic_tokens(spark, sf).withColumn("doc_type", F.when(F.col("doc_id") == "doc_1", "id_card").otherwise("address_proof"))
-    truth = raw_fields(b, ("name", "address")).select(F.col("case_id").cast("string").alias("case_id"), F.col("doc_id").alias("doc_key"), F.concat("doc_id", F.lit(".png")).alias("filename"), "field", F.col("value_raw").alias("value"))
-    return evaluate.extraction(truth, extract.extract_fields(t)).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if("exact").alias("exact"))
+    """Extracted names, birth dates and addresses of all documents against the bundles' own."""
+    truth = raw_fields(bundles(spark, sf), ("name", "dob", "address")).select(F.col("case_id").cast("string").alias("case_id"), F.col("doc_id").alias("doc_key"), F.concat("doc_id", F.lit(".png")).alias("filename"), "field", F.col("value_raw").alias("value"))
+    return evaluate.extraction(truth, extract.extract_fields(synthetic_tokens(spark, sf))).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if("exact").alias("exact"))
 
 
-# a value is exact where at most 5 % of its characters differ from what the line after its label says
-ORACLE["eval_extraction"] = f"""WITH {BUNDLE_SQL}, t AS (SELECT 'name' AS field, name AS v FROM bundles WHERE idx <> 2 UNION ALL SELECT 'address', address FROM bundles WHERE idx <> 2 AND address IS NOT NULL),
-w AS (SELECT field, v, array_to_string(list_filter(string_split(v, ' '), lambda x: x <> ''), ' ') AS found FROM t)
+# a value is exact where at most 5 % of its characters differ from what the line after its label says; bills show no birth date
+ORACLE["eval_extraction"] = f"""WITH {BUNDLE_SQL}, t AS (SELECT 'name' AS field, name AS v, TRUE AS shown FROM bundles UNION ALL SELECT 'dob', dob, idx < 3 FROM bundles UNION ALL SELECT 'address', address, TRUE FROM bundles WHERE address IS NOT NULL),
+w AS (SELECT field, v, CASE WHEN shown THEN array_to_string(list_filter(string_split(v, ' '), lambda x: x <> ''), ' ') END AS found FROM t)
 SELECT field, count(*) AS n, count(*) FILTER (CASE WHEN v = found THEN 0.0::DOUBLE ELSE levenshtein(v, found)::DOUBLE / length(v) END <= 0.05) AS exact FROM w GROUP BY field"""
 
 
@@ -759,6 +861,43 @@ ORACLE["html_report"] = f"""WITH {WORDS_SQL}, t AS (
 ) SELECT r.case_id, '<html><body><h1>Case ' || r.case_id || ': ' || triage || '</h1><table>' || coalesce(body, '') || '</table><footer>{store.DISCLAIMER}</footer></body></html>' AS html FROM risks r LEFT JOIN t USING (case_id)"""
 
 
+@query
+def case_trace(spark, sf):
+    """What reading, comparing and scoring did with each case, in words."""
+    docs = extract.found_fields(extract.pages(synthetic_tokens(spark, sf)))
+    s = native_screening(spark, sf)
+    n = bundles(spark, sf).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    later = trace.comparison_steps(n, s.merged).unionByName(trace.score_steps(s.risks))
+    return trace.extraction_steps(docs).unionByName(later.withColumn("case_id", F.col("case_id").cast("string")))
+
+
+ORACLE["case_trace"] = f"""WITH {VERDICT_SQL}, words AS (
+  SELECT case_id, idx, doc_id, len(list_filter(string_split(concat_ws(' ', name, id_number, CASE WHEN idx < 3 THEN dob END, CASE WHEN idx <> 2 THEN address END, CASE WHEN idx < 3 THEN guardian_name END), ' '), lambda w: w <> '')) AS n, guardian_name IS NULL AS bare FROM bundles
+), n AS (SELECT case_id, count(*) AS n FROM bundles GROUP BY case_id), m AS (SELECT case_id, count(*) AS f, count(*) FILTER (verdict <> 'MATCH') AS x, count(*) FILTER (verdict = 'MATCH') AS c FROM merged GROUP BY case_id)
+SELECT case_id::VARCHAR AS case_id, 1 AS step, doc_id, 'extract_fields' AS tool, 'doc_id=' || doc_id || ', tokens=' || (n + [6, 5, 4][idx]) AS args_summary,
+  CASE WHEN idx = 1 THEN 'Found 5 fields (name, guardian_name, dob, id_number, address)' WHEN idx = 3 THEN 'Found 3 fields (name, id_number, address)' WHEN bare THEN 'Found 3 fields (name, id_number, dob)' ELSE 'Found 4 fields (name, id_number, guardian_name, dob)' END AS result_summary FROM words
+UNION ALL SELECT n.case_id::VARCHAR, 2, '', 'compare_fields', 'documents=' || n || ', pairs=' || (n * (n - 1) // 2) || ', fields_evaluated=' || coalesce(f, 0), coalesce(x, 0) || ' findings (merged field-level), ' || coalesce(c, 0) || ' consistent' FROM n LEFT JOIN m ON m.case_id = n.case_id
+UNION ALL SELECT case_id::VARCHAR, 3, '', 'score_case', 'findings=' || n_findings, 'risk_score=' || risk_score || ', triage=' || triage FROM risks"""
+
+
+@query
+def dataset_mix(spark, sf):
+    """Orders as cases of five kinds by what the bundles' rules change, drawn to the splits of the published mix."""
+    k = F.col("o_orderkey")
+    wrong = (k % 7 == 0).cast("int") + (k % 13 == 0).cast("int") + (k % 17 == 0).cast("int")
+    kind = F.when(wrong > 1, "error_multi").when(wrong == 1, "error_single").when((k * 37 + 11) % 45 < 5, "degraded").when(k % 5 < 3, "benign").otherwise("consistent")
+    return mix.exact_mix(table(spark, sf, "orders").select(k.alias("case_id"), kind.alias("kind")))
+
+
+ORACLE["dataset_mix"] = """WITH o AS (SELECT o_orderkey AS case_id, (o_orderkey % 7 = 0)::INT + (o_orderkey % 13 = 0)::INT + (o_orderkey % 17 = 0)::INT AS wrong FROM orders),
+k AS (SELECT case_id, CASE WHEN wrong > 1 THEN 'error_multi' WHEN wrong = 1 THEN 'error_single' WHEN (case_id * 37 + 11) % 45 < 5 THEN 'degraded' WHEN case_id % 5 < 3 THEN 'benign' ELSE 'consistent' END AS kind FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('42|' || case_id), case_id) AS n FROM k),
+q(split, kind, lo, hi, before) AS (VALUES ('sample', 'consistent', 1, 1, 0), ('sample', 'benign', 1, 1, 1), ('sample', 'error_single', 1, 2, 2), ('sample', 'error_multi', 1, 1, 4), ('sample', 'degraded', 1, 1, 5),
+  ('dev', 'consistent', 2, 9, 0), ('dev', 'benign', 2, 11, 8), ('dev', 'error_single', 3, 14, 18), ('dev', 'error_multi', 2, 5, 30), ('dev', 'degraded', 2, 7, 34),
+  ('heldout', 'consistent', 10, 12, 0), ('heldout', 'benign', 12, 14, 3), ('heldout', 'error_single', 15, 18, 6), ('heldout', 'error_multi', 6, 7, 10))
+SELECT case_id, r.kind, split, (n - lo + 1 + before)::INTEGER AS number FROM r JOIN q ON q.kind = r.kind AND n BETWEEN lo AND hi"""
+
+
 # --- store ------------------------------------------------------------------------------------------------------------
 
 

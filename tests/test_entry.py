@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ("doc_pairs", "id_mask", "missing_fields", "address_components", "doc_classify", "token_lines", "retry_best", "decision_latest", "quality_flags", "case_risk_triage")
+SOME = ("doc_pairs", "id_mask", "missing_fields", "address_components", "doc_classify", "token_lines", "retry_best", "decision_latest", "quality_flags", "case_risk_triage", "label_proximity", "pattern_fields", "regex_dob_fallback", "pin_context_window", "dataset_mix", "fuzzy_labels", "dob_normalize", "screened_native")
 
 
 def plain(v):

@@ -54,3 +54,29 @@ def test_complete_cases_report_once(spark, tmp_path):
     files(spark, tmp_path / "in", schema, *batches)
     got = drained(spark, audit.complete_cases(stream(spark, tmp_path / "in", schema).withWatermark("ts", "10 minutes")), "complete", tmp_path)
     assert sorted((r.case_id, r.n_docs, r.complete) for r in got if r.case_id != "z") == [("c", 3, True), ("late", 1, False)]
+
+
+def test_decisions_join_their_findings(spark, tmp_path):
+    found, made = "case_id string, finding_id string, found_at timestamp", "case_id string, finding_id string, status string, decided_at timestamp"
+    files(spark, tmp_path / "f", found, [("a", "dob", at(0)), ("b", "dob", at(1))], [("c", "dob", at(30)), ("d", "dob", at(31))], [("e", "dob", at(500))], [("f", "dob", at(900))], [("g", "dob", at(1300))])
+    files(spark, tmp_path / "d", made, [("a", "dob", "CONFIRMED", at(10)), ("b", "name", "CONFIRMED", at(11))], [("c", "dob", "DISMISSED", at(40)), ("d", "dob", "CONFIRMED", at(120)), ("c", "dob", "CONFIRMED", at(50))], [("e", "dob", "CONFIRMED", at(499))], [("x", "dob", "CONFIRMED", at(900))], [("x", "dob", "CONFIRMED", at(1300))])
+    got = drained(spark, audit.with_decisions(stream(spark, tmp_path / "f", found), stream(spark, tmp_path / "d", made)), "decided", tmp_path)
+    seen = sorted((r.case_id, r.status) for r in got)
+    # another finding's decision, one that comes too late and one from before count for nothing
+    assert seen[:5] == [("a", "CONFIRMED"), ("b", "PENDING"), ("c", "CONFIRMED"), ("c", "DISMISSED"), ("d", "PENDING")] and ("e", "PENDING") in seen
+    table = audit.with_decisions(spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "f")), spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "d")))
+    assert sorted((r.case_id, r.status) for r in table.collect())[:5] == seen[:5] and table.count() == 8
+
+
+def test_compaction_bounds_what_is_read(spark, tmp_path):
+    schema = "case_id string, finding_id string, status string, updated_at timestamp"
+    batches = [[("c", "f", f"S{k}", at(k)), (f"c{k}", "f", "PENDING", at(k))] for k in range(11)]
+    files(spark, tmp_path / "in", schema, *batches)
+    out = str(tmp_path / "out")
+    audit.upsert_latest(stream(spark, tmp_path / "in", schema), out, str(tmp_path / "c1"), compact=3).awaitTermination()
+    assert len(audit.live(spark, out)) == 3 and len(audit.folders(spark, out)) < 11  # the newest written together and two batches
+    got = {(r.case_id, r.status) for r in audit.current(spark, out).collect()}
+    assert got == {("c", "S10")} | {(f"c{k}", "PENDING") for k in range(11)}
+    files(spark, tmp_path / "more", schema, [("c", "f", "LAST", at(99))])
+    audit.upsert_latest(stream(spark, tmp_path / "more", schema), out, str(tmp_path / "c2"), compact=3).awaitTermination()
+    assert {r.status for r in audit.current(spark, out).filter("case_id = 'c'").collect()} == {"LAST"} and len(audit.live(spark, out)) == 4
