@@ -69,6 +69,8 @@ def kept(df: DataFrame) -> DataFrame:
 def screen_tokens(tokens: DataFrame, cfg: C.Config = C.DEFAULT) -> Screening:
     """From token tables (case, document, position, text, confidence, box, line): classify, read, normalise, screen.
 
-    One shuffle, by case, carries the tokens through all of it up to the pairs; names and streets that differ are scored apart.
+    One shuffle, by case, carries the tokens up to documents and fields; those are kept, since names and streets that differ are scored
+    apart and joined back.
     """
-    return screen_rows(token_rows(tokens, cfg), tokens.select("case_id"), cfg)
+    rows = kept(token_rows(tokens, cfg))
+    return screen_rows(rows, rows.select("case_id"), cfg)

@@ -625,7 +625,7 @@ def screened_native(spark, sf):
     """The chain from tokens to risk over birth dates and identifiers, which are compared natively."""
     t = synthetic_tokens(spark, sf)
     rows = pipeline.token_rows(t).filter("field is null or field in ('dob', 'id_number')")
-    return pipeline.screen_rows(rows, t.select("case_id"), kinds=("date", "id")).risks
+    return pipeline.screen_rows(rows, _cases(spark, sf).select(F.col("case_id").cast("string").alias("case_id")), kinds=("date", "id")).risks
 
 
 # a bill shows no birth date, and its digits read as none
