@@ -10,18 +10,20 @@ from ..functions.ids import mask_for_model
 from .merge import ranked
 from .. import config as C
 
+#: What a band of risk means, in one sentence.
 OPENING = {
-    "GREEN": "No critical identity discrepancy was found; the examined fields are substantially consistent across documents.",
-    "AMBER": "Moderate discrepancies or scan limits were found across documents; a reviewer should verify them before proceeding.",
-    "RED": "High-severity inconsistencies were found across documents; identity details disagree and need investigation.",
+    "GREEN": "The noisy-OR risk lies below the amber limit, and no field of high severity differs.",
+    "AMBER": "Some field differs or could not be read well enough; the case waits for a decision on each finding.",
+    "RED": "At least one field of high severity differs with a confidence of 0.70 or more; nothing should be approved on these papers.",
 }
+#: What to ask about a field whose values differ.
 QUESTIONS = {
-    "dob": "Can the applicant confirm the date of birth with a primary certificate?",
-    "name": "Is there legal documentation that explains the name variance between documents?",
-    "address": "Does the difference in address reflect permanent and present residence, or is a recent proof required?",
-    "id": "Can the applicant submit a clear copy of the official ID again?",
+    "dob": "Which of the dates is on the birth register, and can an extract be sent?",
+    "name": "Are both names one person by law, and which paper shows the change?",
+    "address": "Since when does the person live at the newer address, and what proves it?",
+    "id": "Which number is valid today, and can its issuer confirm it?",
 }
-NO_QUESTION = "No follow-up questions required. Record conforms to consistency rules."
+NO_QUESTION = "Nothing to ask: no field differs."
 
 
 def _key(field: Column) -> Column:
