@@ -14,6 +14,7 @@ import html
 import random
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,6 @@ ENDS_P = BLOCK - {"html", "body", "head", "option", "caption", "tbody", "td", "t
 ENDS_SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: What leaves an open head open; anything else ends it.
 IN_HEAD = frozenset("html head title meta link base basefont bgsound style script noscript template".split())
-#: Outermost elements that a path tells of; deeper nesting changes no feature.
-DEEPEST = 400
 SCOPES = frozenset("article aside blockquote body details div dl fieldset figure footer form header html li main menu nav ol section table td th ul".split())
 
 #: Parts of classes, ids and roles that count as features.
@@ -60,10 +59,31 @@ def _hints(attributes: str) -> frozenset[str]:
     return frozenset(out | ({"hidden"} if _HIDE.search(attributes) else set()))
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple, int, bool]]:
-    """(text, path, characters in links, labelled) of each leaf block; ``path`` has (tag, hints) of its ancestors, outermost first."""
+class Above(NamedTuple):
+    """What features tell of the elements above a place: all of them, however many, in a few small sets."""
+
+    tags: frozenset[str] = frozenset()
+    hints: frozenset[str] = frozenset()
+    leaf: str = ""
+    own: frozenset[str] = frozenset()
+    depth: int = 0  # up to DEEP
+
+    def below(self, tag: str, hints: frozenset[str]) -> Above:
+        """The same one element further down; inline elements without hints don't count."""
+        if tag not in BLOCK and not hints:
+            return self
+        tags = self.tags if tag in self.tags or tag not in BLOCK else self.tags | {tag}
+        return Above(tags, self.hints if hints <= self.hints else self.hints | hints, tag if tag in BLOCK else "inline", hints, min(DEEP, self.depth + 1))
+
+
+#: Elements from which on a place is deep.
+DEEP = 7
+
+
+def blocks(page: str | None) -> list[tuple[str, Above, int, bool]]:
+    """(text, what is above it, characters in links, labelled) of each leaf block."""
     page, out = page or "", []
-    stack: list[tuple[str, frozenset, bool]] = []
+    stack: list[tuple[str, Above, bool]] = []  # with what is above the content of each open element, and whether that is labelled
     opened: Counter[str] = Counter()  # tags of the stack
     parts: list[str] = []
     linked, unseen, at, n = 0, 0, 0, len(page)
@@ -73,7 +93,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, tuple((t, h) for t, h, _ in stack[:DEEPEST] if t in BLOCK or h), linked, any(m for _, _, m in stack[:DEEPEST])))
+                out.append((text, stack[-1][1] if stack else Above(), linked, bool(stack) and stack[-1][2]))
             parts, linked = [], 0
 
     def pop_to(k: int):
@@ -137,24 +157,24 @@ def blocks(page: str | None) -> list[tuple[str, tuple, int, bool]]:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        stack.append((tag, _hints(attributes), "data-main" in attributes))
+        above, labelled = stack[-1][1:] if stack else (Above(), False)
+        stack.append((tag, above.below(tag, _hints(attributes)), labelled or "data-main" in attributes))
         opened[tag] += 1
         unseen += tag in UNSEEN
     close()
     return out
 
 
-def _path_features(path: tuple) -> list[str]:
-    out = ["bias", *{f"in:{t}" for t, _ in path}, *{f"hint:{h}" for _, hs in path for h in hs}]
-    if path:
-        out += [f"leaf:{path[-1][0]}", *(f"own:{h}" for h in path[-1][1])]
-        out.append("deep" if len(path) > 6 else "shallow")
-    names = {t for t, _ in path}
-    if not names & {"article", "main"}:
+def _path_features(above: Above) -> list[str]:
+    out = ["bias", *(f"in:{t}" for t in above.tags), *(f"hint:{h}" for h in above.hints)]
+    if above.leaf:
+        out += [f"leaf:{above.leaf}", *(f"own:{h}" for h in above.own)]
+        out.append("deep" if above.depth == DEEP else "shallow")
+    if not above.tags & {"article", "main"}:
         out.append("no-article")
-    if names & {"nav", "footer", "aside", "form", "header"} and names & {"article", "main"}:
+    elif above.tags & {"nav", "footer", "aside", "form", "header"}:
         out.append("inner-frame")
-    return out
+    return sorted(out)
 
 
 def _text_features(text: str, linked: int, k: int, n: int) -> list[str]:
@@ -236,14 +256,11 @@ class Model:
     def __init__(self, weights: dict[str, float], pairs: np.ndarray):
         self.weights, self.pairs, self.seen = weights, pairs, {}
 
-    def __getstate__(self):
-        return {"weights": self.weights, "pairs": self.pairs, "seen": {}}
-
-    def _of(self, path: tuple) -> float:
-        if (x := self.seen.get(path)) is None:
+    def _of(self, above: Above) -> float:
+        if (x := self.seen.get(above)) is None:
             if len(self.seen) > 20_000:
                 self.seen.clear()
-            x = self.seen[path] = sum(self.weights.get(f, 0.0) for f in _path_features(path))
+            x = self.seen[above] = sum(self.weights.get(f, 0.0) for f in _path_features(above))
         return x
 
     def decode(self, page_blocks: list) -> list[bool]:
@@ -318,12 +335,16 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html)``.
 
     Null or empty html, and a page without main text, give an empty text. Repeated rows give repeated rows, an empty table
-    none; other columns are ignored. ``model`` defaults to one trained on ``labelled_pages()``.
+    none; other columns are ignored. Pages are read whole, however long and however deep their elements lie: features of
+    all elements above a block are kept as small sets. Of two equally likely labellings the one that keeps more of the
+    page's end is taken. ``model`` defaults to one trained on ``labelled_pages()``.
     """
-    sent = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))  # some hundred weights
+    model = model or train(labelled_pages())
+    sent = pages.sparkSession.sparkContext.broadcast((model.weights, model.pairs.tolist()))  # some hundred numbers; plain, so workers need no package
 
     def run(batches):
-        model = sent.value
+        weights, pairs = sent.value
+        model = Model(weights, np.array(pairs))
         for part in rows_of(batches, 500, 8 << 20):
             texts = [extract(h, model) for h in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

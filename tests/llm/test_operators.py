@@ -270,7 +270,51 @@ def test_open_head_and_deep_nesting():
     deep = "<article>" + "<div>" * 450 + "<p>a</p><button>no<p>no</p></button>b" + "</div>" * 450 + "<p>c</p></article><p>d"
     found = html_crf.blocks(deep)
     assert [t for t, *_ in found] == ["a", "b", "c", "d"]
-    assert [t for t, _ in found[2][1]] == ["article", "p"] and [t for t, _ in found[3][1]] == ["p"]
+    assert found[2][1] == html_crf.Above(frozenset({"article", "p"}), frozenset(), "p", frozenset(), 2) and found[3][1].tags == {"p"}
+    assert html_crf.blocks("<div class=x data-main><i><p>a</p></i></div><p>b")[0][3] and not html_crf.blocks("<div data-main>a</div><p>b")[1][3]
+
+
+def nested(depth):
+    """A page whose menu, article and footer lie below ``depth`` elements each."""
+    below = lambda s: "<div>" * depth + s + "</div>" * depth
+    items = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in ("Home", "News", "About"))
+    return "<html><body>" + below(f"<nav><ul>{items}</ul></nav>") + below("<article><h1>A title</h1><p>First words, and more of them follow here.</p><p>Second ones come after it, as they do.</p></article>") + below("<footer>&copy; Foot of the page</footer>") + "</body></html>"
+
+
+def test_depth_changes_nothing(spark):
+    df = spark.createDataFrame([(d, f"u{d}", nested(d)) for d in (10, 395, 405, 5000)], "page_id int, url string, html string")
+    got = html_crf.main_text(df.withColumn("text", F.lit("x")).withColumn("_N_chars", F.lit(1))).collect()
+    assert len(got) == 4 and {r.text for r in got} == {"A title First words, and more of them follow here. Second ones come after it, as they do."}
+    assert html_crf.main_text(df.filter("page_id < 0")).count() == 0
+    cut = nested(6)
+    model = html_crf.train(html_crf.labelled_pages(100))
+    whole = html_crf.extract(cut, model)
+    for n in range(cut.index("</nav>"), len(cut)):  # cut anywhere, in tags too: nothing fails, and nothing but words of the article comes
+        if not cut[:n].endswith(("<", "</")):  # these alone are text
+            assert whole.startswith(html_crf.extract(cut[:n], model)), cut[:n]
+    assert html_crf.extract(cut[: cut.index("</article>")], model) == whole
+
+
+def test_main_text_from_another_folder(tmp_path):
+    """Workers need not find the package: only the driver's own path has it."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+from tallymark.llm import html_crf
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+df = spark.createDataFrame([(1, "u", "<nav>Menu</nav><article><p>These are the words, here they are.</p></article>")], "page_id int, url string, html string")
+print("GOT", html_crf.main_text(df).first().text)
+"""
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "GOT These are the words, here they are." in done.stdout, done.stderr[-2000:]
 
 
 def test_main_text(spark):
