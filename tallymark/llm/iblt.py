@@ -1,10 +1,14 @@
 """Document fingerprints: invertible Bloom lookup tables over paragraph cells.
 
-A text's paragraphs (lines) are cut into cells where a word's hash says so, on average every ``EVERY`` words, so a long
-line has several cells and an edit spoils few. A table has three sub-tables; each cell digest is added to one place in
-each: a count, an XOR of digests, an XOR of check sums. Subtracting two versions' tables leaves their difference, and
-peeling places that hold one digest recovers it. A difference too large for a table shows as a rest, and the tables are
-built anew, larger, until all is recovered; the likeness is then exact: shared digests over all digests (Dice).
+A cell is a paragraph: a line, or a sentence of a line of more than ``LONG`` words. A table has three sub-tables; each cell
+digest is added to one place in each: a count, an XOR of digests, an XOR of check sums. Subtracting two versions' tables
+leaves their difference, and peeling places that hold one digest recovers it. A difference too large for a table shows as a
+rest, and is tried again in a larger one; the likeness is then exact: shared digests over all digests (Dice).
+
+A sub-table has a power of two of places, and a digest's place is the low bits of a hash, so adding the halves of a table
+gives just the table of half the size. A fingerprint is the smallest table that its own text's digests can be peeled from.
+Two fingerprints are thus compared at any size: folded where it is smaller than theirs, and where it is larger peeled and
+laid out anew. What ``compared`` gets from two fingerprints alone is what ``differences`` gets from the texts' digests.
 
 All tables of a batch are laid end to end and peeled together, round by round.
 """
@@ -13,39 +17,50 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordIds, mix64, rows_of
+from .common import U64, mix64, rows_of, unused
 
-#: Places of a fingerprint's own table, and words of a cell on average.
-PLACES, EVERY = 12, 4
+#: Places of the smallest table (a power of two in each of the three sub-tables), and words of a line that is one cell.
+PLACES, LONG = 12, 40
 _SEEDS = [U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)]
 _CHECK = U64(0x589965CC75374CC3)
 
 
-def cells(text: str | None, known: WordIds) -> np.ndarray:
-    """Distinct 64-bit digests of the cells of a text; white space does not count, an empty text has none."""
-    lines = [x.split() for x in (text or "").encode("utf-8", "surrogatepass").splitlines()]
-    words = [w for x in lines for w in x]
-    if not words:
-        return np.zeros(0, U64)
-    h = known.of(words)
-    last = np.cumsum([len(x) for x in lines if x]) - 1
-    ends = (mix64(h ^ _CHECK) % U64(EVERY)) == 0
-    ends[last] = True
-    begin = np.flatnonzero(np.concatenate(([True], ends[:-1])))
-    nth = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
-    return np.unique(mix64(np.add.reduceat(mix64(h + nth.astype(U64) * U64(0x9E3779B97F4A7C15)), begin)))
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])\s*")
+
+
+def paragraphs(text: str | None) -> list[str]:
+    """The lines of a text that aren't blank, without white space at their ends; longer ones than ``LONG`` words by sentences."""
+    out = []
+    for line in (text or "").splitlines():
+        line = line.strip()
+        if line and (len(line) > 2 * LONG and len(line.split(None, LONG)) > LONG):
+            out += [x for x in _SENTENCE.split(line) if x]
+        elif line:
+            out.append(line)
+    return out
+
+
+def paragraph_digests(text: str | None) -> np.ndarray:
+    """64-bit digests of the paragraphs, in order; white space between words doesn't count."""
+    return np.array([int.from_bytes(hashlib.blake2b(" ".join(x.split()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in paragraphs(text)], U64)
+
+
+def cells(text: str | None) -> np.ndarray:
+    """The distinct digests of a text's paragraphs; an empty text has none."""
+    return np.unique(paragraph_digests(text))
 
 
 def _places(keys: np.ndarray, size: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     """Where each key goes in the three sub-tables of its table (``size`` places in all, from ``first``)."""
     third = size // 3
-    return [(first + k * third + ((mix64(keys ^ s) >> U64(32)) * third.astype(U64) >> U64(32)).astype(np.int64)) for k, s in enumerate(_SEEDS)]
+    return [first + k * third + (mix64(keys ^ s) & (third - 1).astype(U64)).astype(np.int64) for k, s in enumerate(_SEEDS)]
 
 
 def tables(keys: np.ndarray, owner: np.ndarray, sizes: np.ndarray, sign: int = 1, into: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,23 +117,10 @@ def differences(a: list[np.ndarray], b: list[np.ndarray], places: int = PLACES)
         plus, minus, done = peel(both, own)
         more[open_[done]], less[open_[done]] = plus[done], minus[done]
         open_ = open_[~done]
-        # larger: eight times, but not beyond what any difference of these two needs; past that, twice
-        bound = np.array([3 * (-(-(len(a[k]) + len(b[k])) // 2) + 8) for k in open_], np.int64)
-        sizes[open_] = np.where(sizes[open_] * 8 < bound, sizes[open_] * 8, np.maximum(bound, np.where(sizes[open_] >= bound, sizes[open_] * 2, bound)))
-        sizes[open_] += -sizes[open_] % 3
+        sizes[open_] *= 2
     return more, less
 
 
-def paragraphs(text: str | None) -> list[str]:
-    """The lines of a text that aren't blank, without white space at their ends."""
-    return [x for x in (line.strip() for line in (text or "").splitlines()) if x]
-
-
-def paragraph_digests(text: str | None) -> np.ndarray:
-    """64-bit digests of the paragraphs, in order; white space between words doesn't count."""
-    return np.array([int.from_bytes(hashlib.blake2b(" ".join(x.split()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in paragraphs(text)], U64)
-
-
 def recovered(a: np.ndarray, b: np.ndarray, places: int = PLACES) -> tuple[np.ndarray, np.ndarray, int]:
     """The digests that only ``a`` and that only ``b`` has, sorted, from the difference of their tables alone, and the places of
     the table that gave them: one that can't be peeled is tried again with twice as many."""
@@ -139,8 +141,11 @@ CHANGES = "added array<string>, removed array<string>, places int"
 def changed_paragraphs(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFrame:
     """``pairs`` with ``added`` and ``removed``: the paragraphs, in order, whose digests are recovered from the difference of the two
     versions' tables, and ``places``, the table that sufficed. Null texts are empty; a paragraph that only recurs more often in
-    one version is no difference. Texts of any length are read whole; an empty table gives no rows."""
-    names = pairs.columns
+    one version is no difference. Texts of any length are read whole; an empty table gives no rows; repeated rows stay. Columns of
+    these three names (in any case) give way to the results, whether or not they are the texts."""
+    kept = [c for c in pairs.columns if c.lower() not in ("added", "removed", "places")]
+    names = [f"c{k}" for k in range(len(kept))]  # positions count; names may differ in case only
+    was_, now_ = unused(pairs, "old"), unused(pairs, "new")
 
     def run(batches):
         for part in rows_of(batches):
@@ -148,13 +153,13 @@ def changed_paragraphs(pairs: DataFrame, old: str = "old", new: str = "new") ->
             for x, y in zip(part.column(len(names)).to_pylist(), part.column(len(names) + 1).to_pylist()):
                 was, now = paragraph_digests(x), paragraph_digests(y)
                 more, less, places = recovered(now, was)
-                kept = lambda text, digests, keys: list(dict.fromkeys(p for p, d in zip(paragraphs(text), digests) if d in keys))
-                out.append((kept(y, now, set(more.tolist())), kept(x, was, set(less.tolist())), places))
+                held = lambda text, digests, keys: list(dict.fromkeys(p for p, d in zip(paragraphs(text), digests) if d in keys))
+                out.append((held(y, now, set(more.tolist())), held(x, was, set(less.tolist())), places))
             cols = [pa.array([r[k] for r in out], t) for k, t in ((0, pa.list_(pa.string())), (1, pa.list_(pa.string())), (2, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), *cols], names=[*names, "added", "removed", "places"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), *cols], names=[*kept, "added", "removed", "places"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return pairs.select("*", F.col(old).alias("_old"), F.col(new).alias("_new")).mapInArrow(run, f"{fields}, {CHANGES}")
+    fields = "".join(f"`{pairs.schema[c].name}` {pairs.schema[c].dataType.simpleString()}, " for c in kept)
+    return pairs.select(*kept, F.col(old).alias(was_), F.col(new).alias(now_)).mapInArrow(run, f"{fields}{CHANGES}")
 
 
 def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -164,37 +169,76 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return np.where(n > 0, 1 - (more + less) / np.maximum(n, 1), 1.0)
 
 
-def fingerprints(sets: list[np.ndarray], places: int = PLACES) -> list[str]:
-    """Each set's table of ``places`` places as base64: counts, digest and check XORs, then the set's size."""
-    sizes = np.full(len(sets), places, np.int64)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    count, xor, check = tables(np.concatenate(sets) if sets else np.zeros(0, U64), owner, sizes)
-    c, x, k = count.astype("<i4").reshape(-1, places), xor.astype("<u8").reshape(-1, places), (check & U64(0xFFFFFFFF)).astype("<u4").reshape(-1, places)
-    return [base64.b64encode(c[i].tobytes() + x[i].tobytes() + k[i].tobytes() + len(s).to_bytes(4, "little")).decode() for i, s in enumerate(sets)]
+def fingerprints(sets: list[np.ndarray]) -> list[str]:
+    """Each set's smallest table that its digests can be peeled from, as base64: counts, digest and check XORs."""
+    out = [""] * len(sets)
+    # a table with less than 1.3 places a digest never opens
+    sizes = np.array([PLACES << max(0, int(np.ceil(np.log2(max(1, len(x)) * 1.3 / PLACES)))) for x in sets], np.int64)
+    open_ = np.arange(len(sets))
+    while len(open_):
+        own = sizes[open_]
+        table = tables(np.concatenate([sets[k] for k in open_]), np.repeat(np.arange(len(open_)), [len(sets[k]) for k in open_]), own)
+        done = peel(tuple(z.copy() for z in table), own)[2]
+        first = np.concatenate(([0], np.cumsum(own)))
+        for i in np.flatnonzero(done):
+            c, x, k = (z[first[i] : first[i + 1]] for z in table)
+            out[open_[i]] = base64.b64encode(c.astype("<i4").tobytes() + x.astype("<u8").tobytes() + k.astype("<u8").tobytes()).decode()
+        open_ = open_[~done]
+        sizes[open_] *= 2
+    return out
 
 
-def opened(fingerprint: str) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
-    """A fingerprint's table (32-bit check sums) and set size."""
+def opened(fingerprint: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A fingerprint's table: counts, digest XORs, check XORs."""
     raw = base64.b64decode(fingerprint)
-    n = (len(raw) - 4) // 16
-    return (np.frombuffer(raw, "<i4", n), np.frombuffer(raw, "<u8", n, 4 * n), np.frombuffer(raw, "<u4", n, 12 * n)), int.from_bytes(raw[-4:], "little")
+    n = len(raw) // 20
+    return np.frombuffer(raw, "<i4", n).astype(np.int64), np.frombuffer(raw, "<u8", n, 4 * n).astype(U64), np.frombuffer(raw, "<u8", n, 12 * n).astype(U64)
+
+
+def resized(table: tuple, places: int) -> tuple:
+    """The same digests' table of ``places`` places: folded, or peeled and laid out anew."""
+    n = len(table[0])
+    while n > places:
+        n //= 2
+        low, high = zip(*((x[:, : n // 3], x[:, n // 3 :]) for x in (z.reshape(3, -1) for z in table)))
+        table = (low[0] + high[0]).ravel(), (low[1] ^ high[1]).ravel(), (low[2] ^ high[2]).ravel()
+    if n < places:
+        found: list = []
+        peel(tuple(z.copy() for z in table), np.array([n]), found)
+        keys = np.concatenate([x[1] for x in found]) if found else np.zeros(0, U64)
+        table = tables(keys, np.zeros(len(keys), np.int64), np.array([places]))
+    return table
+
+
+def compared(a: str, b: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """The digests that only ``a`` and that only ``b`` has, sorted, and the Dice likeness, from two fingerprints alone."""
+    one, two, places = opened(a), opened(b), PLACES
+    while True:
+        x, y = resized(one, places), resized(two, places)
+        found: list = []
+        if peel((x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2]), np.array([places]), found)[2][0]:
+            keys, sign = (np.concatenate([z[k] for z in found]) if found else np.zeros(0, t) for k, t in ((1, U64), (2, np.int64)))
+            n = int(one[0].sum() + two[0].sum()) // 3
+            return np.sort(keys[sign > 0]), np.sort(keys[sign < 0]), 1 - len(keys) / n if n else 1.0
+        places *= 2
 
 
 PRINTS = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def _prints(batches):
-    """Rows come by bucket and then in order; a bucket's last row (``tail``) is the first document of the next."""
-    known, before = WordIds(), None
+def _made(rows: list[tuple]) -> pa.RecordBatch:
+    """The results of (doc_id, text, next text)."""
+    texts = [t for _, t, _ in rows]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for _, t, n in rows]
+    own, new, nxt = [cells(t) for t in texts], [cells(t) for t in edited], [cells(n) for _, _, n in rows]
+    cols = ([d for d, _, _ in rows], [len(t) for t in texts], [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], fingerprints(own), fingerprints(new), likeness(own, new), likeness(own, nxt))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PRINTS)], schema=_PRINTS)
 
-    def made(rows):
-        texts = [t for _, t, _ in rows]
-        edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for _, t, n in rows]
-        own, new, nxt = [cells(t, known) for t in texts], [cells(t, known) for t in edited], [cells(n, known) for _, _, n in rows]
-        cols = ([d for d, _, _ in rows], [len(t) for t in texts], [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], fingerprints(own), fingerprints(new), likeness(own, new), likeness(own, nxt))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PRINTS)], schema=_PRINTS)
 
+def _prints(batches):
+    """Rows come by bucket and then in order; a bucket's last row (``tail``) is the first document of the next."""
+    before = None
     for part in rows_of(batches, 500, 2 << 20):
         rows = []
         for bucket, tail, doc, text in zip(*(part.column(k).to_pylist() for k in range(4))):
@@ -202,23 +246,29 @@ def _prints(batches):
                 rows.append((before[1], before[2], text or ""))
             before = (bucket, doc, text or "", tail)
         if rows:
-            yield made(rows)
+            yield _made(rows)
+
+
+def _alone(batches):
+    for part in rows_of(batches, 500, 2 << 20):
+        yield _made([(None, t or "", t or "") for t in part.column(0).to_pylist()])
 
 
 def edit_prints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited version (its second half replaced by the next document's beginning).
 
-    Null texts are empty; two empty texts are alike (1.0). The order is ``doc_id`` (null first), then text for repeated
-    ids; after the last comes the first, which may be the document itself. An empty table gives no rows; other columns
-    are ignored.
+    Null texts are empty; two empty texts are alike (1.0). The order is ``doc_id``, then text for repeated ids (repeated rows
+    follow each other); after the last comes the first, which may be the document itself. A row without ``doc_id`` has no
+    place in the order and is its own next document. Texts are read whole, and a table grows with its text, so a very long
+    one needs memory in proportion. An empty table gives no rows; other columns are ignored.
 
     Texts move once: rows go to buckets between quantiles of ``doc_id`` and are read there in order; the first document
     of a bucket is also sent behind the one before. The driver holds one number a bucket.
     """
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    low, nulls, cuts = base.agg(F.min("doc_id"), F.max(F.col("doc_id").isNull()), F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 20 * buckets)).first()
+    low, cuts = base.agg(F.min("doc_id"), F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 20 * buckets)).first()
     bounds = sorted(set(cuts or []) - {low})
     last = len(bounds)
 
@@ -227,14 +277,15 @@ def edit_prints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
         for part in rows_of(batches):
             ids = part.column(0).to_pylist()
-            at = [0 if d is None else bisect.bisect_right(bounds, d) for d in ids]
-            first = [d is None or d == low and not nulls or k > 0 and d == bounds[k - 1] for d, k in zip(ids, at)]
+            at = [bisect.bisect_right(bounds, d) for d in ids]
+            first = [d == low or k > 0 and d == bounds[k - 1] for d, k in zip(ids, at)]
             more = np.flatnonzero(first)
             take = pa.array(np.concatenate((np.arange(len(ids)), more)))
             bucket = [*at, *((at[i] - 1) if at[i] > 0 else last for i in more)]
             tail = [False] * len(ids) + [True] * len(more)
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(tail), part.column(0).take(take), part.column(1).take(take)], names=["bucket", "tail", "doc_id", "text"])
 
-    dealt = base.mapInArrow(deal, "bucket bigint, tail boolean, doc_id bigint, text string")
+    dealt = base.filter("doc_id is not null").mapInArrow(deal, "bucket bigint, tail boolean, doc_id bigint, text string")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(_prints, PRINTS)
+    met = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", F.col("text").asc_nulls_first()).mapInArrow(_prints, PRINTS)
+    return met.unionByName(base.filter("doc_id is null").select("text").mapInArrow(_alone, PRINTS))

@@ -215,21 +215,58 @@ def test_url_verdicts(spark):
 # --- 3 ---
 
 
+def by_hand(text):
+    """Paragraphs as a set: lines, sentences of lines of more than 40 words; white space within doesn't count."""
+    out = set()
+    for line in (text or "").splitlines():
+        out.update(" ".join(x.split()) for x in (re.split(r"(?<=[.!?…])\s+|(?<=[。！？])", line) if len(line.split()) > iblt.LONG else [line]) if x.strip())
+    return out
+
+
+def lines(seed):
+    r = random.Random(seed)
+    return "\n".join(prose(r.random(), r.choice((3, 9, 30))) + "." + (f" {prose(r.random(), 20)}! {prose(r.random(), 5)}" if r.random() < 0.4 else "") for _ in range(r.randint(0, 60)))
+
+
 def test_iblt_matches_sets(spark):
-    rows = [(k, prose(k, 5 + 37 * k) if k % 4 else edited(prose(k + 1, 42 + 37 * k), k, 3), "a") for k in range(12)]
-    known = WordIds()
-    order = sorted(rows)
-    got = {r.doc_id: r for r in iblt.edit_prints(docs_of(spark, rows), 5).collect()}
-    for k, (d, t, _) in enumerate(order):
-        n = order[(k + 1) % len(order)][1]
-        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
-        a, b, c = (set(iblt.cells(x, known).tolist()) for x in (t, e, n))
-        assert got[d].n_chars == len(t) and got[d].near_edited == pytest.approx(2 * len(a & b) / (len(a) + len(b))) and got[d].near_next == pytest.approx(2 * len(a & c) / (len(a) + len(c)))
+    """Against paragraphs compared as plain sets, and from the returned fingerprints alone."""
+    rows = [(k, lines(k) if k % 4 else lines(k + 1)[: 50 * k] + "\n" + lines(k), "a") for k in range(40)] + [(40, "\n".join(prose(k, 4) for k in range(5000)), "a"), (41, None, "a"), (42, prose(3, 3000), "a")]
+    order = sorted(rows, key=lambda x: x[0])
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+    for buckets in (1, 5):
+        got = {r.doc_id: r for r in iblt.edit_prints(docs_of(spark, rows).repartition(3), buckets).collect()}
+        for k, (d, t, _) in enumerate(order):
+            t, n = t or "", order[(k + 1) % len(order)][1] or ""
+            e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+            g, a, b, c = got[d], by_hand(t), by_hand(e), by_hand(n)
+            assert g.n_chars == len(t) and g.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+            assert g.near_edited == pytest.approx(dice(a, b)) and g.near_next == pytest.approx(dice(a, c))
+            more, less, near = iblt.compared(g.fingerprint, g.edited_fingerprint)
+            assert (len(more), len(less)) == (len(a - b), len(b - a)) and near == pytest.approx(g.near_edited)
+            assert iblt.compared(g.fingerprint, got[order[(k + 1) % len(order)][0]].fingerprint)[2] == pytest.approx(g.near_next)
     edge = iblt.edit_prints(docs_of(spark, EDGE), 3).collect()
     assert len(edge) == len(EDGE) and len({r.fingerprint for r in edge if r.doc_id in (3, 6)}) == 1
+    assert [(r.n_chars, r.near_next) for r in edge if r.doc_id is None] == [(12, 1.0)]
     assert iblt.edit_prints(docs_of(spark, [])).count() == 0
 
 
+def test_changed_paragraphs_are_recovered(spark):
+    r = random.Random(5)
+    rows = []
+    for k in range(60):
+        old = [prose(1000 * k + j, r.randint(1, 12)) for j in range(r.randint(0, 40))]
+        new = [prose(9000 * k + j, 7) if r.random() < k / 60 else p for j, p in enumerate(old)] + [prose(-k, 5)] * (k % 3)
+        rows.append((k, "\n".join(old) or None, "\n\n".join(new)))
+    got = iblt.changed_paragraphs(spark.createDataFrame(rows, "k int, old string, new string")).collect()
+    for g, (_, old, new) in zip(sorted(got, key=lambda x: x.k), rows, strict=True):
+        was, now = iblt.paragraphs(old), iblt.paragraphs(new)
+        assert g.added == list(dict.fromkeys(p for p in now if p not in was)) and g.removed == list(dict.fromkeys(p for p in was if p not in now))
+    assert any(g.places > iblt.PLACES for g in got) and any(g.places == iblt.PLACES for g in got)  # the first table fails for some
+    assert iblt.changed_paragraphs(spark.createDataFrame([], "old string, new string")).count() == 0
+    clash = spark.createDataFrame([(1, "a\nb", "b\nc", "x", "y")], "places int, added string, new string, _old string, _new string")
+    assert iblt.changed_paragraphs(clash, old="added").first().asDict() == {"new": "b\nc", "_old": "x", "_new": "y", "added": ["c"], "removed": ["a"], "places": 12}
+
+
 # --- 4 ---
 
 
