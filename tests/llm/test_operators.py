@@ -552,6 +552,25 @@ def test_near_passages_recall(spark):
     assert len(near) > 100 and len(got) >= 0.95 * len(near), (len(got), len(near))
 
 
+@pytest.mark.parametrize("leaders", [1, 3])
+def test_near_passages_beside_misleading_leaders(spark, leaders):
+    """Passages with edits in two documents, and earlier documents that hold them in pieces out of order: all are found in any layout."""
+    r, rows = random.Random(31), []
+    for k in range(30):
+        w = prose(70_000 + k, 100).split()
+        x = list(w)
+        x[33], x[66] = "zzone", "zztwo"
+        for n in range(leaders):
+            pieces = [w[at : at + 40] for at in (0, 20, 40, 60)]
+            r.shuffle(pieces)
+            rows.append((10 * k + n, " ".join(" ".join([*prose(71_000 + 40 * k + 10 * n + m, 25).split(), *y]) for m, y in enumerate(pieces)), "a"))
+        rows += [(10 * k + 8 + n, f"{prose(73_000 + 2 * k + n, 40)} {' '.join(y)} {prose(74_000 + 2 * k + n, 40)}", "a") for n, y in enumerate((w, x))]
+    for parts in (1, 3, 7):
+        found = [f for f in substring_dedup.passages(docs_of(spark, rows).repartition(parts)).collect() if f.doc_id % 10 == 9 and f.ref_doc_id % 10 == 8]
+        held = covered(rows, found)
+        assert sum(len(held[10 * k + 9] & set(range(40, 140))) >= 90 for k in range(30)) == 30, parts
+
+
 def test_cut_repeats_with_clashing_columns(spark):
     line = prose(5, 60)
     df = docs_of(spark, [(1, line, "a"), (2, f"{line} {prose(6, 9)}", "a"), (3, line, "a"), (3, "own words", "b"), (None, line, "a"), (4, None, "a")])
