@@ -1,6 +1,7 @@
 """Native extraction against the plain reading of ``reading.py``; labels against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ import reading
 from tallymark import config as C
 from tallymark.functions import labels
 from tallymark.functions.similarity import lcs, ratio
-from tallymark.operators import extract
+from tallymark.operators import classify, extract
 from tallymark.sources import tokens as token_source
 
 TOKENS = "case_id string, doc_id string, doc_type string, pos int, text string, conf double, x int, y int, w int, h int, line_id int"
@@ -128,3 +129,42 @@ def test_text_tokens_have_lines(spark):
     docs = spark.createDataFrame([(1, "Name: Asha\nDate of Birth 12/03/2004"), (2, None)], "doc_id bigint, text string")
     t = token_source.text_tokens(docs).select(F.lit("c").alias("case_id"), F.col("doc_id").cast("string").alias("doc_id"), (F.col("row") * 1000 + F.col("col")).alias("pos"), "text", "conf", "x", "y", "w", "h", F.col("row").alias("line_id"))
     assert {(x.field, x.value_raw, x.doc_type) for x in extract.extract_fields(t).collect()} == {("name", "Asha", "unknown"), ("dob", "12/03/2004", "unknown"), ("issue_date", "of Birth 12/03/2004", "unknown")}
+
+
+def test_label_pattern_keeps_every_label(spark):
+    """Labels with letters gone, added and changed: the pattern lets every text pass that is alike enough, and the field is the first alike label's."""
+    rnd, entries = random.Random(7), labels.DEFAULT.entries()
+    texts = {n for n, _ in entries}
+    for n, _ in entries:
+        for _ in range(40):
+            s = list(n)
+            for _ in range(rnd.randint(1, 4)):
+                at = rnd.randrange(len(s) + 1)
+                if rnd.random() < 0.5 and len(s) > 1:
+                    del s[min(at, len(s) - 1)]
+                else:
+                    s.insert(at, rnd.choice("abenor x7é"))
+            texts.add("".join(s))
+    texts = sorted({t for t in (re.sub(r"[^\w\s]", "", t).strip(" ") for t in texts) if t})
+    want = {t: next((f for n, f in entries if 200 * labels._lcs(t, n) >= 88 * (len(t) + len(n))), None) for t in texts}
+    got = {r.t: r.f for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", labels.match_label(F.col("t")).alias("f")).collect()}
+    assert got == want and sum(f is not None for f in want.values()) > 500
+
+
+def test_text_is_lowered_once(spark, capsys):
+    """A text's class is worked out once, outside of the branches that use it; its lower case too, not once a word that is looked for."""
+    classify.classify(spark.createDataFrame([("identity card",)], "text string")).explain("extended")
+    optimised = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimised.count("lower(") == 1
+
+
+def test_codes_are_looked_back_from_only_where_they_stand():
+    assert extract.PIN.index("(?=[1-9]") < extract.PIN.index("(?<=(")
+
+
+def test_pin_windows_of_neighbouring_codes(spark):
+    words = "Near Lake Road 560001 560002 Acc 560003 x-560004".split()
+    row = spark.createDataFrame([(" ".join(words), [(w,) for w in words])], "whole string, read array<struct<text:string>>")
+    assert [t.text for t in row.select(extract.pin_window(F.col("whole"), F.col("read")).alias("w")).first().w] == words[:5]
+    codes = row.select(F.regexp_extract_all("whole", F.lit(extract.PIN), F.lit(2)), F.regexp_extract_all("whole", F.lit(extract.PIN), F.lit(1))).first()
+    assert list(codes) == [["560001", "560002", "560003"], ["Near Lake Road ", "ke Road 560001 ", "001 560002 Acc "]]
