@@ -816,3 +816,28 @@ def test_sketch_agrees_with_jaccard():
     same = np.mean([near_dedup.sketch(np.unique(x), 512) == near_dedup.sketch(np.unique(y), 512)])
     assert abs(same - 400 / 600) < 0.08
     assert (near_dedup.sketch(x[:1], 96) != 0).all()
+
+
+def test_open_windows_meet_all_of_their_group(spark):
+    # twelve windows of one key and context, the last one's only partner with enough beside it at the far end
+    ctx = bytes(range(1, 9))
+    rows = [(7, ctx, ctx, d, 100, 60 if d in (1, 12) else 3, 60 if d in (1, 12) else 3, d == 12) for d in range(1, 13)]
+    found = substring_dedup.neighbours(spark.createDataFrame(rows, substring_dedup.CONTEXTS), 46).collect()
+    assert [tuple(r) for r in found] == [(12, 1, 40, 160, 40, 160)]
+
+
+@pytest.mark.parametrize("block", [512, 5])
+def test_windows_that_meet_against_brute_force(spark, block):
+    r = random.Random(5)
+    said = lambda: (lambda n: bytes([r.choice((1, 1, 1, 2)) for _ in range(n)] + [0] * (8 - n)))(r.choice((0, 2, 8, 8)))
+    rows = [(r.choice((1, 1, 1, 2, 3)), said(), said(), d, r.randint(50, 90), r.randint(0, 50), r.randint(0, 50), r.random() < 0.5) for d in range(60) for _ in range(2)]
+    run = lambda x, y: next((k for k in range(8) if x[k] != y[k] or not x[k]), 8)
+    want = {}
+    for x, y in itertools.product(rows, rows):
+        lo, hi = min(x[5], y[5]), min(x[6], y[6])
+        if x[0] == y[0] and x[3] > y[3] and x[7] and lo + hi + 1 >= 46 and 8 + 3 * (run(x[1], y[1]) + run(x[2], y[2])) >= 17:
+            a, b, p, q = want.get((x[3], y[3]), (10**9, 0, 10**9, 0))
+            want[x[3], y[3]] = min(a, x[4] - lo), max(b, x[4] + hi), min(p, y[4] - lo), max(q, y[4] + hi)
+    df = spark.createDataFrame(rows, substring_dedup.CONTEXTS).repartition(3)
+    found = substring_dedup.neighbours(df, 46, block).collect()
+    assert len(want) > 50 and {(f.doc, f.ref): (f.s, f.e, f.rs, f.re) for f in found} == want
