@@ -112,3 +112,11 @@ def test_quality(spark):
     got = {r.doc_id: r.is_blurry for r in quality.flags(quality.measure(images)).select("doc_id", "is_blurry").collect()}
     assert got == {"d": False, "e": True}
     assert F.col("x") is not None
+
+
+def test_reports_read_the_orders_once_for_cases_and_once_for_fields(spark):
+    from tallymark.plans import queries
+
+    for name in ("findings_hash", "json_report", "narrative_text", "html_report", "reviewer_questions"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("o_orderpriority") == 2, name  # one scan of orders a branch
