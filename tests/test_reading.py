@@ -52,3 +52,25 @@ def test_labels_are_those_of_the_native_form(spark):
 def test_pages_are_read_in_batches(spark, name):
     plan = q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_retries_make_the_first_reading_once(spark):
+    """And the documents that are read again are chosen before they unfold to tokens."""
+    t = q.synthetic_tokens(spark, "/root/testdata/sf0.001")
+    plans = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df.localCheckpoint()
+
+    def attempt(k, docs):
+        return extract.extract_fields(q.synthetic_tokens(spark, "/root/testdata/sf0.001", docs).withColumn("doc_type", F.lit("unknown")))
+
+    docs = t.select("case_id", "doc_id").distinct()
+    out = extract.retry_rounds(docs, extract.extract_fields(t), attempt, rounds=1, keep=keep)
+    assert plans[0].count("MapInArrow") == 1
+    again = out._jdf.queryExecution().optimizedPlan().toString()
+    assert again.index("Generate posexplode") < again.index("LeftSemi")  # nearer to the root: later
+    few = docs.orderBy("case_id", "doc_id").limit(7).localCheckpoint()
+    key = ["case_id", "doc_id", "pos"]
+    assert q.synthetic_tokens(spark, "/root/testdata/sf0.001", few).orderBy(*key).collect() == t.join(few, ["case_id", "doc_id"], "left_semi").select(*t.columns).orderBy(*key).collect()
